@@ -42,8 +42,8 @@ def _combine(kind: str, before: Column, here: Column) -> Column:
     return F.coalesce(here, before)
 
 
-def range_bucket(df: DataFrame, columns: list[str]) -> Column:
-    """Bucket number of each row among splitters drawn uniformly from ``df``.
+def with_range_bucket(df: DataFrame, columns: list[str], name: str = "__b") -> DataFrame:
+    """Number each row's bucket among splitters drawn uniformly from ``df``.
 
     The splitters are the rows with the smallest hashes, so the choice depends
     on the data alone; they travel as one scalar-subquery value of at most
@@ -57,11 +57,12 @@ def range_bucket(df: DataFrame, columns: list[str]) -> Column:
         .agg(F.array_sort(F.collect_list("k")).alias("s"))
         .scalar()
     )
-    return F.aggregate(
+    bucket = F.aggregate(
         F.array(*[F.lit(s) for s in BUCKET_STEPS]),
         F.lit(0),
-        lambda pos, step: F.when(F.get(splitters, pos + step - 1) <= key, pos + step).otherwise(pos),
+        lambda pos, step: F.when(F.get(F.col("__splitters"), pos + step - 1) <= key, pos + step).otherwise(pos),
     )
+    return df.withColumn("__splitters", splitters).withColumn(name, bucket).drop("__splitters")
 
 
 def running(
@@ -71,12 +72,15 @@ def running(
     prefix: dict[str, tuple[str, Column | None]] | None = None,
     totals: dict[str, tuple[str, Column | None]] | None = None,
     hot_rows: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add aggregates over the rows *before* each row, and over its whole group.
 
     ``prefix`` maps a new column to ``(kind, value)`` with kind count, sum, max
     or last; ``totals`` likewise for the whole group.  ``order`` is ascending
-    and must be total inside a group; keys must not be NULL.
+    and must be total inside a group; keys must not be NULL.  The keys of large
+    groups are counted here unless the caller names them in ``hot``; when there
+    are none the plan is the plain window alone.
     """
     prefix, totals = prefix or {}, totals or {}
     limit = hot_row_limit(df) if hot_rows is None else hot_rows
@@ -97,21 +101,31 @@ def running(
         # The sum of no rows is zero; the maximum and last of no rows stay NULL.
         return [F.coalesce(c, F.lit(0)) if prefix[n][0] == "sum" else c for n, c in found.items()]
 
-    hot = work
-    calm = None
-    if keys:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*keys)
-        hot = work.join(sizes, keys, "left_semi")
-        calm_rows = work.join(sizes, keys, "left_anti")
-        ordered = Window.partitionBy(*keys).orderBy(*order_names).rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy(*keys)
-        calm = calm_rows.select(
+    ordered = Window.partitionBy(*keys).orderBy(*order_names).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+
+    def by_window(rows: DataFrame) -> DataFrame:
+        return rows.select(
             *output,
             *[c.alias(n) for n, c in zip(prefix, prefix_over(ordered))],
             *[_aggregate(kind, F.col(value_names[n])).over(whole).alias(n) for n, (kind, _) in totals.items()],
         )
 
-    bucketed = hot.withColumn("__b", range_bucket(hot, [*keys, *order_names]))
+    if not keys:
+        return _by_buckets(work, keys, order_names, value_names, prefix, totals, output, prefix_over)
+    if hot is None:
+        hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+    hot = hot.select(*keys)
+    if hot.isEmpty():
+        return by_window(work)
+    calm = by_window(work.join(hot, keys, "left_anti"))
+    large = work.join(hot, keys, "left_semi")
+    return calm.unionByName(_by_buckets(large, keys, order_names, value_names, prefix, totals, output, prefix_over))
+
+
+def _by_buckets(hot, keys, order_names, value_names, prefix, totals, output, prefix_over) -> DataFrame:
+    """The same aggregates for large groups: scan range buckets, then add what came before."""
+    bucketed = with_range_bucket(hot, [*keys, *order_names])
     order_key = F.struct(*order_names)
     per_bucket = bucketed.groupBy(*keys, "__b").agg(
         F.count(F.lit(1)).alias("__rows"),
@@ -138,12 +152,11 @@ def running(
     local = bucketed.select(
         *output, "__b", *[c.alias(f"__here_{n}") for n, c in zip(prefix, prefix_over(inside))]
     )
-    split = local.join(carries, [*keys, "__b"]).select(
+    return local.join(carries, [*keys, "__b"]).select(
         *output,
         *[_combine(kind, F.col(f"__carry_{n}"), F.col(f"__here_{n}")).alias(n) for n, (kind, _) in prefix.items()],
         *totals,
     )
-    return split if calm is None else calm.unionByName(split)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "row_pos", **kw) -> DataFrame:

@@ -106,7 +106,7 @@ CONDITION_FIELDS = [
 VERIFIED_VERSIONS = ["6000.3.9f1", "6000.3.23f1"]
 
 # Canonical frames table.  A metric column is NULL when its validity flag is off.
-FRAMES = T.StructType.fromDDL(
+FRAMES = (
     "capture_id STRING, position BIGINT, frame_index BIGINT, cpu_ms DOUBLE, frame_ms DOUBLE, "
     "gc_bytes DECIMAL(20,0), draw_calls BIGINT, set_pass_calls BIGINT, batches BIGINT, triangles BIGINT, "
     "vertices BIGINT, samples_valid BOOLEAN, sites_valid BOOLEAN, render_valid BOOLEAN, estimated BOOLEAN, "
