@@ -9,10 +9,10 @@ from framescope.functions.scalars import editor_ms
 from framescope.functions.windows import running
 from framescope.operators.validate import main_root, reconcile_gc
 from framescope.schemas import (
-    ALLOC_MARKER, FRAME, MEMORY_COUNTERS, RENDER_COUNTERS, THREAD,
+    ALLOC_MARKER, FRAME, MEMORY_COUNTERS, RENDER_COUNTERS, THREAD, U64_MAX,
 )
 
-U64_MAX = 2**64 - 1
+
 
 
 def frame_cpu(frames: DataFrame, threads: DataFrame, tree: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def render_counters(frames: DataFrame, observations: DataFrame) -> DataFrame:
 def memory_observation_value(observed: DataFrame) -> DataFrame:
     """Value or reason of each memory counter sample (``fields``, ``unit``, ``payload_type``, ``value``)."""
     number = F.when(F.col("value").rlike(r"^\+?[0-9]+$"), F.col("value").try_cast("decimal(38,0)"))
-    in_range = F.when(number <= F.lit(U64_MAX).cast("decimal(20,0)"), number.cast("decimal(20,0)"))
+    in_range = F.when(number <= F.lit(U64_MAX), number.cast("decimal(20,0)"))
     reason = (
         F.when(~F.col("is_counter"), F.lit("counter flag missing"))
         .when((F.col("metadata_count") != 1) | (F.col("fields") != 1), F.lit("metadata missing or field count differs"))
@@ -176,7 +176,7 @@ def main_markers(tree: DataFrame, cpu: DataFrame) -> DataFrame:
 
 def compact_sites(sites: DataFrame) -> DataFrame:
     """per frame, thread label and site: bytes, allocations, largest; NULL on overflow."""
-    limit = F.lit(U64_MAX).cast("decimal(20,0)")
+    limit = F.lit(U64_MAX)
     total = F.try_sum("total_bytes")
     return sites.groupBy(*FRAME, "thread", "name").agg(
         F.when(total <= limit, total).cast("decimal(20,0)").alias("total_bytes"),

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framescope.functions.windows import RANKS, rank_stats
-from framescope.schemas import COMPARED_METRICS, MEMORY_COUNTERS, RENDER_COUNTERS
+from framescope.schemas import COMPARED_METRICS, MEMORY_COUNTERS, RENDER_COUNTERS, U64_MAX
 
 DEFAULT_REASON = "not provided by the input or not yet verified"
 UNVERIFIED_REASON = "version not verified; no firm verdict on targets"
 ESTIMATED_REASON = "contains estimates, not observations"
-U64_MAX = 2**64 - 1
 STATS = [*RANKS, "max"]
 
 # Frames column of each rendering counter.
@@ -66,9 +65,9 @@ def quality(frames: DataFrame, valid: Column, keys: list[str] | None = None) ->
     )
 
 
-def counter_quality(frames: DataFrame, name: str) -> DataFrame:
+def counter_quality(frames: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
     """M3: quality of one rendering counter; other metrics' reasons are left out."""
-    base = quality(frames, F.col(RENDER_COLUMNS[name]).isNotNull())
+    base = quality(frames, F.col(RENDER_COLUMNS[name]).isNotNull(), keys)
     own = F.filter("reasons", lambda r: r.startswith(f"{name}:") | (r == ESTIMATED_REASON))
     missing = (F.col("valid_frames") < F.col("total_frames")) & (F.size("reasons") == 0)
     default = F.array(F.lit(f"{name}: no valid count in the input"))
@@ -112,7 +111,7 @@ def gc_hotspots(sites: DataFrame, frames: DataFrame | None = None) -> DataFrame:
     if frames is not None:
         valid = frames.filter("sites_valid").select("capture_id", "frame_index")
         sites = sites.join(valid, ["capture_id", "frame_index"], "left_semi")
-    cap = F.lit(U64_MAX).cast("decimal(20,0)")
+    cap = F.lit(U64_MAX)
     totals = sites.groupBy("capture_id", "thread", "name").agg(
         F.least(F.coalesce(F.try_sum("total_bytes"), cap), cap).cast("decimal(20,0)").alias("total_bytes"),
         F.sum("call_count").alias("call_count"),
@@ -125,7 +124,7 @@ def gc_hotspots(sites: DataFrame, frames: DataFrame | None = None) -> DataFrame:
 def gc_totals(frames: DataFrame) -> DataFrame:
     """M7: allocated bytes over valid frames (NULL if none or beyond 64 bits) and their ranks."""
     total = F.try_sum("gc_bytes")
-    limit = F.lit(U64_MAX).cast("decimal(20,0)")
+    limit = F.lit(U64_MAX)
     none = F.lit(None).cast("bigint")
     sums = frames.groupBy("capture_id").agg(
         F.when(total <= limit, total).cast("decimal(20,0)").alias("total_alloc_bytes"),

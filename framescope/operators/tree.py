@@ -64,6 +64,7 @@ def _scan(batches: Iterator[pa.RecordBatch], wanted: list[str]) -> Iterator[pa.R
             _take_child(stack)
             if "parent_index" in out:
                 out["parent_index"].append(stack[-1][0] if stack else None)
+            if "depth" in out:
                 out["depth"].append(len(stack))
             if "owner_name" in out:
                 out["owner_name"].append(next((s[2] for s in reversed(stack) if s[2] != ALLOC_MARKER), None))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+from decimal import Decimal
 
-U64 = T.DecimalType(20, 0)
-DELTA = T.DecimalType(21, 0)
+# Unsigned 64-bit values are DECIMAL(20,0); their differences DECIMAL(21,0).
+U64_MAX = Decimal(2**64 - 1)
 
 # Keys that identify a frame, a thread inside it and a sample inside that.
 FRAME = ["capture_id", "frame_index"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _local_folder: list[str] = []
-_derived: dict[tuple[str, str, str], str] = {}
+_derived: dict[tuple[str, str, str], tuple] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,12 +65,13 @@ def derived(spark: SparkSession, source: str, name: str, build: Callable[[], Dat
     must not change while the application runs.
     """
     key = (spark.sparkContext.applicationId, source, name)
-    df = build()
     if key not in _derived:
+        df = build()
         path = f"{shared_folder(spark)}/framescope-{uuid.uuid4().hex}/{name}"
         write_capture_table(df, path)
-        _derived[key] = path
-    return load_capture_table(spark, _derived[key], df.schema)
+        _derived[key] = (path, df.schema)
+    path, schema = _derived[key]
+    return load_capture_table(spark, path, schema)
 
 
 def point_lookup(df: DataFrame, capture_id: str, frame_index: int) -> DataFrame:
