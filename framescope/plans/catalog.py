@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framescope.plans import frame_queries, metric_queries, tree_queries  # noqa: F401
+from framescope.plans import (  # noqa: F401
+    compare_queries, frame_queries, history_queries, metric_queries, ranking_queries, tree_queries,
+)
 from framescope.plans.registry import ORACLES, QUERIES
 
 
