@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framescope.functions.scalars import preview_bytes
 from framescope.functions.windows import numbered, running
 
+MAX_TEXT_BYTES = 2 * 1024 * 1024
 OPEN_STATES = ["prepared", "conflict"]
 
 
@@ -145,7 +147,7 @@ def stale_captures(captures: DataFrame, scenes: DataFrame) -> DataFrame:
     first, second = F.get("two", F.lit(0)), F.get("two", F.lit(1))
     newest_elsewhere = -F.when(first["o"] != F.col("scene_id"), first["v"]).otherwise(second["v"])
     stale = F.col("code_revision").isNull() | F.coalesce(newest_elsewhere > F.col("code_revision"), F.lit(False))
-    return marked.drop("two").withColumn("stale", stale)
+    return marked.withColumn("stale", stale).drop("two")
 
 
 def marker_streaks(rounds: DataFrame, applied: DataFrame) -> DataFrame:
@@ -251,18 +253,19 @@ def replay_rows(items: DataFrame, log: DataFrame) -> DataFrame:
 def replay_chunks(items: DataFrame, log: DataFrame) -> DataFrame:
     """Saved text plus the appended chunks of every item; running items become interrupted.
 
-    An item with a gap or overlap keeps its saved text and is reported.  The
-    chunks of one item end up in one text value, whose size the writer bounds.
+    An item with a gap or overlap keeps its saved text and is reported.  A text
+    holds at most ``MAX_TEXT_BYTES``, so only chunks that start below that are
+    gathered, and the last one is cut between characters.
     """
     rows = replay_rows(items, log)
     bad = rows.filter(F.col("verdict").isin("gap", "overlap")).groupBy("item_id").agg(F.min("verdict").alias("problem"))
-    chunks = rows.filter("verdict = 'append'").join(bad, "item_id", "left_anti").groupBy("item_id").agg(
+    useful = (F.col("verdict") == "append") & (F.col("offset") < MAX_TEXT_BYTES) & (F.length("chunk") > 0)
+    chunks = rows.filter(useful).join(bad, "item_id", "left_anti").groupBy("item_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "chunk"))), lambda c: c["chunk"]), "").alias("added")
     )
     joined = items.join(chunks, "item_id", "left").join(bad, "item_id", "left")
     status = F.when(F.col("status") == "running", F.lit("interrupted")).otherwise(F.col("status"))
-    return joined.select(
-        "item_id", F.concat(F.coalesce("text", F.lit("")), F.coalesce("added", F.lit(""))).alias("text"), status.alias("status"), "problem"
-    )
+    text = F.concat(F.coalesce("text", F.lit("")), F.coalesce("added", F.lit("")))
+    return joined.select("item_id", preview_bytes(text, MAX_TEXT_BYTES).alias("text"), status.alias("status"), "problem")
 
 

@@ -119,7 +119,7 @@ def round_status(spark, sf):
     verdict = F.when(key % 8 == 1, F.lit("undecidable")).when(key % 3 == 2, F.lit("not_reached")).otherwise(F.lit("reached"))
     missed = F.when(key % 3 == 2, F.lit("not_reached")).otherwise(F.lit("no_target"))
     verdicts = base.filter(key % 12 != 5).select(
-        key, F.inline(F.array(F.struct(F.lit(5.0).alias("budget_p95"), verdict.alias("verdict")), F.struct(F.lit(7.0), missed)))
+        key, F.inline(F.array(F.struct(F.lit(5.0).alias("budget_p95"), verdict.alias("verdict")), F.struct(F.lit(7.0).alias("budget_p95"), missed.alias("verdict"))))
     )
     return history.round_status(base, runs(spark, sf), tasks(spark, sf), changes(spark, sf), round_tasks, verdicts)
 
