@@ -51,21 +51,34 @@ def choose(key: Column, mapping: dict, default: Column | None = None) -> Column:
     return expr if default is None else expr.otherwise(default)
 
 
+def _fixed(value: Column, digits: int) -> Column:
+    """Decimal text of a non-negative double, rounded half up on its exact binary value.
+
+    Scaling by a power of two is exact, so the rounding is done on integers.
+    """
+    scale = 10**digits
+    exact = (value * float(2**52)).cast("bigint").cast("decimal(20,0)")
+    units = F.call_function("div", exact * (2 * scale) + 2**52, F.lit(2**53).cast("decimal(20,0)"))
+    whole = F.floor(units / scale).cast("bigint").cast("string")
+    text = whole if digits == 0 else F.concat(whole, F.lit("."), F.lpad((units % scale).cast("string"), digits, "0"))
+    return F.when(value < 2048, text).otherwise(F.format_string(f"%.{digits}f", value))
+
+
 def format_bytes(n: Column) -> Column:
     value = n.cast("double")
     return (
         F.when(value < KB, F.concat(n.cast("string"), F.lit(" B")))
-        .when(value < MB, F.format_string("%.1f KB", value / KB))
-        .when(value < GB, F.format_string("%.1f MB", value / MB))
-        .otherwise(F.format_string("%.2f GB", value / GB))
+        .when(value < MB, F.concat(_fixed(value / KB, 1), F.lit(" KB")))
+        .when(value < GB, F.concat(_fixed(value / MB, 1), F.lit(" MB")))
+        .otherwise(F.concat(_fixed(value / GB, 2), F.lit(" GB")))
     )
 
 
 def format_ms(ms: Column) -> Column:
     return (
-        F.when(ms < 1, F.format_string("%.0f μs", ms * 1000))
-        .when(ms < 1000, F.format_string("%.2f ms", ms))
-        .otherwise(F.format_string("%.2f s", ms / 1000))
+        F.when(ms < 1, F.concat(_fixed(ms * 1000, 0), F.lit(" μs")))
+        .when(ms < 1000, F.concat(_fixed(ms, 2), F.lit(" ms")))
+        .otherwise(F.concat(_fixed(ms / 1000, 2), F.lit(" s")))
     )
 
 
@@ -73,8 +86,8 @@ def format_count(n: Column) -> Column:
     value = n.cast("double")
     return (
         F.when(value < 1000, n.cast("string"))
-        .when(value < 1_000_000, F.format_string("%.1fK", value / 1000))
-        .otherwise(F.format_string("%.1fM", value / 1_000_000))
+        .when(value < 1_000_000, F.concat(_fixed(value / 1000, 1), F.lit("K")))
+        .otherwise(F.concat(_fixed(value / 1_000_000, 1), F.lit("M")))
     )
 
 
@@ -125,11 +138,6 @@ def counter_kind(counter_id: Column, value_type: Column) -> Column:
     )
 
 
-def _json_number(text: Column) -> Column:
-    """A JSON number as double; strings, booleans and nested values give NULL."""
-    return F.when(text.rlike(r"^\s*-?[0-9]"), text.try_cast("double"))
-
-
 def alloc_bytes(metadata: Column) -> Column:
     """Bytes carried by an allocation's metadata JSON, or NULL.
 

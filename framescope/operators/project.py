@@ -170,7 +170,7 @@ def references(resolved: DataFrame, direction: str, start: int = 0, limit: int =
     if direction not in ("incoming", "outgoing"):
         raise ValueError("direction must be incoming or outgoing")
     if direction == "outgoing":
-        one_each = resolved.dropDuplicates(["source", "line", "property", "guid", "file_id"]).withColumn("path", F.col("source"))
+        one_each = resolved.dropDuplicates(["source", "line"]).withColumn("path", F.col("source"))
     else:
         one_each = resolved.filter(F.col("target").isNotNull()).withColumn("path", F.col("target"))
     return paged(one_each, ["path"], ["source", "line", "property", "file_id"], start, limit)

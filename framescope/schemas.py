@@ -29,7 +29,7 @@ DUMP_FRAME = (
     "frame_index BIGINT, frame_time_ms DOUBLE, sample_count_total BIGINT, "
     f"gc_alloc_bytes_total DECIMAL(20,0), threads ARRAY<STRUCT<{DUMP_THREAD}>>"
 )
-DUMP = f"unity_version STRING, frame_count BIGINT, frames ARRAY<STRUCT<{DUMP_FRAME}>>"
+DUMP = f"input_file STRING, unity_version STRING, frame_count BIGINT, frames ARRAY<STRUCT<{DUMP_FRAME}>>"
 
 # Field aliases of the convention JSON format (fixed values): column -> spellings.
 META_ALIASES = {

@@ -14,19 +14,24 @@ from framescope.schemas import DUMP
 from framescope.sources.dumps import dump_tables, file_capture_id
 
 
-def stream_dumps(spark: SparkSession, folder: str) -> DataFrame:
-    """New dump files of a folder, one row per file."""
-    raw = spark.readStream.schema(DUMP).option("multiLine", "true").json(folder)
-    return raw.select(file_capture_id(F.col("_metadata.file_name")).alias("capture_id"), "*")
+def stream_dumps(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
+    """New dump files of a folder, one row per recording.
+
+    A multi-line file is one recording named by the file; with
+    ``multi_line=False`` every line is one, named by its ``input_file``.
+    """
+    raw = spark.readStream.schema(DUMP).option("multiLine", str(multi_line).lower()).json(folder)
+    name = F.col("_metadata.file_name") if multi_line else F.col("input_file")
+    return raw.select(file_capture_id(name).alias("capture_id"), "*")
 
 
-def stream_frames(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:
+def stream_frames(spark: SparkSession, folder: str, target: str, checkpoint: str, multi_line: bool = True) -> StreamingQuery:
     """ST1: write the frame rows of each new file once to a Parquet table.
 
     The checkpoint remembers the files read and the file sink commits each
     batch once, so a restart neither loses nor repeats a file.
     """
-    frames = dump_tables(stream_dumps(spark, folder))["frames"]
+    frames = dump_tables(stream_dumps(spark, folder, multi_line))["frames"]
     return (
         frames.writeStream.format("parquet")
         .option("path", target)
@@ -37,6 +42,7 @@ def stream_frames(spark: SparkSession, folder: str, target: str, checkpoint: str
 
 
 INTERVALS = "capture_id STRING, frame_index BIGINT, frame_ms DOUBLE, reason STRING"
+BLOCK_FRAMES = 4096
 STATE = "frame_index BIGINT, raw_frame_id BIGINT, start_ns STRING, skipped BOOLEAN"
 
 
@@ -58,28 +64,41 @@ def _interval(last: tuple, row: tuple) -> tuple:
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One block of at most ``BLOCK_FRAMES`` frames, plus the frame that closes it."""
+    capture, block = key
+    closing = (block + 1) * BLOCK_FRAMES
     last = tuple(state.get) if state.exists else None
     rows = pd.concat(list(batches)).sort_values("frame_index")
     out = []
     for row in rows[["frame_index", "raw_frame_id", "start_ns", "skipped"]].itertuples(index=False, name=None):
         if last is not None and row[0] <= last[0]:
-            out.append((key[0], row[0], None, "frame arrived after a later one"))
+            if row[0] != closing:
+                out.append((capture, row[0], None, "frame arrived after a later one"))
             continue
         if last is not None:
             value, reason = _interval(last, row)
-            out.append((key[0], last[0], value, reason))
+            out.append((capture, last[0], value, reason))
         last = (int(row[0]), int(row[1]), str(row[2]), bool(row[3]))
     state.update(last)
+    if not out:
+        return
     yield pd.DataFrame(out, columns=["capture_id", "frame_index", "frame_ms", "reason"])
 
 
 def stream_intervals(headers: DataFrame) -> DataFrame:
-    """ST2: F3 over a stream of frame headers, carrying the last frame of each recording.
+    """ST2: F3 over a stream of frame headers, carrying the last frame seen.
 
     A frame's interval is emitted when the next frame arrives; the last one
     stays open.  A frame older than the last seen is reported, not reordered.
+    State is kept per block of frame numbers, so one long recording is spread
+    over many tasks; the first frame of a block also closes the block before.
     """
+    block = F.floor(F.col("frame_index") / BLOCK_FRAMES).cast("bigint")
+    first = (F.col("frame_index") % BLOCK_FRAMES == 0) & (F.col("frame_index") > 0)
+    blocks = F.array_compact(F.array(block, F.when(first, block - 1)))
     rows = headers.select(
-        "capture_id", "frame_index", F.col("raw_frame_id").cast("bigint").alias("raw_frame_id"), F.col("start_ns").cast("string").alias("start_ns"), "skipped"
+        "capture_id", "frame_index", F.col("raw_frame_id").cast("bigint").alias("raw_frame_id"),
+        F.col("start_ns").cast("string").alias("start_ns"), "skipped", F.explode(blocks).alias("block"),
     )
-    return rows.groupBy("capture_id").applyInPandasWithState(_advance, INTERVALS, STATE, "append", GroupStateTimeout.NoTimeout)
+    grouped = rows.groupBy("capture_id", "block")
+    return grouped.applyInPandasWithState(_advance, INTERVALS, STATE, "append", GroupStateTimeout.NoTimeout)
