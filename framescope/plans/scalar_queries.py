@@ -95,7 +95,7 @@ def version_string(spark, sf):
 
 @check("x7_metadata_unit", f"SELECT {KEYS}, {whens(fn.METADATA_UNITS, '(l_orderkey * 256 + l_suppkey) // 256 % 256')} AS unit FROM lineitem")
 def metadata_unit(spark, sf):
-    return lines(spark, sf, fn.metadata_unit(F.col("l_orderkey") * 256 + F.col("l_suppkey") % 256).alias("unit"))
+    return lines(spark, sf, fn.metadata_unit(F.col("l_orderkey") * 256 + F.col("l_suppkey")).alias("unit"))
 
 
 @check("x8_flow_kind", f"SELECT {KEYS}, {whens(fn.FLOW_KINDS, 'l_suppkey % 6', chr(39) + 'Unknown' + chr(39))} AS kind FROM lineitem")
