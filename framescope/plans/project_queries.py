@@ -40,7 +40,8 @@ def encoded_documents(spark, sf):
         .when(key % 19 == 0, F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("C3"))))
         .otherwise(F.encode(text, "UTF-8"))
     )
-    return adapters.table(spark, sf, "documents").select(F.concat(F.lit("doc"), key).alias("path"), content.alias("content"))
+    documents = adapters.spread(adapters.table(spark, sf, "documents").select("doc_id", "text"))
+    return documents.select(F.concat(F.lit("doc"), key).alias("path"), content.alias("content"))
 
 
 LINES = """ok AS (SELECT doc_id, 'doc' || doc_id AS path, string_split(text, chr(10)) AS ls FROM documents WHERE NOT (doc_id % 5 NOT IN (1, 2, 3) AND (doc_id % 17 = 0 OR doc_id % 19 = 0))),
@@ -90,9 +91,7 @@ def project_lines(spark, sf):
         rows = pages.select("path", F.posexplode("body").alias("n", "text"))
         return rows.select("path", (F.col("n") + 1).alias("line"), "text")
 
-    # The lines carry no recording; a constant keeps the table layout.
-    stored = derived(spark, sf, "project_lines", lambda: build().withColumn("capture_id", F.lit("project")).withColumn("frame_index", F.crc32("path")))
-    return stored.select("path", "line", "text")
+    return derived(spark, sf, "project_lines", build)
 
 
 PROJECT = f"""pg AS (SELECT page_id AS i, 'Assets/p' || page_id || '.asset' AS path, {GUID.format('CASE WHEN page_id % 23 = 0 AND page_id > 0 THEN page_id - 1 ELSE page_id END')} AS own FROM pages),

@@ -13,7 +13,8 @@ from framescope.sources import convention, dumps, routing, tables
 
 
 def orders(spark, sf):
-    return adapters.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    rows = adapters.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return adapters.spread(rows)
 
 
 def dump_texts(spark, sf):

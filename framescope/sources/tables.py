@@ -24,20 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder[0]
 
 
-def write_capture_table(df: DataFrame, path: str, mode: str = "error") -> None:
+def write_capture_table(df: DataFrame, path: str, mode: str = "error", by_capture: bool = True) -> None:
     """Write one canonical table so that a query on one recording and frame reads little.
 
     Rows are range-partitioned on (recording, frame), which splits one very
     large recording over many files and keeps each file's frame range narrow.
+    With very many small recordings use ``by_capture=False``: no folder per
+    recording, the sorted files' statistics alone narrow the read.
     """
     order = [c for c in ("capture_id", "frame_index", "thread_index", "sample_index") if c in df.columns]
-    (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .write.mode(mode)
-        .partitionBy("capture_id")
-        .parquet(path)
-    )
+    writer = df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode)
+    (writer.partitionBy("capture_id") if by_capture else writer).parquet(path)
 
 
 def write_capture_tables(tables: dict[str, DataFrame], folder: str) -> None:
@@ -61,6 +58,7 @@ def materialize(df: DataFrame) -> DataFrame:
 def derived(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A canonical table derived from ``source``, written once per application.
 
+    It is written as it comes, without the range sort, since it is read whole.
     Later queries of the application read the stored table.  The source folder
     must not change while the application runs.
     """
@@ -68,7 +66,7 @@ def derived(spark: SparkSession, source: str, name: str, build: Callable[[], Dat
     if key not in _derived:
         df = build()
         path = f"{shared_folder(spark)}/framescope-{uuid.uuid4().hex}/{name}"
-        write_capture_table(df, path)
+        df.write.parquet(path)
         _derived[key] = (path, df.schema)
     path, schema = _derived[key]
     return load_capture_table(spark, path, schema)
