@@ -182,6 +182,13 @@ def page(df: DataFrame, keys: list[str], order: list[Column | str], start: int,
     return positions.filter((F.col(name) >= start) & (F.col(name) < stop))
 
 
+def global_page(df: DataFrame, order: list[Column | str], start: int, limit: int) -> DataFrame:
+    """One page of the whole input: a bounded top-k when shallow, positions when deep."""
+    if start + limit <= GROUP_LIMIT_ROWS:
+        return df.orderBy(*order).offset(start).limit(limit)
+    return page(df, [], order, start, limit).drop("row_pos")
+
+
 RANKS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 SPLIT_FRACTIONS = [k / 64 for k in range(1, 64)]
 

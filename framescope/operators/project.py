@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framescope.functions.scalars import preview_bytes
-from framescope.functions.windows import running
+from framescope.functions.windows import global_page, running
 from framescope.operators.ranking import check_page, paged
 from framescope.operators.validate import union_all
 
@@ -182,11 +182,9 @@ def search(lines: DataFrame, query: str, start: int = 0, limit: int = 100) -> Da
         raise ValueError("query needs 1..256 bytes")
     check_page(start, limit, 100)
     hits = lines.filter(F.col("text").contains(query))
-    rows = (
-        hits.orderBy("path", "line").offset(start).limit(limit)
-        .select("path", "line", preview_bytes(F.col("text"), 1500).alias("text"), (F.octet_length("text") > 1500).alias("line_truncated"))
+    return global_page(hits.select("path", "line", "text"), ["path", "line"], start, limit).select(
+        "path", "line", preview_bytes(F.col("text"), 1500).alias("text"), (F.octet_length("text") > 1500).alias("line_truncated")
     )
-    return rows
 
 
 def search_counts(lines: DataFrame, query: str) -> DataFrame:
@@ -236,6 +234,6 @@ def files_page(files: DataFrame, start: int = 0, limit: int = 100) -> DataFrame:
     """Files of the project by path, with the total in ``total``."""
     check_page(start, limit, 100)
     total = files.agg(F.count(F.lit(1)).alias("total")).scalar()
-    return files.orderBy("path").offset(start).limit(limit).withColumn("total", total)
+    return global_page(files, ["path"], start, limit).withColumn("total", total)
 
 

@@ -192,33 +192,41 @@ def path_totals(timed_tree: DataFrame) -> DataFrame:
     )
 
 
+def _compared_threads(threads: DataFrame, pairs: DataFrame, thread_index: int | None) -> DataFrame:
+    """Pairs with the one thread to compare in each frame; ambiguous ones drop out."""
+    pair = ["capture_id", "frame_index", "baseline_index"]
+
+    def unique(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("thread_index").alias(name), F.min("thread_id").alias("id"))
+        return found.filter("n = 1").drop("n")
+
+    if thread_index is None:
+        main = unique(threads.filter(F.col("thread_name") == MAIN_THREAD), FRAME, "thread_now").drop("id")
+        before = main.select("capture_id", F.col("frame_index").alias("baseline_index"), F.col("thread_now").alias("thread_before"))
+        return pairs.select(*pair).join(main, FRAME).join(before, ["capture_id", "baseline_index"])
+    now = unique(threads.filter(F.col("thread_index") == thread_index), FRAME, "thread_now").withColumnRenamed("id", "thread_id")
+    before = unique(threads, [*FRAME, "thread_id"], "thread_before").drop("id").withColumnRenamed("frame_index", "baseline_index")
+    return pairs.select(*pair).join(now, FRAME).join(before, ["capture_id", "baseline_index", "thread_id"]).drop("thread_id")
+
+
 def compare_frames(
-    totals: DataFrame, threads: DataFrame, gc_flags: DataFrame, pairs: DataFrame, thread_index: int | None = None,
+    timed_tree: DataFrame, threads: DataFrame, gc_flags: DataFrame, pairs: DataFrame, thread_index: int | None = None,
     start: int = 0, limit: int = 50,
 ) -> DataFrame:
     """Q8: two frames of one recording matched by full call path.
 
-    ``totals`` from ``path_totals``; ``pairs``: capture_id, frame_index,
+    ``timed_tree`` has path and self time; ``pairs``: capture_id, frame_index,
     baseline_index.  The main thread is compared unless ``thread_index`` names
     another, which is matched by thread id.  Rows by inclusive change, largest
     first, then by path.
     """
     check_page(start, limit, 50)
-    wanted = F.col("thread_name") == MAIN_THREAD if thread_index is None else F.col("thread_index") == thread_index
     pair = ["capture_id", "frame_index", "baseline_index"]
-
-    def only(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias(name), F.min("id").alias(f"{name}_id")).filter("n = 1").drop("n")
-
-    ids = threads.select(*THREAD, "thread_id", "thread_name")
-    current = only(pairs.join(ids.filter(wanted), FRAME).withColumns({"t": F.col("thread_index"), "id": F.col("thread_id")}), "thread_now")
-    other = pairs.join(ids.withColumnRenamed("frame_index", "baseline_index"), ["capture_id", "baseline_index"])
-    if thread_index is None:
-        other = other.filter(F.col("thread_name") == MAIN_THREAD)
-    else:
-        other = other.join(current.select(*pair, F.col("thread_now_id").alias("thread_id")), [*pair, "thread_id"])
-    previous = only(other.withColumns({"t": F.col("thread_index"), "id": F.col("thread_id")}), "thread_before")
-    chosen = current.join(previous, pair)
+    chosen = _compared_threads(threads, pairs, thread_index)
+    now_threads = chosen.select("capture_id", "frame_index", F.col("thread_now").alias("thread_index"))
+    then_threads = chosen.select("capture_id", F.col("baseline_index").alias("frame_index"), F.col("thread_before").alias("thread_index"))
+    # Only the compared threads are summed, and each once however many pairs use it.
+    totals = path_totals(timed_tree.join(now_threads.unionByName(then_threads).distinct(), THREAD, "left_semi"))
     now = totals.join(chosen.select(*pair, F.col("thread_now").alias("thread_index")), THREAD).withColumn("now", F.lit(True))
     before = (
         totals.withColumnRenamed("frame_index", "baseline_index")

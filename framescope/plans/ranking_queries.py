@@ -158,7 +158,7 @@ def compare_frames(spark, sf):
     """Every frame against the one before it."""
     pairs = inputs.dump_frames(spark, sf).select(*FRAME, (F.col("frame_index") - 1).alias("baseline_index"))
     rows = ranking.compare_frames(
-        ranking.path_totals(inputs.timed_tree(spark, sf)), inputs.threads(spark, sf), inputs.gc_flags(spark, sf), pairs, limit=8
+        inputs.timed_tree(spark, sf), inputs.threads(spark, sf), inputs.gc_flags(spark, sf), pairs, limit=8
     )
     return rows.drop("baseline_gc_bytes", "current_gc_bytes").withColumns(
         {"path": F.concat_ws(" > ", "path"), "gc_delta_bytes": F.col("gc_delta_bytes").cast("bigint")}

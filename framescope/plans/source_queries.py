@@ -96,7 +96,7 @@ def frame_texts(spark, sf):
       CASE WHEN k % 2 = 0 THEN k % 9 ELSE 1 END AS call_count, 'Site' || k % 4 AS site, CASE WHEN c > 0 THEN c ELSE 1 END AS site_bytes, CASE WHEN k % 11 = 0 THEN 'duplicate_field:drawCalls' END AS rule FROM f""".replace("c > 0 AS sites_valid", "true AS sites_valid"),
 )
 def read_frames_json(spark, sf):
-    found = convention.parse_frames(frame_texts(spark, sf))
+    found = convention.parse_frames(frame_texts(spark, sf), store=True)
     key = ["capture_id", "frame_index"]
     frames = found["frames"].select(*key, "position", "cpu_ms", "frame_ms", F.col("gc_bytes").cast("bigint").alias("gc_bytes"), "samples_valid", "sites_valid")
     markers = found["markers"].select(*key, F.col("name").alias("marker"), "total_ms", "call_count")

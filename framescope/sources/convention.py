@@ -10,6 +10,7 @@ from framescope.schemas import (
     CONVENTION, CONVENTION_FRAME, FRAME_ALIASES, FRAME_LIST_ALIASES, META_ALIASES, SAMPLE_ALIASES, U64_MAX, UNATTRIBUTED,
 )
 from framescope.sources.dumps import file_capture_id
+from framescope.sources.tables import materialize
 
 
 def _first(base: Column, spellings: list[str]) -> Column:
@@ -32,23 +33,28 @@ def read_convention(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_frames_json(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFrame]:
-    return parse_frames(read_convention(spark, paths))
+    return parse_frames(read_convention(spark, paths), store=True)
 
 
 def read_flat_samples(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFrame]:
-    return parse_flat_samples(read_convention(spark, paths))
+    return parse_flat_samples(read_convention(spark, paths), store=True)
 
 
 def _meta(base: Column) -> list[Column]:
     return [_first(base, names).alias(f"meta_{c}") for c, (_, names) in META_ALIASES.items()]
 
 
-def _parsed(texts: DataFrame) -> DataFrame:
-    """Root object, or a bare array of frames under the same columns."""
+def _parsed(texts: DataFrame, store: bool) -> DataFrame:
+    """Root object, or a bare array of frames under the same columns.
+
+    ``store`` keeps the parsed form on disk, so that several tables taken from
+    it do not parse the texts again.
+    """
     is_list = F.ltrim("json").startswith("[")
     root = F.when(~is_list, F.from_json("json", CONVENTION))
     bare = F.when(is_list, F.from_json("json", f"ARRAY<STRUCT<{CONVENTION_FRAME}>>"))
-    return texts.select("capture_id", root.alias("r"), bare.alias("b"))
+    parsed = texts.select("capture_id", root.alias("r"), bare.alias("b"))
+    return materialize(parsed) if store else parsed
 
 
 def _items(frame: Column, name: str) -> Column:
@@ -86,9 +92,9 @@ def _markers(rows: DataFrame, fallback_name: str) -> DataFrame:
     )
 
 
-def parse_frames(texts: DataFrame) -> dict[str, DataFrame]:
+def parse_frames(texts: DataFrame, store: bool = False) -> dict[str, DataFrame]:
     """Frames, markers, allocation sites and rendering events of frame-list texts."""
-    parsed = _parsed(texts)
+    parsed = _parsed(texts, store)
     docs = parsed.select("capture_id", F.coalesce("b", "r.frames").alias("frames"), *_meta(F.col("r.meta")))
     exploded = docs.select("capture_id", F.posexplode("frames").alias("pos", "f"))
     f = F.col("f")
@@ -150,9 +156,9 @@ def parse_frames(texts: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def parse_flat_samples(texts: DataFrame) -> dict[str, DataFrame]:
+def parse_flat_samples(texts: DataFrame, store: bool = False) -> dict[str, DataFrame]:
     """S3: a flat sample list becomes one estimated frame per recording."""
-    parsed = _parsed(texts)
+    parsed = _parsed(texts, store)
     docs = parsed.select("capture_id", F.col("r.samples").alias("samples"), *_meta(F.col("r.header")))
     duration = F.coalesce("meta_duration_ms", "meta_total_time_ms")
     totals = F.transform("samples", lambda s: F.coalesce(_first(s, SAMPLE_ALIASES["total_ms"][1]), F.lit(0.0)))

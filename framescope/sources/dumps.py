@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framescope.schemas import DUMP
+from framescope.sources.tables import materialize
 
 
 def file_capture_id(path):
@@ -14,10 +15,14 @@ def file_capture_id(path):
 
 
 def read_dump(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFrame]:
-    """Read dump files; each file is one recording and is parsed by one task."""
+    """Read dump files; each file is one recording and is parsed by one task.
+
+    The parsed recordings are stored once, so that the four tables taken from
+    them do not parse the texts again.
+    """
     raw = spark.read.schema(DUMP).json(paths, multiLine=True, mode="FAILFAST")
     named = raw.select(F.url_decode(F.col("_metadata.file_name")).alias("__file"), "*")
-    return dump_tables(named.withColumn("capture_id", file_capture_id(F.col("__file"))).drop("__file"))
+    return dump_tables(materialize(named.withColumn("capture_id", file_capture_id(F.col("__file"))).drop("__file")))
 
 
 def parse_dump(texts: DataFrame, column: str = "json") -> dict[str, DataFrame]:
