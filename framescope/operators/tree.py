@@ -7,6 +7,7 @@ a very long thread is never gathered into one group.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,14 +52,13 @@ def _scan(batches: Iterator[pa.RecordBatch], wanted: list[str]) -> Iterator[pa.R
         children = batch.column("children_count").to_pylist()
         indexes = batch.column("sample_index").to_pylist()
         names = batch.column("marker_name").to_pylist()
-        entry = batch.column("__entry")
-        entries = entry.to_pylist() if entry.null_count < len(entry) else None
+        entries = batch.column("__entry").to_pylist() if "__entry" in batch.schema.names else None
         keep, out = [], {name: [] for name in wanted}
         for row, key in enumerate(keys):
             if key != last_key or blocks[row] != last_block:
                 stack, last_key, last_block = [], key, blocks[row]
             if entries is not None and entries[row] is not None:
-                stack = [[e["idx"], e["left"], e["name"]] for e in entries[row]]
+                stack = json.loads(entries[row])
                 continue
             keep.append(row)
             _take_child(stack)
@@ -125,7 +125,7 @@ def _carry_stacks(group: pd.DataFrame) -> pd.DataFrame:
     for record in group.itertuples(index=False):
         capture, frame, thread, block, taken, opened = record
         if block > 0:
-            rows.append((capture, frame, thread, block, [{"idx": s[0], "left": s[1], "name": s[2]} for s in stack]))
+            rows.append((capture, frame, thread, block, json.dumps(stack)))
         for _ in range(taken):
             _take_child(stack)
         stack.extend([o["idx"], o["left"], o["name"]] for o in opened)
@@ -152,14 +152,16 @@ def with_tree(
     )
     place = [*THREAD, "__block"]
     schema = T.StructType(samples.schema.fields + [T.StructField(n, t) for n, _, t in _TREE if n in wanted])
-    rows = blocked.withColumns({"__order": F.lit(1), "__entry": F.lit(None).cast(_OPEN)})
+    rows, order = blocked, [*place, "sample_index"]
     if long_threads is None:
         long_threads = samples.filter(F.col("sample_index") >= size).select(*THREAD).distinct()
     if not long_threads.isEmpty():
-        rows = rows.unionByName(_entry_rows(blocked, place, long_threads), allowMissingColumns=True)
+        carried = _entry_rows(blocked, place, long_threads)
+        rows = rows.withColumn("__order", F.lit(1)).unionByName(carried, allowMissingColumns=True)
+        order = [*place, "__order", "sample_index"]
     return (
         rows.repartition(*place)
-        .sortWithinPartitions(*place, "__order", "sample_index")
+        .sortWithinPartitions(*order)
         .mapInArrow(lambda batches: _scan(batches, wanted), schema)
     )
 
@@ -178,7 +180,7 @@ def _entry_rows(blocked: DataFrame, place: list[str], long_threads: DataFrame) -
     )
     entries = summaries.groupBy(*THREAD).applyInPandas(
         _carry_stacks,
-        f"capture_id STRING, frame_index BIGINT, thread_index BIGINT, __block BIGINT, __entry {_OPEN}",
+        "capture_id STRING, frame_index BIGINT, thread_index BIGINT, __block BIGINT, __entry STRING",
     )
     return entries.withColumns({"__order": F.lit(0), "__key": F.xxhash64(*THREAD)})
 
