@@ -18,8 +18,8 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, sf: str) -> DataFrame:
-    """Samples with parent, depth, owner, path and ancestors."""
-    columns = ("parent_index", "depth", "owner_name", "path", "ancestors")
+    """Samples with parent, depth, owner and path."""
+    columns = ("parent_index", "depth", "owner_name", "path")
     return derived(
         spark, sf, "tree",
         lambda: tree_ops.with_tree(samples(spark, sf), columns, adapters.long_threads(spark, sf)),
@@ -28,7 +28,7 @@ def tree(spark: SparkSession, sf: str) -> DataFrame:
 
 def timed_tree(spark: SparkSession, sf: str) -> DataFrame:
     """The tree with self time."""
-    return derived(spark, sf, "timed_tree", lambda: tree_ops.self_time(tree(spark, sf)))
+    return derived(spark, sf, "timed_tree", lambda: tree_ops.self_time(tree(spark, sf).drop("owner_name")))
 
 
 def threads(spark: SparkSession, sf: str) -> DataFrame:
