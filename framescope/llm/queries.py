@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, minhash, mixing, quality, sharding, token_counts
+from . import decontaminate, html_extract, language_id, minhash, mixing, quality, sharding, token_counts, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("text_md5")
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return found.withColumn("content_length", F.octet_length("block")).withColumn("block", F.col("block").cast("string"))
