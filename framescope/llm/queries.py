@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, minhash, mixing, quality, sharding, token_counts, warc
+from . import decontaminate, html_extract, language_id, minhash, mixing, quality, sharding, suffix_dedup, token_counts, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
     return found.withColumn("content_length", F.octet_length("block")).withColumn("block", F.col("block").cast("string"))
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["begin"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
