@@ -17,13 +17,12 @@ SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, stored in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data: what ``spark.checkpoint.dir`` names.
 
     Only where the session names none is one set: a temporary folder in local
-    mode, else a folder beside the warehouse, which all machines share.
+    mode, else a folder in the warehouse, which all machines share.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +30,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
             local = (context.master or "").startswith("local") and "cluster" not in context.master
             named = tempfile.mkdtemp(prefix="llm-checkpoint-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, stored in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

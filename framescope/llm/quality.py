@@ -22,6 +22,7 @@ row: its arrays live in one task while it is measured, nothing is collected.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,6 +145,6 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that both rules keep, with their own columns."""
     counted, named = with_counts(docs, text, "_q_")
-    counted = counted.persist()
+    counted = counted.persist(StorageLevel.DISK_ONLY)  # with whole texts; a lost part is measured again
     out, _, kept = judged(counted, named, fences(counted, named, lang, source), lang, source)
     return out.filter(F.col(kept)).select(*(out[c] for c in docs.columns))
