@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 from collections.abc import Iterable
@@ -60,19 +61,17 @@ def unit_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 12).cast("double") / float(1 << 52)
 
 
-def ordered_sum(df: DataFrame, key: str, place: Column, ties: list[str], value: str, before: str) -> DataFrame:
+def ordered_sum(df: DataFrame, key: str, place: Column, ties: list[str], value: str, before: str, rows: int) -> DataFrame:
     """``df`` with ``before``: the sum of ``value`` over the rows of the same key that come earlier.
 
     Rows of a key are ordered by ``place`` (a double in [0, 1), spread evenly, as
-    from ``unit_hash``) and then by ``ties``.  A key of n rows is cut into about
-    sqrt(n) even stretches of ``place``, so that neither a stretch nor the list of
-    a key's stretches is ever as large as the key.  Rows equal in place and ties
-    are interchangeable.  Keys may be null.
+    from ``unit_hash``) and then by ``ties``.  Keys are cut into about sqrt(rows)
+    even stretches of ``place`` (``rows``: about how many rows ``df`` has), so
+    neither a stretch nor the list of a key's stretches is as large as a large
+    key.  Rows equal in place and ties are interchangeable.  Keys may be null.
     """
-    at, many, cut, part, offset, k2, cut2 = fresh(df, "_place", "_many", "_cut", "_part", "_offset", "_key2", "_cut2")
-    sizes = df.groupBy(F.col(key).alias(k2)).agg(F.count(F.lit(1)).alias(many))
-    cuts = df.withColumn(at, place).join(sizes, F.col(key).eqNullSafe(F.col(k2))).drop(k2)
-    cuts = cuts.withColumn(cut, F.floor(F.col(at) * F.ceil(F.sqrt(many))).cast("long")).drop(many)
+    at, cut, part, offset, k2, cut2 = fresh(df, "_place", "_cut", "_part", "_offset", "_key2", "_cut2")
+    cuts = df.withColumn(at, place).withColumn(cut, F.floor(F.col(at) * max(1, math.isqrt(rows))).cast("long"))
     parts = cuts.groupBy(F.col(key).alias(k2), F.col(cut).alias(cut2)).agg(F.sum(value).alias(part))
     parts = parts.withColumn(offset, F.coalesce(F.sum(part).over(Window.partitionBy(k2).orderBy(cut2).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inner = Window.partitionBy(key, cut).orderBy(at, *ties).rowsBetween(Window.unboundedPreceding, -1)
@@ -81,6 +80,16 @@ def ordered_sum(df: DataFrame, key: str, place: Column, ties: list[str], value:
     return out.withColumn(before, F.col(before) + F.col(offset)).drop(at, cut, k2, cut2, part, offset)
 
 
+def numbered(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with three columns that tell its rows apart, and their names: id, MD5 of the text, and a number among rows equal in both.
+
+    Rows equal in both may take each other's number.
+    """
+    name, key, number = fresh(df, "_row_id", "_row_md5", "_row_number")
+    keyed = df.withColumn(name, F.col(doc_id)).withColumn(key, F.md5(F.col(text).cast("string").cast("binary")))
+    return keyed.withColumn(number, F.row_number().over(Window.partitionBy(name, key).orderBy(F.lit(0)))), [name, key, number]
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a limit, so memory stays bounded."""
 

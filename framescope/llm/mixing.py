@@ -30,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, ordered_sum
+from .common import WORD, checkpointed, fresh, numbered, ordered_sum
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -95,13 +95,15 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
     ``position`` is null for documents that are not taken; ``again_position`` is
     the position of the second reading of a document, null where there is none.
+    Texts are read once, to be measured; what is ordered and joined is short.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *keep)
+    own = checkpointed(own)
     targets = source_targets(own, weights, share, most).withColumnRenamed("source", "source_")
     name = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     own = own.withColumn("order_", name)
     place = F.conv(F.substring("order_", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    lined = ordered_sum(own, "source", place, ["order_", "size"], "size", "begin_")
+    lined = ordered_sum(own, "source", place, ["order_", "size"], "size", "begin_", own.count())
     lined = lined.join(targets, F.col("source").eqNullSafe(F.col("source_")))
     budget = F.round("target").cast("long")
     words = [F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), budget - F.col("begin_") - F.col("source_size") * turn)) for turn in range(most)]
@@ -119,15 +121,18 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     its words, once, or twice from one and a half of them on.  Documents without
     words take no part of the mix and go.
     """
-    position, = fresh(docs, "_position")
-    names = [f"c{k}_" for k in range(len(docs.columns))]  # own names: those of docs may clash with the mixture's
-    renamed = docs.toDF(*names)
-    at = {c: n for c, n in zip(docs.columns, names, strict=True)}
-    found = mixture(renamed, at[doc_id], at[text], at[source], keep=names)
+    rows, (name, key, number) = numbered(docs, doc_id, text)
+    when, position = fresh(rows, "_when", "_position")
+    sized = rows.select(F.col(name).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), F.col(key).alias("key_"), F.col(number).alias("number_"))
+    found = mixture(sized, keep=("key_", "number_")).filter("size > 0")
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    when = F.when(times >= 2, F.array("position", "again_position")).when(times == 1, F.array("position"))
-    read = found.filter(F.col("size") > 0).withColumn(position, F.explode(when))
-    return read.repartitionByRange(position).sortWithinPartitions(position, "doc_id").select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
+    read = F.when(times >= 2, F.array("position", "again_position")).when(times == 1, F.array("position"))
+    taken = found.select(F.col("doc_id").alias("id_"), "key_", "number_", read.alias(when)).filter(F.col(when).isNotNull())
+    names = [f"c{k}_" for k in range(len(rows.columns))]  # own names: those of docs may clash with the keys'
+    at = dict(zip(rows.columns, names, strict=True))
+    joined = rows.toDF(*names).join(taken, F.col(at[name]).eqNullSafe(F.col("id_")) & F.col(at[key]).eqNullSafe(F.col("key_")) & (F.col(at[number]) == F.col("number_")))
+    out = joined.withColumn(position, F.explode(when))
+    return out.repartitionByRange(position).sortWithinPartitions(position, at[name]).select(*(F.col(at[c]).alias(c) for c in docs.columns))
 
 
 #: The same targets and taken words for DuckDB; the level is found by comparing all sources with all (there are few).

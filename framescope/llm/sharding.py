@@ -24,32 +24,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, ordered_sum, unit_hash
+from .common import checkpointed, fresh, numbered, ordered_sum, unit_hash
 
 SHARDS = 16
-ROUNDS = 8
+ROUNDS = 10
 
 
-def _room(state: DataFrame, shards: int, total: DataFrame) -> DataFrame:
-    """One row: ``quota`` and ``used`` documents of each shard, as arrays by shard."""
-    used = state.groupBy("shard").agg(F.sum("c").alias("c")).agg(F.map_from_entries(F.collect_list(F.struct("shard", "c"))).alias("m"))  # a row for each shard at most
-    both = used.join(total, F.lit(True))
-    numbers = F.sequence(F.lit(0), F.lit(shards - 1))
-    quota = F.transform(numbers, lambda j: (F.floor(F.col("n") / shards) + (j < F.col("n") % shards).cast("long")).cast("long"))
-    return both.select(quota.alias("quota"), F.transform(numbers, lambda j: F.coalesce(F.element_at("m", j), F.lit(0)).cast("long")).alias("used"))
+def _used(state: DataFrame, shards: int) -> list[int]:
+    """Linked documents in each shard: one row a shard."""
+    found = dict(state.groupBy("shard").agg(F.sum("c")).collect())
+    return [found.get(j, 0) for j in range(shards)]
 
 
-def _moves(state: DataFrame, room: DataFrame) -> DataFrame:
+def _by_shard(values: list[int], shard: str) -> Column:
+    return F.get(F.array(*(F.lit(v).cast("long") for v in values)), F.col(shard))
+
+
+def _moves(state: DataFrame, free: list[int], rows: int) -> DataFrame:
     """The moves of one round: ``c`` documents of group ``g`` from ``shard`` to ``target``."""
-    here = state.join(F.broadcast(room), F.lit(True))  # one row of two short arrays
-    free = F.get("quota", "shard") - F.get("used", "shard")
-    best = here.withColumn("free", free).groupBy("g").agg(
-        F.max_by("shard", F.struct(F.col("free") > 0, "c", -F.col("shard"))).alias("target"),
-        F.max(F.col("free") > 0).alias("any"),
-    ).filter("any")
+    room = _by_shard(free, "shard") > 0
+    best = state.groupBy("g").agg(F.max_by("shard", F.struct(room, "c", -F.col("shard"))).alias("target"), F.max(room).alias("any")).filter("any")
     asked = state.join(best, "g").filter("shard != target").select("g", "shard", "target", "c")
-    asked = ordered_sum(asked, "target", unit_hash(F.col("g"), F.col("shard")), ["g", "shard"], "c", "before").join(F.broadcast(room), F.lit(True))
-    left = F.get("quota", "target") - F.get("used", "target") - F.col("before")
+    asked = ordered_sum(asked, "target", unit_hash(F.col("g"), F.col("shard")), ["g", "shard"], "c", "before", rows)
+    left = _by_shard(free, "target") - F.col("before")
     return asked.select("g", "shard", "target", F.greatest(F.lit(0).cast("long"), F.least("c", left)).alias("c")).filter("c > 0")
 
 
@@ -59,44 +56,45 @@ def _pick(places: Column, rank: Column) -> Column:
 
 
 def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``keep``."""
+    """One row a document: ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``text_md5`` and ``keep`` (short columns)."""
     raw = F.col(text).cast("string").cast("binary")
     own = docs.select(F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(raw), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("text_md5"), *keep)
-    own = own.withColumn("one", F.lit(1).cast("long")).persist()
-    total = own.agg(F.count(F.lit(1)).alias("n"))
+    own = checkpointed(own.withColumn("one", F.lit(1).cast("long")))
+    n = own.count()
+    quota = [n // shards + (j < n % shards) for j in range(shards)]
     copies = own.filter(F.col("text_md5").isNotNull()).groupBy(F.col("text_md5").alias("g")).agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("g")
-    marked = own.join(copies, F.col("text_md5") == F.col("g"), "left").withColumn("place", unit_hash(F.col("doc_id"), F.col("text_md5")))
+    marked = checkpointed(own.join(copies, F.col("text_md5") == F.col("g"), "left").withColumn("place", unit_hash(F.col("doc_id"), F.col("text_md5"))))
     linked = marked.filter(F.col("g").isNotNull())
     start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(shards)).cast("int")
     state = checkpointed(linked.groupBy("g", start.alias("shard")).agg(F.count(F.lit(1)).alias("c")))
     for _ in range(ROUNDS):
-        moves = checkpointed(_moves(state, _room(state, shards, total)))
+        free = [q - u for q, u in zip(quota, _used(state, shards), strict=True)]
+        moves = checkpointed(_moves(state, free, n))
         if moves.isEmpty():
             break
         after = state.union(moves.select("g", "shard", -F.col("c"))).union(moves.select("g", F.col("target").alias("shard"), "c"))
         state = checkpointed(after.groupBy("g", "shard").agg(F.sum("c").alias("c")).filter("c > 0"))
 
     # where each (group, shard) part stands in its shard; what is beyond the quota has no place
-    room = _room(state, shards, total)
-    parts = ordered_sum(state, "shard", unit_hash(F.col("g")), ["g"], "c", "slot").join(F.broadcast(room), F.lit(True))
-    parts = parts.withColumn("held", F.greatest(F.lit(0).cast("long"), F.least("c", F.get("quota", "shard") - F.col("slot"))))
+    used = _used(state, shards)
+    parts = ordered_sum(state, "shard", unit_hash(F.col("g")), ["g"], "c", "slot", n)
+    parts = parts.withColumn("held", F.greatest(F.lit(0).cast("long"), F.least("c", _by_shard(quota, "shard") - F.col("slot"))))
     before = F.coalesce(F.sum("held").over(Window.partitionBy("g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("begin", before)  # a group has one row for each shard at most
     places = parts.groupBy(F.col("g").alias("g2")).agg(F.collect_list(F.struct("shard", "begin", (F.col("begin") + F.col("held")).alias("end"), "slot")).alias("places"))
-    ranked = ordered_sum(linked, "g", F.col("place"), ["doc_id", "size"], "one", "rank").join(places, F.col("g") == F.col("g2"), "left")
-    ranked = ranked.withColumn("at", _pick(F.col("places"), F.col("rank"))).select(*marked.columns, "rank", "at")
-    ranked = ranked.persist()
+    ranked = ordered_sum(linked, "g", F.col("place"), ["doc_id", "size"], "one", "rank", n).join(places, F.col("g") == F.col("g2"), "left")
+    ranked = checkpointed(ranked.withColumn("at", _pick(F.col("places"), F.col("rank"))).select(*marked.columns, "rank", "at"))
 
     # the rest fills up the shards one after the other
     pool = marked.filter(F.col("g").isNull()).unionByName(ranked.filter(F.col("at").isNull()).drop("rank", "at"))
-    pool = ordered_sum(pool.withColumn("all", F.lit(0)), "all", F.col("place"), ["doc_id", "size"], "one", "rank").drop("all")
-    numbers = F.sequence(F.lit(0), F.lit(shards - 1))
-    holds = F.transform(numbers, lambda j: F.least(F.get("used", j), F.get("quota", j)))
-    gaps = room.withColumn("holds", holds).withColumn("gap", F.transform(numbers, lambda j: F.get("quota", j) - F.get("holds", j)))
-    first = F.transform(numbers, lambda j: F.aggregate(F.slice("gap", F.lit(1), j), F.lit(0).cast("long"), lambda a, b: a + b))
-    gaps = gaps.withColumn("first", first)
-    gaps = gaps.select(F.transform(numbers, lambda j: F.struct(j.alias("shard"), F.get("first", j).alias("begin"), (F.get("first", j) + F.get("gap", j)).alias("end"), F.get("holds", j).alias("slot"))).alias("places"))
-    filled = pool.join(F.broadcast(gaps), F.lit(True)).withColumn("at", _pick(F.col("places"), F.col("rank")))
+    pool = ordered_sum(pool.withColumn("all", F.lit(0)), "all", F.col("place"), ["doc_id", "size"], "one", "rank", n).drop("all")
+    gaps, begin = [], 0
+    for j in range(shards):
+        held = min(used[j], quota[j])
+        gaps.append((j, begin, begin + quota[j] - held, held))
+        begin = gaps[-1][2]
+    entries = F.array(*(F.struct(F.lit(j).alias("shard"), F.lit(b).cast("long").alias("begin"), F.lit(e).cast("long").alias("end"), F.lit(s).cast("long").alias("slot")) for j, b, e, s in gaps))
+    filled = pool.withColumn("at", _pick(entries, F.col("rank")))
 
     both = ranked.filter(F.col("at").isNotNull()).unionByName(filled.select(*ranked.columns))
     slot = F.col("at.slot") + F.col("rank") - F.col("at.begin")
@@ -111,10 +109,16 @@ def cut_links(placed: DataFrame) -> DataFrame:
 
 
 def sharded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """``docs`` in shard and slot order, with the shard and the slot as two more columns."""
-    names = [f"c{k}_" for k in range(len(docs.columns))]  # own names: those of docs may clash
-    at = dict(zip(docs.columns, names, strict=True))
-    found = shard_documents(docs.toDF(*names), at[doc_id], at[text], shards, tuple(names))
+    """``docs`` in shard and slot order, with the shard and the slot as two more columns.
+
+    Places are found from short rows and joined with the documents at the end.
+    """
+    rows, (name, key, number) = numbered(docs, doc_id, text)
+    found = shard_documents(rows.select(F.col(name).alias("doc_id"), F.col(text).alias("text"), F.col(number).alias("number_")), shards=shards, keep=("number_",))
+    found = found.select(F.col("doc_id").alias("id_"), "text_md5", "number_", "shard", "slot")
     shard, slot = fresh(docs, "shard", "slot")
-    out = found.select(*(F.col(n).alias(c) for c, n in at.items()), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    names = [f"c{k}_" for k in range(len(rows.columns))]  # own names: those of docs may clash
+    at = dict(zip(rows.columns, names, strict=True))
+    out = rows.toDF(*names).join(found, F.col(at[name]).eqNullSafe(F.col("id_")) & F.col(at[key]).eqNullSafe(F.col("text_md5")) & (F.col(at[number]) == F.col("number_")))
+    out = out.select(*(F.col(at[c]).alias(c) for c in docs.columns), F.col("shard").alias(shard), F.col("slot").alias(slot))
     return out.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot)
