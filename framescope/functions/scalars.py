@@ -54,14 +54,15 @@ def choose(key: Column, mapping: dict, default: Column | None = None) -> Column:
 def _fixed(value: Column, digits: int) -> Column:
     """Decimal text of a non-negative double, rounded half up on its exact binary value.
 
-    Scaling by a power of two is exact, so the rounding is done on integers.
+    Whole and fraction part exactly; the fraction times a power of two is exact,
+    so the rounding is done on integers, for values of any size.
     """
     scale = 10**digits
-    exact = (value * float(2**52)).cast("bigint").cast("decimal(20,0)")
-    units = F.call_function("div", exact * (2 * scale) + 2**52, F.lit(2**53).cast("decimal(20,0)"))
-    whole = F.floor(units / scale).cast("bigint").cast("string")
-    text = whole if digits == 0 else F.concat(whole, F.lit("."), F.lpad((units % scale).cast("string"), digits, "0"))
-    return F.when(value < 2048, text).otherwise(F.format_string(f"%.{digits}f", value))
+    whole = F.floor(value).cast("decimal(38,0)")
+    fraction = ((value - F.floor(value)) * float(2**52)).cast("bigint").cast("decimal(20,0)")
+    units = F.call_function("div", fraction * (2 * scale) + 2**52, F.lit(2**53).cast("decimal(20,0)"))
+    text = (whole + F.floor(units / scale)).cast("decimal(38,0)").cast("string")
+    return text if digits == 0 else F.concat(text, F.lit("."), F.lpad((units % scale).cast("string"), digits, "0"))
 
 
 def format_bytes(n: Column) -> Column:

@@ -1,9 +1,10 @@
 """Order-dependent building blocks that stay parallel inside one large group.
 
-A plain ``Window.partitionBy(key)`` sends a whole key to one task.  Here groups
-above ``hot_rows`` rows are cut into range buckets by sampled splitters: each
-bucket is scanned on its own and only one carry row per bucket crosses over.
-Smaller groups use the plain window.  Results are the same either way.
+A plain ``Window.partitionBy(key)`` sends a whole key to one task.  Here the rows
+are cut into range buckets at splitters sampled from them, about one for every
+``BUCKET_ROWS`` rows, so their number follows the input: each bucket is scanned on
+its own and only one carry row per key and bucket crosses over.  It is one lazy
+plan for groups of any size; nothing runs while it is built.
 """
 
 from __future__ import annotations
@@ -11,15 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS_CONF = "spark.framescope.hotGroupRows"
-DEFAULT_HOT_ROWS = 1_000_000
-BUCKET_STEPS = (256, 128, 64, 32, 16, 8, 4, 2, 1)
-MAX_SPLITTERS = 511
+#: Rows of a bucket on average; a setting for tests, results do not depend on it.
+BUCKET_ROWS_CONF = "spark.framescope.bucketRows"
+BUCKET_ROWS = 250_000
+BUCKET_STEPS = tuple(2**k for k in range(24, -1, -1))
 GROUP_LIMIT_ROWS = 900
 
 
-def hot_row_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
+def bucket_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(BUCKET_ROWS_CONF, str(BUCKET_ROWS)))
 
 
 def _aggregate(kind: str, value: Column, order: Column | None = None) -> Column:
@@ -43,20 +44,15 @@ def _combine(kind: str, before: Column, here: Column) -> Column:
 
 
 def with_range_bucket(df: DataFrame, columns: list[str], name: str = "__b") -> DataFrame:
-    """Number each row's bucket among splitters drawn uniformly from ``df``.
+    """Number each row's bucket among splitters drawn evenly from ``df``.
 
-    The splitters are the rows with the smallest hashes, so the choice depends
-    on the data alone; they travel as one scalar-subquery value of at most
-    ``MAX_SPLITTERS`` entries, found by binary search.
+    The splitters are the rows whose hash falls on one value in ``bucket_rows``, so
+    the choice depends on the data alone; they travel as one scalar-subquery value
+    and are found by binary search.
     """
     key = F.struct(*[F.col(c) for c in columns])
-    splitters = (
-        df.select(key.alias("k"), F.xxhash64(*[F.col(c) for c in columns]).alias("h"))
-        .orderBy("h")
-        .limit(MAX_SPLITTERS)
-        .agg(F.array_sort(F.collect_list("k")).alias("s"))
-        .scalar()
-    )
+    chosen = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(bucket_rows(df))) == 0
+    splitters = df.filter(chosen).select(key.alias("k")).agg(F.array_sort(F.collect_set("k")).alias("s")).scalar()
     bucket = F.aggregate(
         F.array(*[F.lit(s) for s in BUCKET_STEPS]),
         F.lit(0),
@@ -71,19 +67,14 @@ def running(
     order: list[Column | str],
     prefix: dict[str, tuple[str, Column | None]] | None = None,
     totals: dict[str, tuple[str, Column | None]] | None = None,
-    hot_rows: int | None = None,
-    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add aggregates over the rows *before* each row, and over its whole group.
 
     ``prefix`` maps a new column to ``(kind, value)`` with kind count, sum, max
     or last; ``totals`` likewise for the whole group.  ``order`` is ascending
-    and must be total inside a group; keys must not be NULL.  The keys of large
-    groups are counted here unless the caller names them in ``hot``; when there
-    are none the plan is the plain window alone.
+    and must be total inside a group; NULL is a key like any other.
     """
     prefix, totals = prefix or {}, totals or {}
-    limit = hot_row_limit(df) if hot_rows is None else hot_rows
     order_names = [f"__o{n}" for n in range(len(order))]
     value_names = {name: f"__v_{name}" for name in [*prefix, *totals]}
     work = df.select(
@@ -101,31 +92,8 @@ def running(
         # The sum of no rows is zero; the maximum and last of no rows stay NULL.
         return [F.coalesce(c, F.lit(0)) if prefix[n][0] == "sum" else c for n, c in found.items()]
 
-    ordered = Window.partitionBy(*keys).orderBy(*order_names).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-
-    def by_window(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            *output,
-            *[c.alias(n) for n, c in zip(prefix, prefix_over(ordered))],
-            *[_aggregate(kind, F.col(value_names[n])).over(whole).alias(n) for n, (kind, _) in totals.items()],
-        )
-
-    if not keys:
-        return _by_buckets(work, keys, order_names, value_names, prefix, totals, output, prefix_over)
-    if hot is None:
-        hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
-    hot = hot.select(*keys)
-    if hot.isEmpty():
-        return by_window(work)
-    calm = by_window(work.join(hot, keys, "left_anti"))
-    large = work.join(hot, keys, "left_semi")
-    return calm.unionByName(_by_buckets(large, keys, order_names, value_names, prefix, totals, output, prefix_over))
-
-
-def _by_buckets(hot, keys, order_names, value_names, prefix, totals, output, prefix_over) -> DataFrame:
-    """The same aggregates for large groups: scan range buckets, then add what came before."""
-    bucketed = with_range_bucket(hot, [*keys, *order_names])
+    # scan range buckets, then add what came before
+    bucketed = with_range_bucket(work, [*keys, *order_names])
     order_key = F.struct(*order_names)
     per_bucket = bucketed.groupBy(*keys, "__b").agg(
         F.count(F.lit(1)).alias("__rows"),
@@ -143,8 +111,8 @@ def _by_buckets(hot, keys, order_names, value_names, prefix, totals, output, pre
         return (F.max if kind == "max" else F.sum)(F.col(column)).over(Window.partitionBy(*keys))
 
     carries = per_bucket.select(
-        *keys,
-        "__b",
+        *[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)],
+        F.col("__b").alias("__cb"),
         *[carry(kind, f"__c_{n}").alias(f"__carry_{n}") for n, (kind, _) in prefix.items()],
         *[whole_total(kind, f"__c_{n}").alias(n) for n, (kind, _) in totals.items()],
     )
@@ -152,16 +120,19 @@ def _by_buckets(hot, keys, order_names, value_names, prefix, totals, output, pre
     local = bucketed.select(
         *output, "__b", *[c.alias(f"__here_{n}") for n, c in zip(prefix, prefix_over(inside))]
     )
-    return local.join(carries, [*keys, "__b"]).select(
+    same = F.col("__b") == F.col("__cb")
+    for n, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{n}"))
+    return local.join(carries, same).select(
         *output,
         *[_combine(kind, F.col(f"__carry_{n}"), F.col(f"__here_{n}")).alias(n) for n, (kind, _) in prefix.items()],
         *totals,
     )
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "row_pos", **kw) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "row_pos") -> DataFrame:
     """Zero-based position of each row inside its group."""
-    return running(df, keys, order, {name: ("count", None)}, **kw)
+    return running(df, keys, order, {name: ("count", None)})
 
 
 def page(df: DataFrame, keys: list[str], order: list[Column | str], start: int, limit: int, name: str = "row_pos") -> DataFrame:
@@ -193,15 +164,14 @@ RANKS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 SPLIT_FRACTIONS = [k / 64 for k in range(1, 64)]
 
 
-def rank_stats(df: DataFrame, value: str, keys: list[str], distinct_limit: int | None = None) -> DataFrame:
+def rank_stats(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Nearest-rank p50/p95/p99, max, mean and count of the non-null values per key.
 
     The rank of ``q`` is ``round((n-1)*q)`` with halves up and no interpolation.
     Values are first counted per (key, value), so repeated values cost one row;
-    keys with many distinct values are cut at approximate quantiles and only
-    the pieces that hold a wanted rank are ordered.
+    every key is cut at approximate quantiles of its distinct values and only the
+    pieces that hold a wanted rank are ordered.
     """
-    limit = hot_row_limit(df) if distinct_limit is None else distinct_limit
     counted = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("__v"))
@@ -211,13 +181,11 @@ def rank_stats(df: DataFrame, value: str, keys: list[str], distinct_limit: int |
         F.sum("__c").alias("valid"),
         F.max("__v").alias("max"),
         (F.sum(F.col("__v").cast("double") * F.col("__c")) / F.sum("__c")).alias("mean"),
-        F.count(F.lit(1)).alias("__distinct"),
         F.percentile_approx("__v", SPLIT_FRACTIONS, 1000).alias("__cuts"),
     )
     targets = {name: F.round((F.col("valid") - 1) * F.lit(q)).cast("long") for name, q in RANKS.items()}
-    cuts = F.when(F.col("__distinct") > limit, F.col("__cuts")).otherwise(F.slice("__cuts", 1, 0))
     pieces = counted.join(
-        summary.select(*keys, cuts.alias("__cuts"), *[t.alias(f"__t_{n}") for n, t in targets.items()]), keys
+        summary.select(*keys, "__cuts", *[t.alias(f"__t_{n}") for n, t in targets.items()]), keys
     ).withColumn("__piece", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))))
     sizes = pieces.groupBy(*keys, "__piece").agg(
         F.sum("__c").alias("__size"), *[F.first(f"__t_{n}").alias(f"__t_{n}") for n in RANKS]

@@ -229,11 +229,11 @@ def select_reports(selections: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def replay_rows(items: DataFrame, log: DataFrame) -> DataFrame:
-    """Verdict on every journal row: append, duplicate, gap, overlap or uncommitted.
+    """Verdict on every journal row: append, duplicate, gap or uncommitted.
 
     ``items``: item_id, text, status.  ``log``: item_id, line_no, offset, chunk,
     terminated.  Offsets are bytes; a row below the length reached so far is a
-    duplicate, above it a gap.  A last line without its end was never committed.
+    duplicate and dropped whole, above it is a gap.  A last line without its end was never committed.
     """
     saved = items.select("item_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("saved"))
     rows = log.join(saved, "item_id").withColumn("stop", F.col("offset") + F.octet_length("chunk"))
@@ -243,7 +243,6 @@ def replay_rows(items: DataFrame, log: DataFrame) -> DataFrame:
     verdict = (
         F.when(~F.col("terminated"), F.lit("uncommitted"))
         .when(F.col("offset") > length, F.lit("gap"))
-        .when((F.col("offset") < length) & (F.col("stop") > length), F.lit("overlap"))
         .when(F.col("offset") < length, F.lit("duplicate"))
         .otherwise(F.lit("append"))
     )
@@ -253,12 +252,12 @@ def replay_rows(items: DataFrame, log: DataFrame) -> DataFrame:
 def replay_chunks(items: DataFrame, log: DataFrame) -> DataFrame:
     """Saved text plus the appended chunks of every item; running items become interrupted.
 
-    An item with a gap or overlap keeps its saved text and is reported.  A text
+    An item with a gap keeps its saved text and is reported.  A text
     holds at most ``MAX_TEXT_BYTES``, so only chunks that start below that are
     gathered, and the last one is cut between characters.
     """
     rows = replay_rows(items, log)
-    bad = rows.filter(F.col("verdict").isin("gap", "overlap")).groupBy("item_id").agg(F.min("verdict").alias("problem"))
+    bad = rows.filter(F.col("verdict") == "gap").groupBy("item_id").agg(F.min("verdict").alias("problem"))
     useful = (F.col("verdict") == "append") & (F.col("offset") < MAX_TEXT_BYTES) & (F.length("chunk") > 0)
     chunks = rows.filter(useful).join(bad, "item_id", "left_anti").groupBy("item_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "chunk"))), lambda c: c["chunk"]), "").alias("added")

@@ -18,7 +18,7 @@ INT64 = (-(2**63), 2**63 - 1)
 
 
 def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def guids(lines: DataFrame) -> DataFrame:
@@ -127,11 +127,18 @@ def is_builtin(guid: Column) -> Column:
 
 
 def index_warnings(files: DataFrame, guid_rows: DataFrame, ref_rows: DataFrame) -> DataFrame:
-    """Repeated asset ids, ids without their file, and references to unknown ids."""
+    """Repeated asset ids, ids without their file or folder, and references to unknown ids.
+
+    Folders are those on the way to a file; their ``.meta`` files are no orphans.
+    """
     repeated = guid_rows.groupBy("guid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
         F.lit("duplicate_guid").alias("kind"), F.col("guid").alias("subject"), "n"
     )
-    orphans = guid_rows.select("path").join(files.select("path").distinct(), "path", "left_anti").select(
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    inside = files.filter(F.col("path").contains("/")).select(F.explode(folders).alias("path"))
+    there = files.select("path").union(inside).distinct()
+    orphans = guid_rows.select("path").join(there, "path", "left_anti").select(
         F.lit("orphan_meta").alias("kind"), F.col("path").alias("subject"), F.lit(1).cast("bigint").alias("n")
     )
     known = guid_rows.select("guid").distinct()
@@ -170,7 +177,11 @@ def references(resolved: DataFrame, direction: str, start: int = 0, limit: int =
     if direction not in ("incoming", "outgoing"):
         raise ValueError("direction must be incoming or outgoing")
     if direction == "outgoing":
-        one_each = resolved.dropDuplicates(["source", "line"]).withColumn("path", F.col("source"))
+        # one row a reference, with all its targets
+        whole = [c for c in resolved.columns if c not in ("target", "object_resolved")]
+        one_each = resolved.groupBy(*whole).agg(
+            F.array_sort(F.collect_set("target")).alias("targets"), F.max("object_resolved").alias("object_resolved")
+        ).withColumn("path", F.col("source"))
     else:
         one_each = resolved.filter(F.col("target").isNotNull()).withColumn("path", F.col("target"))
     return paged(one_each, ["path"], ["source", "line", "property", "file_id"], start, limit)

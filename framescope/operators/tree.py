@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framescope.functions.scalars import category_name
-from framescope.functions.windows import hot_row_limit, running
+from framescope.functions.windows import running
 from framescope.schemas import ALLOC_MARKER, FRAME, MAIN_THREAD, SAMPLE, THREAD, UNATTRIBUTED
 
 BLOCK_ROWS = 65_536
@@ -43,6 +43,17 @@ def _take_child(stack: list) -> None:
         stack[-1][1] -= 1
 
 
+def _take_children(stack: list, many: int) -> None:
+    """``_take_child`` that many times, by whole calls instead of single slots."""
+    while many and stack:
+        if stack[-1][1] == 0:
+            stack.pop()
+            continue
+        step = min(stack[-1][1], many)
+        stack[-1][1] -= step
+        many -= step
+
+
 def _scan(batches: Iterator[pa.RecordBatch], wanted: list[str]) -> Iterator[pa.RecordBatch]:
     stack: list = []
     last_key, last_block = None, None
@@ -126,8 +137,7 @@ def _carry_stacks(group: pd.DataFrame) -> pd.DataFrame:
         capture, frame, thread, block, taken, opened = record
         if block > 0:
             rows.append((capture, frame, thread, block, json.dumps(stack)))
-        for _ in range(taken):
-            _take_child(stack)
+        _take_children(stack, taken)
         stack.extend([o["idx"], o["left"], o["name"]] for o in opened)
     return pd.DataFrame(rows, columns=[*THREAD, "__block", "__entry"])
 
@@ -152,16 +162,13 @@ def with_tree(
     )
     place = [*THREAD, "__block"]
     schema = T.StructType(samples.schema.fields + [T.StructField(n, t) for n, _, t in _TREE if n in wanted])
-    rows, order = blocked, [*place, "sample_index"]
     if long_threads is None:
         long_threads = samples.filter(F.col("sample_index") >= size).select(*THREAD).distinct()
-    if not long_threads.isEmpty():
-        carried = _entry_rows(blocked, place, long_threads)
-        rows = rows.withColumn("__order", F.lit(1)).unionByName(carried, allowMissingColumns=True)
-        order = [*place, "__order", "sample_index"]
+    carried = _entry_rows(blocked, place, long_threads)
+    rows = blocked.withColumn("__order", F.lit(1)).unionByName(carried, allowMissingColumns=True)
     return (
         rows.repartition(*place)
-        .sortWithinPartitions(*order)
+        .sortWithinPartitions(*place, "__order", "sample_index")
         .mapInArrow(lambda batches: _scan(batches, wanted), schema)
     )
 
@@ -225,8 +232,7 @@ def self_time(tree: DataFrame) -> DataFrame:
         .withColumns({"start": offset, "tol": tolerance})
         .select(*parent_key, "sample_index", "start", "dur", "p_dur", "tol", (F.col("start") + F.col("dur")).alias("finish"))
     )
-    wide = parents.filter(F.col("p_children") > hot_row_limit(tree)).select(*parent_key)
-    ordered = running(placed, parent_key, ["start", "sample_index"], {"before": ("max", F.col("finish"))}, hot=wide)
+    ordered = running(placed, parent_key, ["start", "sample_index"], {"before": ("max", F.col("finish"))})
     infinite = float("inf")
     inside = (
         (F.abs("start") < infinite)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framescope.functions.windows import hot_row_limit, running
+from framescope.functions.windows import running
 from framescope.operators.tree import BLOCK_CONF, BLOCK_ROWS
 from framescope.schemas import ALLOC_MARKER, FRAME, MAIN_THREAD, THREAD
 
@@ -22,15 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work when the input comes in fewer pieces than that.
-
-    A large input has more file splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _keyed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_linestatus").alias("capture_id"),
@@ -172,4 +163,4 @@ def frames(spark: SparkSession, sf_dir: str, flawed: bool = True, position: bool
     )
     if not position:
         return out
-    return running(out, ["capture_id"], ["frame_index"], {"position": ("count", None)}, hot_rows=hot_row_limit(out))
+    return running(out, ["capture_id"], ["frame_index"], {"position": ("count", None)})

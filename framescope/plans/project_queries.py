@@ -40,7 +40,7 @@ def encoded_documents(spark, sf):
         .when(key % 19 == 0, F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("C3"))))
         .otherwise(F.encode(text, "UTF-8"))
     )
-    documents = adapters.spread(adapters.table(spark, sf, "documents").select("doc_id", "text"))
+    documents = adapters.table(spark, sf, "documents").select("doc_id", "text")
     return documents.select(F.concat(F.lit("doc"), key).alias("path"), content.alias("content"))
 
 
@@ -88,14 +88,18 @@ def project_lines(spark, sf):
             F.struct(name.alias("path"), F.when(i % 29 != 0, body).alias("body")), F.struct(F.concat(name, F.lit(".meta")).alias("path"), meta.alias("body"))
         )
         pages = adapters.table(spark, sf, "pages").select(F.inline(files)).filter("body IS NOT NULL")
-        rows = pages.select("path", F.posexplode("body").alias("n", "text"))
+        folder = F.when(i % 31 == 0, F.array(F.struct(F.lit("Assets.meta").alias("path"), F.lit("guid: " + "a" * 32).alias("text")), F.struct(F.concat(F.lit("Gone"), i, F.lit(".meta")).alias("path"), F.concat(F.lit("guid: "), F.md5(F.concat(F.lit("gone"), i.cast("string")))).alias("text"))))
+        metas = adapters.table(spark, sf, "pages").select(F.inline(folder)).distinct()
+        rows = pages.select("path", F.posexplode("body").alias("n", "text")).unionByName(metas.select("path", F.lit(1).alias("n"), "text"))
         return rows.select("path", (F.col("n") + 1).alias("line"), "text")
 
     return derived(spark, sf, "project_lines", build)
 
 
 PROJECT = f"""pg AS (SELECT page_id AS i, 'Assets/p' || page_id || '.asset' AS path, {GUID.format('CASE WHEN page_id % 23 = 0 AND page_id > 0 THEN page_id - 1 ELSE page_id END')} AS own FROM pages),
-  gd AS (SELECT own AS guid, path FROM pg), fl AS (SELECT path FROM pg WHERE i % 29 <> 0 UNION ALL SELECT path || '.meta' FROM pg),
+  gn AS (SELECT 'Gone' || page_id AS path, md5('gone' || page_id) AS guid FROM pages WHERE page_id % 31 = 0),
+  gd AS (SELECT own AS guid, path FROM pg UNION ALL SELECT guid, path FROM gn UNION ALL SELECT repeat('a', 32), 'Assets' FROM gn GROUP BY 1),
+  fl AS (SELECT path FROM pg WHERE i % 29 <> 0 UNION ALL SELECT path || '.meta' FROM pg UNION ALL SELECT path || '.meta' FROM gn UNION ALL SELECT 'Assets.meta' FROM gn GROUP BY 1),
   okp AS (SELECT * FROM pg WHERE i % 29 <> 0 AND i % 17 <> 0 AND i % 19 <> 0),
   ob AS (SELECT path, i + 1 AS id, 2 AS line, 'Page ' || i AS name FROM okp UNION ALL SELECT path, i + 900000, 9, 'Second' FROM okp WHERE i % 5 = 0),
   rf AS (SELECT path AS source, i + 1 AS object_id, 4 + k AS line, CASE k WHEN 2 THEN 'm_Ref2' ELSE 'm_Ref' || k END AS property, t AS tgt, {GUID.format('t')} AS guid, t + 1 AS file_id
@@ -125,7 +129,7 @@ def project_file_table(spark, sf):
 
 
 WARNINGS = f"""{PROJECT}, wn AS (SELECT 'duplicate_guid' AS kind, guid AS subject, count(*) AS n FROM gd GROUP BY 2 HAVING count(*) > 1
-  UNION ALL SELECT 'orphan_meta', path, 1 FROM pg WHERE i % 29 = 0
+  UNION ALL SELECT 'orphan_meta', path, 1 FROM pg WHERE i % 29 = 0 UNION ALL SELECT 'orphan_meta', path, 1 FROM gn
   UNION ALL SELECT 'unresolved_refs', guid, count(*) FROM rf WHERE guid IS NOT NULL AND guid NOT LIKE '0000000000000000%' AND guid NOT IN (SELECT guid FROM gd) GROUP BY 2)"""
 
 
@@ -161,13 +165,14 @@ def references_incoming(spark, sf):
 
 @check(
     "p5_references_outgoing",
-    f"""WITH {RESOLVED}, d AS (SELECT source, line, property, file_id, max(target_count) AS target_count FROM rv GROUP BY 1, 2, 3, 4),
+    f"""WITH {RESOLVED}, d AS (SELECT source, line, property, file_id, max(target_count) AS target_count, coalesce(string_agg(target, ';' ORDER BY target), '') AS targets, bool_or(object_resolved) AS object_resolved FROM rv GROUP BY 1, 2, 3, 4),
     r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY line) - 1 AS row_pos, count(*) OVER (PARTITION BY source) AS total FROM d)
-    SELECT source AS path, CAST(line AS INTEGER) AS line, property, CAST(file_id AS VARCHAR) AS file_id, target_count, row_pos, total FROM r""",
+    SELECT source AS path, CAST(line AS INTEGER) AS line, property, CAST(file_id AS VARCHAR) AS file_id, target_count, targets, object_resolved, row_pos, total FROM r""",
 )
 def references_outgoing(spark, sf):
     rows = ops.references(resolved(spark, sf), "outgoing")
-    return rows.select("path", "line", "property", "file_id", "target_count", "row_pos", "total")
+    targets = F.array_join("targets", ";").alias("targets")
+    return rows.select("path", "line", "property", "file_id", "target_count", targets, "object_resolved", "row_pos", "total")
 
 
 @check("p6_search_counts", f"WITH {LINES} SELECT path, count(*) AS hits, min(line) AS first_line FROM nl WHERE contains(text, 'the ') GROUP BY 1")

@@ -14,7 +14,7 @@ from framescope.sources import convention, dumps, routing, tables
 
 def orders(spark, sf):
     rows = adapters.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return adapters.spread(rows)
+    return rows
 
 
 def dump_texts(spark, sf):

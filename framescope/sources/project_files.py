@@ -12,6 +12,7 @@ TEXT_EXTENSIONS = [
 ]
 SKIPPED_FOLDERS = [".git", "library", "temp", "obj", "logs", "build", "builds", "bin", "node_modules"]
 CODE_BYTES, TEXT_BYTES = 2 * 1024 * 1024, 64 * 1024 * 1024
+#: Of a line: bytes in UTF-8 files, bytes of 16-bit units in UTF-16 files.
 MAX_LINE_BYTES = 1024 * 1024
 
 
@@ -72,7 +73,9 @@ def decode_text(content: Column) -> Column:
 def with_text(files: DataFrame) -> DataFrame:
     """Decoded ``text`` of each file, or ``reason`` why it is not text."""
     decoded = files.withColumn("text", decode_text(F.col("content")))
-    longest = F.array_max(F.transform(F.split("text", "\n"), lambda l: F.octet_length(l)))
+    wide = F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
+    size = lambda l: F.when(wide, F.octet_length(F.encode(l, "UTF-16BE"))).otherwise(F.octet_length(l))
+    longest = F.array_max(F.transform(F.split("text", "\n"), size))
     reason = (
         F.when(F.col("text").isNull(), F.lit("not UTF-8 or marked UTF-16 text"))
         .when(F.col("text").contains("\0"), F.lit("binary content"))

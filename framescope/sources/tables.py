@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,18 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-_local_folder: list[str] = []
 _derived: dict[tuple[str, str, str], tuple] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables; a local one only if unset."""
+    """The folder the cluster names for intermediate tables.
+
+    Where it names none, a folder of this application in the warehouse, which all
+    machines share too; it is deleted when the application ends.
+    """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if named:
         return named.rstrip("/")
-    if not _local_folder:
-        _local_folder.append(tempfile.mkdtemp(prefix="framescope-"))
-    return _local_folder[0]
+    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_framescope/{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return own
 
 
 def write_capture_table(df: DataFrame, path: str, mode: str = "error", by_capture: bool = True) -> None:

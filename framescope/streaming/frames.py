@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,63 +44,56 @@ def stream_frames(spark: SparkSession, folder: str, target: str, checkpoint: str
 
 
 INTERVALS = "capture_id STRING, frame_index BIGINT, frame_ms DOUBLE, reason STRING"
-BLOCK_FRAMES = 4096
 STATE = "frame_index BIGINT, raw_frame_id BIGINT, start_ns STRING, skipped BOOLEAN"
 
 
-def _interval(last: tuple, row: tuple) -> tuple:
-    """Duration of the carried frame once the next one is known; times are exact integers."""
-    import numpy as np
-
-    _, last_id, last_start, last_skipped = last
-    _, next_id, next_start, next_skipped = row
-    if last_skipped:
-        return None, "frame not recorded"
-    if next_skipped:
-        return None, "no next frame start"
-    if next_id != last_id + 1:
-        return None, "raw frame ids not consecutive"
-    if int(next_start) < int(last_start):
-        return None, "frame start goes back"
-    return float(np.float32(int(next_start) - int(last_start)) * np.float32(1e-6)), None
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One block of at most ``BLOCK_FRAMES`` frames, plus the frame that closes it."""
-    capture, block = key
-    closing = (block + 1) * BLOCK_FRAMES
-    last = tuple(state.get) if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("frame_index")
-    out = []
-    for row in rows[["frame_index", "raw_frame_id", "start_ns", "skipped"]].itertuples(index=False, name=None):
-        if last is not None and row[0] <= last[0]:
-            if row[0] != closing:
-                out.append((capture, row[0], None, "frame arrived after a later one"))
-            continue
-        if last is not None:
-            value, reason = _interval(last, row)
-            out.append((capture, last[0], value, reason))
-        last = (int(row[0]), int(row[1]), str(row[2]), bool(row[3]))
-    state.update(last)
-    if not out:
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
+    """The new frames of one recording; the state is its last frame seen."""
+    if state.hasTimedOut:
+        state.remove()
         return
-    yield pd.DataFrame(out, columns=["capture_id", "frame_index", "frame_ms", "reason"])
-
-
-def stream_intervals(headers: DataFrame) -> DataFrame:
-    """ST2: F3 over a stream of frame headers, carrying the last frame seen.
-
-    A frame's interval is emitted when the next frame arrives; the last one
-    stays open.  A frame older than the last seen is reported, not reordered.
-    State is kept per block of frame numbers, so one long recording is spread
-    over many tasks; the first frame of a block also closes the block before.
+    last = tuple(state.get) if state.exists else None
+    rows = pd.concat(list(batches)).sort_values("frame_index", kind="stable")
+    behind = rows["frame_index"].duplicated().to_numpy()
+    if last:
+        behind |= (rows["frame_index"] <= last[0]).to_numpy()
+    late, new = rows[behind], rows[~behind]
+    if len(late):
+        yield pd.DataFrame({"capture_id": key[0], "frame_index": late["frame_index"], "frame_ms": None, "reason": "frame arrived after a later one"})
+    if last:
+        before = pd.DataFrame([last], columns=["frame_index", "raw_frame_id", "start_ns", "skipped"])
+        new = pd.concat([before, new[before.columns]])
+    if len(new) > 1:
+        start = new["start_ns"].map(int).to_numpy(object)  # exact integers of any size
+        ids, skipped = new["raw_frame_id"].to_numpy(np.int64), new["skipped"].to_numpy(bool)
+        step = start[1:] - start[:-1]
+        reason = np.select(
+            [skipped[:-1], skipped[1:], ids[1:] != ids[:-1] + 1, (step < 0).astype(bool)],
+            ["frame not recorded", "no next frame start", "raw frame ids not consecutive", "frame start goes back"], "",
+        ).astype(object)
+        good = reason == ""
+        ms = np.full(len(step), np.nan)
+        ms[good] = (step[good].astype(np.float64).astype(np.float32) * np.float32(1e-6)).astype(np.float64)
+        reason[good] = None
+        frame_ms = pd.Series(ms, dtype=object).where(good, None)
+        yield pd.DataFrame({"capture_id": key[0], "frame_index": new["frame_index"].to_numpy()[:-1], "frame_ms": frame_ms.to_numpy(), "reason": reason})
+    end = new.iloc[-1]  # without a new frame this is the one carried
+    state.update((int(end["frame_index"]), int(end["raw_frame_id"]), str(end["start_ns"]), bool(end["skipped"])))
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
+
+
+def stream_intervals(headers: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """ST2: F3 over a stream of frame headers, carrying each recording's last frame seen.
+
+    A frame's interval is emitted when the next frame arrives, however far its
+    number is; the last one stays open.  A frame that is not after the last seen
+    of its recording is reported, not reordered.  One small state is kept for a
+    recording; with ``idle_ms`` it goes when nothing has come for so long (a stream
+    with a time limit runs on without data, so it does not suit a trigger that
+    ends).  A task takes the new frames of a recording in one batch; how many that
+    are is the source's batch limit.
     """
-    block = F.floor(F.col("frame_index") / BLOCK_FRAMES).cast("bigint")
-    first = (F.col("frame_index") % BLOCK_FRAMES == 0) & (F.col("frame_index") > 0)
-    blocks = F.array_compact(F.array(block, F.when(first, block - 1)))
-    rows = headers.select(
-        "capture_id", "frame_index", F.col("raw_frame_id").cast("bigint").alias("raw_frame_id"),
-        F.col("start_ns").cast("string").alias("start_ns"), "skipped", F.explode(blocks).alias("block"),
-    )
-    grouped = rows.groupBy("capture_id", "block")
-    return grouped.applyInPandasWithState(_advance, INTERVALS, STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    rows = headers.select("capture_id", "frame_index", F.col("raw_frame_id").cast("bigint").alias("raw_frame_id"), F.col("start_ns").cast("string").alias("start_ns"), "skipped")
+    return rows.groupBy("capture_id").applyInPandasWithState(partial(_advance, idle_ms=idle_ms), INTERVALS, STATE, "append", timeout)

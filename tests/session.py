@@ -1,3 +1,5 @@
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -7,6 +9,7 @@ def make_session() -> SparkSession:
         .appName("framescope-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="framescope-tests-"))
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")

@@ -38,7 +38,7 @@ def folder(tmp_path_factory):
 
 @pytest.fixture
 def low_limits(spark):
-    settings = {"spark.framescope.hotGroupRows": "100", "spark.framescope.treeBlockRows": "64"}
+    settings = {"spark.framescope.bucketRows": "100", "spark.framescope.treeBlockRows": "64"}
     for key, value in settings.items():
         spark.conf.set(key, value)
     yield

@@ -15,8 +15,7 @@ def run(stream, base):
     query.awaitTermination()
 
 
-def test_intervals_equal_the_batch_over_two_arrivals(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(frames, "BLOCK_FRAMES", 4)
+def test_intervals_equal_the_batch_over_two_arrivals(spark, tmp_path):
     rows = [(c, i, i + (i > 5), Decimal(2**63 + i * 1000 - (5000 if i == 8 else 0)), i == 3) for c in ("a", "b") for i in range(11)]
     base = str(tmp_path)
     for part in (rows[:4] + rows[11:20], rows[4:11] + rows[20:]):
@@ -27,6 +26,18 @@ def test_intervals_equal_the_batch_over_two_arrivals(spark, tmp_path, monkeypatc
     assert streamed == batch
 
 
+def test_gaps_over_thousands_of_frames(spark, tmp_path):
+    numbers = [4093, 4094, 4097, 4098, 20_000, 20_001, 90_000]
+    rows = [("a", i, i, Decimal(i * 1000), False) for i in numbers]
+    base = str(tmp_path)
+    for part in (rows[:2], rows[2:3], rows[3:6], rows[6:]):
+        spark.createDataFrame(part, HEADERS).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        run(frames.stream_intervals(spark.readStream.schema(HEADERS).parquet(f"{base}/in")), base)
+    found = {r.frame_index: r.reason for r in spark.read.schema(frames.INTERVALS).parquet(f"{base}/out").collect()}
+    gap = "raw frame ids not consecutive"
+    assert found == {4093: None, 4094: gap, 4097: None, 4098: gap, 20_000: None, 20_001: gap}
+
+
 def test_late_frame_is_reported(spark, tmp_path):
     base = str(tmp_path)
     for ids in ((0, 2), (1,)):

@@ -70,13 +70,13 @@ def test_self_time_rules(spark):
 
 def test_self_time_with_many_children_in_buckets(spark):
     kids = [(i * 0.05, i * 0.05 + 0.05) for i in range(150)]
-    spark.conf.set("spark.framescope.hotGroupRows", "20")
+    spark.conf.set("spark.framescope.bucketRows", "20")
     try:
         assert abs(self_of(spark, kids).self_ms - 2.5) < 1e-9
         kids[100] = (kids[100][0] - 0.01, kids[100][1])
         assert self_of(spark, kids).self_ms is None
     finally:
-        spark.conf.unset("spark.framescope.hotGroupRows")
+        spark.conf.unset("spark.framescope.bucketRows")
 
 
 def test_counter_has_no_self_time(spark):

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from framescope.functions.windows import numbered, page, rank_stats, running
+from framescope.functions.windows import BUCKET_ROWS_CONF, numbered, page, rank_stats, running
 
 
 def skewed(spark, rows=600):
@@ -12,14 +12,19 @@ def skewed(spark, rows=600):
     return data, spark.createDataFrame(data, "k STRING, a INT, b INT, v DOUBLE")
 
 
-@pytest.mark.parametrize("hot_rows", [10, 10_000])
-def test_running_matches_brute_force(spark, hot_rows):
+@pytest.fixture(params=[3, 40, 250_000])
+def buckets(spark, request):
+    spark.conf.set(BUCKET_ROWS_CONF, str(request.param))
+    yield
+    spark.conf.unset(BUCKET_ROWS_CONF)
+
+
+def test_running_matches_brute_force(spark, buckets):
     data, df = skewed(spark)
     out = running(
         df, ["k"], ["a", "b"],
         {"n": ("count", None), "s": ("sum", F.col("v")), "m": ("max", F.col("v")), "l": ("last", F.col("b"))},
         {"size": ("count", None), "total": ("sum", F.col("v"))},
-        hot_rows=hot_rows,
     )
     expected = []
     for k in {d[0] for d in data}:
@@ -38,16 +43,24 @@ def test_numbered_without_keys_and_deep_page(spark):
     assert [r.row_pos for r in deep.orderBy("row_pos").collect()] == list(range(550, 600))
 
 
-@pytest.mark.parametrize("limit", [2, 10_000])
-def test_rank_stats_nearest_rank(spark, limit):
+def test_rank_stats_nearest_rank(spark):
     def brute(values, q):
         values = sorted(values)
         return values[int((len(values) - 1) * q + 0.5)]
 
     groups = {"a": list(range(11)), "b": [0, 32], "c": [5] * 40 + [1], "d": [random.Random(1).randrange(500) for _ in range(700)]}
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("none", None)]
-    out = {r.k: r for r in rank_stats(spark.createDataFrame(rows, "k STRING, v DOUBLE"), "v", ["k"], limit).collect()}
+    out = {r.k: r for r in rank_stats(spark.createDataFrame(rows, "k STRING, v DOUBLE"), "v", ["k"]).collect()}
     assert set(out) == set(groups)
     for k, vs in groups.items():
         assert (out[k].p50, out[k].p95, out[k].p99, out[k].max, out[k].valid) == (brute(vs, 0.5), brute(vs, 0.95), brute(vs, 0.99), max(vs), len(vs))
     assert (out["b"].p50, out["a"].p50, out["a"].p95) == (32, 5, 10)
+
+
+def test_null_keys_and_no_job_while_building(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("x", 1)], "k STRING, n INT")
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    out = running(df, ["k"], ["n"], {"before": ("sum", F.col("n"))})
+    assert set(tracker.getJobIdsForGroup(None)) == before
+    assert {(r.k, r.n, r.before) for r in out.collect()} == {(None, 1, 0), (None, 2, 1), ("x", 1, 0)}
