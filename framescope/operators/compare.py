@@ -188,30 +188,35 @@ def association_top(rows: DataFrame) -> DataFrame:
 
 
 MAX_MATCHES = 5
+MATCH_BYTES = 8 * 1024
+OBSERVED = ["thread_group_name", "role", "path", "inclusive_ms_per_frame", "calls_per_frame", "gc_bytes_per_frame", "observed_frames", "total_frames"]
 
 
 def observe_markers(tasks: DataFrame, profile: DataFrame, available: bool = True) -> DataFrame:
     """Whether the names of selected marker tasks occur as the last marker of a path.
 
     ``tasks``: task_id, kind, selected, marker_names; ``profile`` of recording B.
-    One row per task and name with up to five matching paths.
+    One row per task and name with up to five matching paths and what was observed
+    on them, fewer if their JSON is over 8 KiB.
     """
     chosen = tasks.filter(F.col("selected") & (F.col("kind") == "marker"))
     names = chosen.select("task_id", F.explode_outer("marker_names").alias("name"))
+    leaves = profile.select(F.element_at("path", -1).alias("name"), F.struct("path_id", *OBSERVED).alias("match"))
+    none = F.array().cast(f"array<{leaves.schema['match'].dataType.simpleString()}>")
     if not available:
         status = F.when(F.col("name").isNull(), F.lit("manual")).otherwise(F.lit("unavailable"))
-        return names.select("task_id", "name", status.alias("status"), F.lit(0).cast("bigint").alias("total_paths"),
-                            F.array().cast("array<string>").alias("matches"), F.lit(False).alias("truncated"))
-    leaf = F.element_at("path", -1)
+        return names.select("task_id", "name", status.alias("status"), F.lit(0).cast("bigint").alias("total_paths"), none.alias("matches"), F.lit(False).alias("truncated"))
     wanted = names.select("name").distinct()
-    leaves = profile.withColumn("name", leaf).join(wanted, "name", "left_semi").select("name", "path_id")
+    leaves = leaves.join(wanted, "name", "left_semi")
     totals = leaves.groupBy("name").agg(F.count(F.lit(1)).alias("total_paths"))
-    first = page(leaves, ["name"], ["path_id"], 0, MAX_MATCHES)
-    shown = first.groupBy("name").agg(F.array_sort(F.collect_list("path_id")).alias("matches"))
-    joined = names.join(totals, "name", "left").join(shown, "name", "left")
-    total = F.coalesce("total_paths", F.lit(0))
+    first = page(leaves.withColumn("path_id", F.col("match.path_id")), ["name"], ["path_id"], 0, MAX_MATCHES)
+    found = F.array_sort(F.collect_list("match"))  # at most MAX_MATCHES, the path id comes first
+    shown = first.groupBy("name").agg(found.alias("found"))
+    cut = none
+    for many in range(1, MAX_MATCHES + 1):
+        part = F.slice("found", 1, many)
+        cut = F.when((F.size("found") >= many) & (F.octet_length(F.to_json(part)) <= MATCH_BYTES), part).otherwise(cut)
+    joined = names.join(totals, "name", "left").join(shown.select("name", cut.alias("matches")), "name", "left")
+    total, matches = F.coalesce("total_paths", F.lit(0)), F.coalesce("matches", none)
     status = F.when(F.col("name").isNull(), F.lit("manual")).when(total > 0, F.lit("observed")).otherwise(F.lit("not_observed"))
-    return joined.select(
-        "task_id", "name", status.alias("status"), total.alias("total_paths"),
-        F.coalesce("matches", F.array().cast("array<string>")).alias("matches"), (total > MAX_MATCHES).alias("truncated"),
-    )
+    return joined.select("task_id", "name", status.alias("status"), total.alias("total_paths"), matches.alias("matches"), (total > F.size(matches)).alias("truncated"))

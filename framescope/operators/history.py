@@ -9,6 +9,7 @@ status, capture_id, created_at, text).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -233,20 +234,30 @@ def replay_rows(items: DataFrame, log: DataFrame) -> DataFrame:
 
     ``items``: item_id, text, status.  ``log``: item_id, line_no, offset, chunk,
     terminated.  Offsets are bytes; a row below the length reached so far is a
-    duplicate and dropped whole, above it is a gap.  A last line without its end was never committed.
+    duplicate and dropped whole, above it is a gap.  A last line without its end was
+    never committed.  What a row reaches depends on the verdicts before it, so the
+    offsets and sizes of one item's rows (not their chunks) are walked in order.
     """
     saved = items.select("item_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("saved"))
-    rows = log.join(saved, "item_id").withColumn("stop", F.col("offset") + F.octet_length("chunk"))
-    committed = F.when(F.col("terminated"), F.col("stop"))
-    placed = running(rows, ["item_id"], ["line_no"], {"reached": ("max", committed)})
-    length = F.greatest("saved", F.coalesce("reached", F.lit(0)))
-    verdict = (
-        F.when(~F.col("terminated"), F.lit("uncommitted"))
-        .when(F.col("offset") > length, F.lit("gap"))
-        .when(F.col("offset") < length, F.lit("duplicate"))
-        .otherwise(F.lit("append"))
-    )
-    return placed.withColumn("verdict", verdict).drop("saved", "stop", "reached")
+    rows = log.join(saved, "item_id")
+    places = rows.select("item_id", "line_no", F.col("offset").cast("bigint").alias("offset"), F.octet_length("chunk").cast("bigint").alias("size"), "terminated", "saved")
+    key, line = (places.schema[c].dataType.simpleString() for c in ("item_id", "line_no"))
+    verdicts = places.groupBy("item_id").applyInPandas(_walk_journal, f"item_id {key}, line_no {line}, verdict string")
+    return log.join(verdicts, ["item_id", "line_no"])
+
+
+def _walk_journal(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("line_no", kind="stable")
+    length, verdicts = int(rows["saved"].iloc[0]), []
+    for offset, size, terminated in zip(rows["offset"].tolist(), rows["size"].tolist(), rows["terminated"].tolist(), strict=True):
+        if not terminated:
+            verdicts.append("uncommitted")
+        elif offset != length:
+            verdicts.append("gap" if offset > length else "duplicate")
+        else:
+            verdicts.append("append")
+            length += size
+    return rows[["item_id", "line_no"]].assign(verdict=verdicts)
 
 
 def replay_chunks(items: DataFrame, log: DataFrame) -> DataFrame:

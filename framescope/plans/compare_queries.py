@@ -190,10 +190,10 @@ def association_top(spark, sf):
 @check(
     "c8_observe_markers",
     f"""WITH {PROFILE}, t AS (SELECT p_partkey AS task_id, unnest(CASE WHEN p_partkey % 12 = 0 THEN [NULL] ELSE ['Update.' || p_brand, p_type, 'Unseen'] END) AS name FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 = 0),
-    m AS (SELECT leaf AS name, path_id, row_number() OVER (PARTITION BY leaf ORDER BY path_id) AS n, count(*) OVER (PARTITION BY leaf) AS k FROM prof WHERE capture_id = 'O'),
-    g AS (SELECT name, max(k) AS total_paths, string_agg(path_id, ';' ORDER BY path_id) FILTER (n <= 5) AS matches FROM m GROUP BY 1)
+    m AS (SELECT leaf AS name, path_id, inclusive_ms_per_frame AS ms, row_number() OVER (PARTITION BY leaf ORDER BY path_id) AS n, count(*) OVER (PARTITION BY leaf) AS k FROM prof WHERE capture_id = 'O'),
+    g AS (SELECT name, max(k) AS total_paths, string_agg(path_id, ';' ORDER BY path_id) FILTER (n <= 5) AS matches, max(ms) FILTER (n = 1) AS first_ms FROM m GROUP BY 1)
     SELECT CAST(task_id AS VARCHAR) AS task_id, t.name, CASE WHEN t.name IS NULL THEN 'manual' WHEN total_paths > 0 THEN 'observed' ELSE 'not_observed' END AS status,
-      coalesce(total_paths, 0) AS total_paths, coalesce(matches, '') AS matches, coalesce(total_paths > 5, false) AS truncated FROM t LEFT JOIN g ON g.name = t.name""",
+      coalesce(total_paths, 0) AS total_paths, coalesce(matches, '') AS matches, coalesce(total_paths > 5, false) AS truncated, first_ms FROM t LEFT JOIN g ON g.name = t.name""",
 )
 def observe_markers(spark, sf):
     key = F.col("p_partkey")
@@ -204,4 +204,5 @@ def observe_markers(spark, sf):
         F.when(key % 12 != 0, F.array(F.concat(F.lit("Update."), F.col("p_brand")), F.col("p_type"), F.lit("Unseen"))).otherwise(F.array().cast("array<string>")).alias("marker_names"),
     )
     found = compare.observe_markers(tasks, profile(spark, sf).filter("capture_id = 'O'"))
-    return found.withColumn("matches", F.array_join("matches", ";"))
+    ids = F.array_join(F.transform("matches", lambda m: m["path_id"]), ";")
+    return found.withColumn("first_ms", F.get("matches", F.lit(0))["inclusive_ms_per_frame"]).withColumn("matches", ids)

@@ -244,13 +244,15 @@ def select_reports(spark, sf):
 
 
 def journal(spark, sf):
-    """Turns of each conversation as journal rows; some repeated, some with a hole before them."""
+    """Turns of each conversation as journal rows; some repeated, alone or with more text, some with a hole before them."""
     turns = adapters.table(spark, sf, "conversations").select(F.col("conv_id").alias("item_id"), F.col("turn").alias("n"), F.col("text").alias("chunk"))
     placed = running(turns, ["item_id"], ["n"], {"offset": ("sum", F.octet_length("chunk").cast("bigint"))}, {"count": ("count", None)})
     hole = F.when((F.col("item_id") % 9 == 0) & (F.col("n") > 0), 3).otherwise(0)
-    repeats = F.when(F.col("item_id") % 4 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    repeats = F.when(F.col("item_id") % 2 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     cut = (F.col("item_id") % 5 == 2) & (F.col("n") == F.col("count") - 1)
     rows = placed.select("item_id", "n", F.explode(repeats).alias("again"), (F.col("offset") + hole).alias("offset"), "chunk", (~cut).alias("terminated"))
+    longer = (F.col("again") == 1) & (F.col("item_id") % 4 == 3)
+    rows = rows.withColumn("chunk", F.when(longer, F.concat("chunk", F.lit(" and more"))).otherwise(F.col("chunk")))
     return rows.withColumn("line_no", F.col("n") * 2 + F.col("again")).drop("n", "again")
 
 

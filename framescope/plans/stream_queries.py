@@ -73,14 +73,29 @@ def activity_log(spark, sf):
     return activity.checked_log(conversation_log(spark, sf), cap=3000).select("log_id", "line_no", "start", "next_cursor", "verdict")
 
 
+PAGE_SQL = f"""{LOG_SQL}, cu AS (SELECT conv_id, max(CASE WHEN turn = 1 THEN s END) AS cursor FROM vd WHERE verdict <> 'beyond_cap' GROUP BY 1),
+    w AS (SELECT vd.*, cursor, row_number() OVER (PARTITION BY conv_id ORDER BY s) - 1 AS row_pos FROM vd JOIN cu USING (conv_id) WHERE verdict <> 'beyond_cap' AND s >= cursor),
+    r AS (SELECT *, coalesce(sum(row_bytes) OVER (PARTITION BY conv_id ORDER BY row_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w WHERE row_pos < 4),
+    g AS (SELECT *, bool_or(verdict = 'out_of_order') OVER (PARTITION BY conv_id) AS broken FROM r WHERE before < 700)"""
+
+
+def _cursors(checked):
+    return checked.filter("line_no = 1 AND verdict <> 'beyond_cap'").select("log_id", F.col("start").alias("cursor"))
+
+
+@check("st3_activity_page", f"WITH {PAGE_SQL} SELECT conv_id AS log_id, turn AS line_no, row_pos, CAST(s + row_bytes AS BIGINT) AS next_cursor FROM g WHERE NOT broken")
+def activity_page(spark, sf):
+    checked = activity.checked_log(conversation_log(spark, sf), cap=3000)
+    return activity.log_page(checked, _cursors(checked), rows=4, size=700).select("log_id", "line_no", "row_pos", "next_cursor")
+
+
 @check(
-    "st3_activity_page",
-    f"""WITH {LOG_SQL}, cu AS (SELECT conv_id, max(CASE WHEN turn = 1 THEN s END) AS cursor FROM vd GROUP BY 1),
-    w AS (SELECT vd.*, cursor, row_number() OVER (PARTITION BY conv_id ORDER BY s) - 1 AS row_pos, min(s) OVER (PARTITION BY conv_id) AS first FROM vd JOIN cu USING (conv_id) WHERE verdict = 'kept' AND s >= cursor),
-    r AS (SELECT *, coalesce(sum(row_bytes) OVER (PARTITION BY conv_id ORDER BY row_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w WHERE row_pos < 4)
-    SELECT conv_id AS log_id, turn AS line_no, row_pos, CAST(s + row_bytes AS BIGINT) AS next_cursor FROM r WHERE before < 700 AND first = cursor""",
+    "st3_page_states",
+    f"""WITH {PAGE_SQL}, e AS (SELECT conv_id, coalesce(max(s + row_bytes) FILTER (verdict <> 'beyond_cap'), 0) AS stored, bool_or(verdict = 'beyond_cap') AS limited FROM vd GROUP BY 1),
+    p AS (SELECT conv_id, max(s + row_bytes) AS read_to, bool_or(broken) AS broken FROM g GROUP BY 1)
+    SELECT conv_id AS log_id, CASE WHEN broken THEN 'order_broken' ELSE 'ok' END AS status, CAST(CASE WHEN NOT broken THEN read_to END AS BIGINT) AS next_cursor,
+      NOT broken AND read_to < stored AS has_more, limited FROM cu JOIN e USING (conv_id) JOIN p USING (conv_id) WHERE cursor IS NOT NULL""",
 )
-def activity_page(spark, sf):
+def page_states(spark, sf):
     checked = activity.checked_log(conversation_log(spark, sf), cap=3000)
-    cursors = checked.filter("line_no = 1").select("log_id", F.col("start").alias("cursor"))
-    return activity.log_page(checked, cursors, rows=4, size=700).select("log_id", "line_no", "row_pos", "next_cursor")
+    return activity.page_states(checked, _cursors(checked), rows=4, size=700)
