@@ -80,14 +80,15 @@ def ordered_sum(df: DataFrame, key: str, place: Column, ties: list[str], value:
     return out.withColumn(before, F.col(before) + F.col(offset)).drop(at, cut, k2, cut2, part, offset)
 
 
-def numbered(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[str]]:
-    """``df`` with three columns that tell its rows apart, and their names: id, MD5 of the text, and a number among rows equal in both.
+def row_keys(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with two columns, the id and the text's MD5, and their names."""
+    name, key = fresh(df, "_row_id", "_row_md5")
+    return df.withColumn(name, F.col(doc_id)).withColumn(key, F.md5(F.col(text).cast("string").cast("binary"))), [name, key]
 
-    Rows equal in both may take each other's number.
-    """
-    name, key, number = fresh(df, "_row_id", "_row_md5", "_row_number")
-    keyed = df.withColumn(name, F.col(doc_id)).withColumn(key, F.md5(F.col(text).cast("string").cast("binary")))
-    return keyed.withColumn(number, F.row_number().over(Window.partitionBy(name, key).orderBy(F.lit(0)))), [name, key, number]
+
+def row_number(name: str, key: str) -> Column:
+    """A number among rows equal in id and text, which may take each other's."""
+    return F.row_number().over(Window.partitionBy(name, key).orderBy(F.lit(0)))
 
 
 class WordHashes(dict):

@@ -30,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, fresh, numbered, ordered_sum
+from .common import WORD, checkpointed, fresh, ordered_sum, row_keys, row_number
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -98,7 +98,10 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     Texts are read once, to be measured; what is ordered and joined is short.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *keep)
-    own = checkpointed(own)
+    return _mixture(checkpointed(own), keep, weights, share, most, schedules)
+
+
+def _mixture(own: DataFrame, keep: Sequence[str], weights: Sequence[int], share: float, most: int, schedules: Sequence[Sequence[float]]) -> DataFrame:
     targets = source_targets(own, weights, share, most).withColumnRenamed("source", "source_")
     name = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     own = own.withColumn("order_", name)
@@ -121,13 +124,16 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     its words, once, or twice from one and a half of them on.  Documents without
     words take no part of the mix and go.
     """
-    rows, (name, key, number) = numbered(docs, doc_id, text)
-    when, position = fresh(rows, "_when", "_position")
-    sized = rows.select(F.col(name).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), F.col(key).alias("key_"), F.col(number).alias("number_"))
-    found = mixture(sized, keep=("key_", "number_")).filter("size > 0")
+    rows, (name, key) = row_keys(docs, doc_id, text)
+    when, position, number = fresh(rows, "_when", "_position", "_row_number")
+    # texts are measured where they lie; only short rows are numbered and ordered
+    sized = rows.select(F.col(name).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.col(key).alias("key_"))
+    sized = checkpointed(sized.withColumn("number_", row_number("doc_id", "key_")))
+    found = _mixture(sized, ("key_", "number_"), WEIGHTS, SHARE, MOST, SCHEDULES).filter("size > 0")
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     read = F.when(times >= 2, F.array("position", "again_position")).when(times == 1, F.array("position"))
     taken = found.select(F.col("doc_id").alias("id_"), "key_", "number_", read.alias(when)).filter(F.col(when).isNotNull())
+    rows = rows.withColumn(number, row_number(name, key))
     names = [f"c{k}_" for k in range(len(rows.columns))]  # own names: those of docs may clash with the keys'
     at = dict(zip(rows.columns, names, strict=True))
     joined = rows.toDF(*names).join(taken, F.col(at[name]).eqNullSafe(F.col("id_")) & F.col(at[key]).eqNullSafe(F.col("key_")) & (F.col(at[number]) == F.col("number_")))

@@ -34,16 +34,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, even_slices
 
 LENGTH, GRAM = 200, 64
 PLACES = LENGTH - GRAM + 1
 #: Contexts of a seed that one task takes; symbols of one suffix array.
 MOST, BLOCK = 2048, 60_000
+#: Bytes of texts handled at a time.
+SLICE = 2_000_000
 _BYTES = np.random.Generator(np.random.Philox(key=64)).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64(0xFFFFFFFF)
@@ -79,27 +82,51 @@ def contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return h[place], place, first, np.append(first[1:], len(least)) - 1
 
 
-def suffix_array(text: list[int]) -> list[int]:
+def suffix_array(text: list[int] | np.ndarray) -> list[int]:
     """The suffixes of ``text`` (numbers below its length or not) in order.
 
     Its last symbol must be the least and occur once.
     """
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
-    start = [0] * n  # first place of a suffix's group
-    size = [0] * n  # members of the group that begins at a place
-    where = [0] * n  # place of a suffix
-    begin = 0
-    for place, s in enumerate(order):
-        if text[s] != text[order[begin]]:
-            begin = place
-        start[s] = begin
-        size[begin] += 1
-        where[s] = place
+    symbols = np.asarray(text)
+    first = np.argsort(symbols, kind="stable")
+    begins = np.concatenate([[True], symbols[first[1:]] != symbols[first[:-1]]])
+    begin = np.flatnonzero(begins)
+    order = first.tolist()
+    places = np.empty(n, np.int64)
+    places[first] = np.arange(n)
+    where = places.tolist()  # place of a suffix
+    start = begin[np.cumsum(begins) - 1][places].tolist()  # first place of a suffix's group
+    sizes = np.zeros(n, np.int64)
+    sizes[begin] = np.diff(np.append(begin, n))
+    size = sizes.tolist()  # members of the group that begins at a place
     previous = [-1] * n
     end = n
     while end > 0:
         group = start[order[end - 1]]
+        if group == end - 1:  # a group of one leads to one suffix at most
+            end = group
+            s = order[group]
+            p = s - 1
+            while p >= 0 and start[p] >= group:
+                p = previous[p]
+            previous[s] = p
+            if p >= 0:
+                g = start[p]
+                left = size[g] - 1
+                if left:
+                    size[g] = left
+                    to = g + left
+                    at = where[p]
+                    if at != to:
+                        other = order[to]
+                        order[at] = other
+                        where[other] = at
+                        order[to] = p
+                        where[p] = to
+                    size[to] = 1
+                    start[p] = to
+            continue
         members = order[group:end]
         if len(members) > 1:
             members.sort()
@@ -143,71 +170,96 @@ def suffix_array(text: list[int]) -> list[int]:
                         start[q] = new
     # from the least suffix on
     free = list(range(n))
-    placed = [False] * n
+    placed = bytearray(n + 1)
+    placed[n] = 1  # ends a walk: it is what -1 stands for
     out = [0] * n
     out[0] = n - 1
-    placed[n - 1] = True
+    placed[n - 1] = 1
     free[start[n - 1]] += 1
     for place in range(n):
         s = out[place] - 1
-        while s >= 0 and not placed[s]:
+        while not placed[s]:
             g = start[s]
-            out[free[g]] = s
-            free[g] += 1
-            placed[s] = True
+            to = free[g]
+            out[to] = s
+            free[g] = to + 1
+            placed[s] = 1
             s = previous[s]
     return out
 
 
+def comparable(group: list[tuple[bytes, int, int]]) -> list[tuple[list[int], int, int]]:
+    """Contexts that can share a window: (members, bytes before and after the seed's start that all their windows hold).
+
+    Contexts of one seed are parted by those bytes, and the parts again by the
+    more that they hold; a context left alone shares no window.
+    """
+    done, open_parts = [], [list(range(len(group)))]
+    while open_parts:
+        part = open_parts.pop()
+        before = min(group[k][2] for k in part)
+        after = LENGTH - max(group[k][1] for k in part)
+        cores: dict[bytes, list[int]] = {}
+        for k in part:
+            data, left, _ = group[k]
+            cores.setdefault(data[left - before : left + after], []).append(k)
+        if len(cores) == 1:
+            done.append((part, before, after))
+        else:
+            open_parts += [c for c in cores.values() if len(c) > 1]
+    return done
+
+
 def repeated_windows(groups: list[list[tuple[bytes, int, int]]]) -> list[list[np.ndarray]]:
     """For each context of each group, which of its windows occur in another context of the group.
 
     A group's contexts (bytes, bytes before the seed, the same for the last
     window) have equal seeds and differ.
     """
-    bytes_of: list[np.ndarray] = []
-    core_of: list[int] = []
-    cores: dict[tuple[int, bytes], int] = {}
-    widths, starts, windows, lefts = [], [], [], []
-    for number, group in enumerate(groups):
-        shared = LENGTH - max(left for _, left, _ in group)  # bytes from the seed on that all windows hold
-        for data, left, last in group:
-            core = cores.setdefault((number, data[left : left + shared]), len(cores))
-            core_of.append(core)
-            b = np.frombuffer(data, np.uint8).astype(np.int64)
-            bytes_of.append(np.concatenate([b[:left], [-1], b[left + shared :], [-2]]))
-            widths.append(LENGTH + 1 - shared)
-            windows.append(left - last + 1)
-            lefts.append(left)
-    many = len(bytes_of)
-    lengths = np.array([len(b) for b in bytes_of])
-    text = np.concatenate(bytes_of) + many
+    flags = [[np.zeros(left - last + 1, bool) for _, left, last in group] for group in groups]
+    parts: list[np.ndarray] = []
+    core_of, widths, cores_at, owners = [], [], [], []
+    core = 0
+    for g, group in enumerate(groups):
+        for members, before, after in comparable(group):
+            for k in members:
+                data, left, _ = group[k]
+                b = np.frombuffer(data, np.uint8).astype(np.int64)
+                parts.append(np.concatenate([b[: left - before], [-1], b[left + after :], [-2]]))
+                core_of.append(core)
+                widths.append(LENGTH + 1 - before - after)
+                cores_at.append(left - before)
+                owners.append((g, k))
+            core += 1
+    many = len(parts)
+    if not many:
+        return flags
+    lengths = np.array([len(p) for p in parts])
+    text = np.concatenate(parts) + many
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    text[starts + np.array(lefts)] = many + 256 + np.array(core_of)
+    cores_of, at_core, widths_of = np.array(core_of), np.array(cores_at), np.array(widths)
+    windows_of = np.array([len(flags[g][k]) for g, k in owners])
+    text[starts + at_core] = many + 256 + cores_of
     text[starts + lengths - 1] = np.arange(many)[::-1]
-    order = np.array(suffix_array(text.tolist()))
+    order = np.array(suffix_array(text))
     owner = np.repeat(np.arange(many), lengths)
     offset = np.arange(len(text)) - starts[owner]
-    windows_of, cores_of, lefts_of, widths_of = (np.array(x) for x in (windows, core_of, lefts, widths))
     a, b = order[:-1], order[1:]
     ca, cb = owner[a], owner[b]
-    near = (offset[a] < windows_of[ca]) & (offset[b] < windows_of[cb]) & (cores_of[ca] == cores_of[cb]) & (lefts_of[ca] - offset[a] == lefts_of[cb] - offset[b])
+    near = (offset[a] < windows_of[ca]) & (offset[b] < windows_of[cb]) & (cores_of[ca] == cores_of[cb]) & (at_core[ca] - offset[a] == at_core[cb] - offset[b])
     a, b, ca = a[near], b[near], ca[near]
     found = np.zeros(len(text), bool)
+    last = len(text) - 1
     for at in range(0, len(a), 4096):
         x, y, w = a[at : at + 4096], b[at : at + 4096], widths_of[ca[at : at + 4096]]
         step = np.arange(int(w.max()))
         inside = step[None, :] < w[:, None]
-        last = len(text) - 1
         same = ((text[np.minimum(x[:, None] + step, last)] == text[np.minimum(y[:, None] + step, last)]) | ~inside).all(axis=1)
         found[x[same]] = True
         found[y[same]] = True
-    flags = [found[s : s + w] for s, w in zip(starts, windows, strict=True)]
-    out, at = [], 0
-    for group in groups:
-        out.append(flags[at : at + len(group)])
-        at += len(group)
-    return out
+    for (g, k), s in zip(owners, starts.tolist(), strict=True):
+        flags[g][k] = found[s : s + len(flags[g][k])]
+    return flags
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -231,17 +283,20 @@ def _seeds(named: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], []]
-            for data, doc, tag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seed, place, first, last = contexts(data)
-                if len(seed):
-                    hashes = [xxhash.xxh64_intdigest(data[i : j + LENGTH]) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
-                    parts[0].append(seed.view(np.int64))
-                    parts[1].append(np.array(hashes, np.uint64).view(np.int64))
-                    parts[2].append(np.full(len(seed), doc))
-                    parts[3].append((tag << 48) | (place << 16) | ((place - first) << 8) | (place - last))
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], ["seed", "context", "doc", "at"])
+            sizes = pa.compute.binary_length(batch.column(0)).to_pylist()
+            for begin, end in even_slices(sizes, SLICE):  # a few texts at a time, so a worker stays small
+                parts: list[list[np.ndarray]] = [[], [], [], []]
+                for k in range(begin, end):
+                    data, doc, tag = (c[k].as_py() for c in batch.columns)
+                    seed, place, first, last = contexts(data)
+                    if len(seed):
+                        hashes = [xxhash.xxh64_intdigest(data[i : j + LENGTH]) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+                        parts[0].append(seed.view(np.int64))
+                        parts[1].append(np.array(hashes, np.uint64).view(np.int64))
+                        parts[2].append(np.full(len(seed), doc))
+                        parts[3].append((tag << 48) | (place << 16) | ((place - first) << 8) | (place - last))
+                if parts[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], ["seed", "context", "doc", "at"])
 
     return named.select("text", "doc", "tag").mapInArrow(rows, "seed long, context long, doc long, at long")
 
@@ -353,16 +408,17 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, kept = [], []
-            for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = _merged(found or [])
-                parts, at = [], 0
-                for begin, end in own:
-                    parts.append(data[at:begin])
-                    at = end
-                spans.append([{"begin": b, "end": e} for b, e in own])
-                kept.append(b"".join([*parts, data[at:]]))
-            sizes = pa.array([len(x) for x in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            sizes = pa.compute.binary_length(batch.column(1)).to_pylist()
+            for begin, end in even_slices(sizes, SLICE):
+                spans, kept = [], []
+                for k in range(begin, end):
+                    data, own = batch.column(1)[k].as_py(), _merged(batch.column(2)[k].as_py() or [])
+                    parts, at = [], 0
+                    for b, e in own:
+                        parts.append(data[at:b])
+                        at = e
+                    spans.append([{"begin": b, "end": e} for b, e in own])
+                    kept.append(b"".join([*parts, data[at:]]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(sizes[begin:end], pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     return joined.mapInArrow(rows, f"doc_id {kind}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
