@@ -10,7 +10,8 @@ neighbours under the same parent are joined by edges whose capacity falls with
 their distance in the tree.  The maximum flow's cut is the cheapest labelling.
 
 References are decoded, white space inside a block becomes one space, blocks are
-trimmed and joined by a line break in page order; nothing is capped.  Broken
+trimmed and joined in page order by ``separator`` (the query op9 gives two line
+breaks); nothing is capped.  Broken
 markup is read as far as it goes: an element left open ends with its parent.
 
 Null, empty and tagless input without a text worth it give an empty text.  Other
@@ -267,24 +268,24 @@ def minimum_cut(terminals: list[tuple[int, int]], joined: list[tuple[int, int, i
             k = before[k]
 
 
-def main_text(html: str | None) -> str:
-    """The content blocks of a page, joined by line breaks."""
+def main_text(html: str | None, separator: str = "\n") -> str:
+    """The content blocks of a page, joined by ``separator``."""
     found = blocks(html or "")
     if not found:
         return ""
     # the source's side is content: leaving it costs what calling the block boilerplate costs
     stays = minimum_cut([(c[1], c[0]) for c in (costs(b) for b in found)], edges(found))
-    return "\n".join(b.text for b, content in zip(found, stays, strict=True) if content)
+    return separator.join(b.text for b, content in zip(found, stays, strict=True) if content)
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", separator: str = "\n") -> DataFrame:
     """One row a page: ``page_id``, ``url``, ``text`` and ``n_chars`` (its code points)."""
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields[:2])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h) for h in batch.column(2).to_pylist()]
+            texts = [main_text(h, separator) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return own.mapInArrow(rows, f"{kinds}, text string, n_chars long")

@@ -66,7 +66,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(table(spark, sf_dir, "pages"))
+    return html_extract.extract(table(spark, sf_dir, "pages"), separator="\n\n")
 
 
 @query

@@ -175,6 +175,16 @@ def test_templates_of_the_pages_table(spark):
         assert found[r.page_id] == "\n".join(x for x in parts if x)
 
 
+def test_the_query_joins_blocks_by_two_line_breaks(spark):
+    from framescope.llm import queries
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r for r in queries.op9_html_extraction(spark, SF).collect()}
+    want = {r.page_id: html_extract.main_text(r.html).replace("\n", "\n\n") for r in pages.collect()}
+    assert {i: r.text for i, r in got.items()} == want and any("\n\n" in t for t in want.values())
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 # -- archives
 
 def test_archive_round_trip(spark):
