@@ -12,7 +12,9 @@ their distance in the tree.  The maximum flow's cut is the cheapest labelling.
 References are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined in page order by ``separator`` (the query op9 gives two line
 breaks); nothing is capped.  Broken
-markup is read as far as it goes: an element left open ends with its parent.
+markup is read as far as it goes: an element left open ends with its parent, also
+one that is not shown.  Parts that are not shown end neither a block nor a
+paragraph around them; in svg and math, ``/>`` closes and page elements break out.
 
 Null, empty and tagless input without a text worth it give an empty text.  Other
 columns are not read; repeated rows are extracted each; an empty table gives no
@@ -41,6 +43,12 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 # Element names and naming habits of web pages.
 UNSHOWN = frozenset("script style template noscript iframe object svg math canvas audio video head title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter q s samp small span strike strong sub sup time tt u var wbr".split())
+FOREIGN = frozenset("svg math".split())
+#: Elements in svg and math that hold page elements again, and page elements that end svg and math.
+PAGE_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav footer aside form button select textarea fieldset dialog menu header".split())
 CONTENT = frozenset("article main".split())
@@ -73,12 +81,13 @@ class Block:
 class Element:
     """An open element, with what it inherits from those around it."""
 
-    __slots__ = ("boilerplate", "content", "named", "number", "path", "tag", "unshown")
+    __slots__ = ("boilerplate", "content", "foreign", "named", "number", "path", "tag", "unshown")
 
     def __init__(self, tag: str, attributes: str, number: int, above: Element | None) -> None:
         self.tag, self.number = tag, number
         self.path = (*above.path, number) if above else (number,)
         self.unshown = tag in UNSHOWN or bool(above and above.unshown)
+        self.foreign = tag in FOREIGN or bool(above and above.foreign and tag not in PAGE_AGAIN)
         self.content = tag in CONTENT or bool(above and above.content)
         self.named = bool(above and above.named)
         marked = tag in BOILERPLATE and not (tag == "header" and self.content)
@@ -105,7 +114,9 @@ class Element:
 
 
 #: What an opening tag ends when it is found open nearest to it.
-_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head", "title"}}
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements whose content is no markup: to the first end tag, or only if their next tag is an end tag (else they were left open).
+_RAW = {t: re.compile(f"<(/){t}(?=[\\s/>])", re.I) for t in ("script", "style")} | {t: re.compile(f"<(/?){t}(?=[\\s/>])", re.I) for t in ("title", "noscript", "iframe")}
 
 
 def blocks(html: str) -> list[Block]:
@@ -114,14 +125,15 @@ def blocks(html: str) -> list[Block]:
     stack, found, number, at = [root], [], 1, 0
     text: list[str] = []
     linked, links = 0, 0
+    endless: set[str] = set()  # raw elements without an end tag in what is left
 
     def end_block() -> None:
         nonlocal linked
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                place = next(e for e in reversed(stack) if e.tag not in INLINE or e is root)
-                marked = stack[-1]
+                place = next(e for e in reversed(stack) if e.tag not in INLINE and not e.unshown or e is root)
+                marked = next(e for e in reversed(stack) if not e.unshown)
                 block = Block(whole, linked, place)
                 block.boilerplate |= marked.boilerplate
                 found.append(block)
@@ -154,40 +166,54 @@ def blocks(html: str) -> list[Block]:
                 links = max(0, links - 1)
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    if tag not in INLINE or any(e.tag not in INLINE for e in stack[k:]):
-                        if tag in INLINE:
+                    if tag in INLINE:
+                        if any(e.tag not in INLINE and not e.unshown for e in stack[k:]):
                             break  # an inline end does not end the blocks in it
+                    elif not stack[k].unshown:
                         end_block()
                     del stack[k:]
                     break
             continue
+        shut = token[3].rstrip().endswith("/")
+        if stack[-1].foreign and tag in BREAKS_OUT:
+            while stack[-1].foreign:
+                stack.pop()
+        if shut and (tag in FOREIGN or stack[-1].foreign):
+            continue
         if tag == "br":
-            text.append(" ")
+            if not stack[-1].unshown:
+                text.append(" ")
             continue
         if tag in INLINE:
-            if tag not in VOID and not token[3].rstrip().endswith("/"):
+            if tag not in VOID and not shut:
                 links += tag == "a"
                 stack.append(Element(tag, token[3], number, stack[-1]))
                 number += 1
             continue
-        end_block()
-        links = 0
-        if tag in VOID:
+        if tag == "body":  # ends the head and what was left open in it
+            head = next((k for k, e in enumerate(stack) if e.tag == "head"), len(stack))
+            del stack[head:]
+        if tag not in UNSHOWN and not stack[-1].unshown:
+            end_block()
+            links = 0
+            if tag in VOID:
+                continue
+            while len(stack) > 1 and stack[-1].tag in INLINE:
+                stack.pop()
+            if stack[-1].tag == "p" or stack[-1].tag in HEADINGS and tag in HEADINGS:
+                stack.pop()
+            ends = _ENDS.get(tag)
+            while ends and stack[-1].tag in ends and len(stack) > 1:
+                stack.pop()
+        elif tag in VOID:
             continue
-        while len(stack) > 1 and stack[-1].tag in INLINE:
-            stack.pop()
-        if stack[-1].tag == "p" or stack[-1].tag in HEADINGS and tag in HEADINGS:
-            stack.pop()
-        ends = _ENDS.get(tag)
-        while ends and stack[-1].tag in ends and len(stack) > 1:
-            stack.pop()
         stack.append(Element(tag, token[3], number, stack[-1]))
         number += 1
-        if tag in ("script", "style", "textarea", "title", "noscript", "iframe", "svg", "math", "template"):
-            close = re.compile(f"</{tag}", re.I).search(html, at)
-            if close is None and tag != "textarea":
-                break
-            if tag != "textarea":
+        if tag in _RAW and tag not in endless:
+            close = _RAW[tag].search(html, at)
+            if close is None:
+                endless.add(tag)
+            elif close[1]:
                 at = close.start()
     end_block()
     return found

@@ -175,6 +175,36 @@ def test_templates_of_the_pages_table(spark):
         assert found[r.page_id] == "\n".join(x for x in parts if x)
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<div><svg viewBox='0 0 1 1'/>one<p>two</p></div><p>three</p>", ["one", "two", "three"]),
+        ("<p>a <math/> b</p><svg><path d='x'/><g/></svg><p>c", ["a b", "c"]),
+        ("<p>a <svg><title>no</title><g><text>no</text></g></svg> b</p>", ["a b"]),
+        ("<p>a <script>if (x < 1) y('<p>no</p>')</script>b <noscript><img src=x></noscript>c</p><p>d", ["a b c", "d"]),
+        ("<div><noscript>no</div><p>a</p><noscript>no</noscript><p>b", ["a", "b"]),
+        ("<div><iframe src=x></div><p>a</p>", ["a"]),
+        ("<div><template><p>no</div><p>a</p>", ["a"]),
+        ("<div><script>no</div><p>a</p>", ["a"]),
+        ("<p>a</p><svg><path d=x><p>b</p><svg><svg></svg></svg><p>c", ["a", "b", "c"]),
+        ("<p>a <svg><path d=x></p><p>b</p>", ["a", "b"]),
+        ("<svg><foreignObject><p>no</p></foreignObject></svg><p>a", ["a"]),
+        ("<p>x <a href=1><svg></svg>y</a> z <canvas>no</canvas></p>", ["x y z"]),
+        ("<html><head><title>no<body><p>a", ["a"]),
+        ("<p>a <b>b<template>no</b> c</p><p>d", ["a b c", "d"]),
+    ],
+)
+def test_unshown_parts_swallow_nothing_else(html, want):
+    found = html_extract.blocks(html)
+    assert [b.text for b in found] == want
+    assert all(b.tag != "html" for b in found if b.text in ("a b", "a b c", "x y z", "d"))
+
+
+def test_a_link_goes_on_behind_a_picture():
+    block, = html_extract.blocks("<p><a href=1>one<svg><g/></svg>two</a> end</p>")
+    assert (block.text, block.linked, block.tag) == ("onetwo end", 6, "p")
+
+
 def test_the_query_joins_blocks_by_two_line_breaks(spark):
     from framescope.llm import queries
 
