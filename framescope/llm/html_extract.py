@@ -37,7 +37,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # Element names and naming habits of web pages.
@@ -63,25 +63,53 @@ BOILERPLATE_NAMES = frozenset(
 )
 CONTENT_NAMES = frozenset("article post entry story content main body text".split())
 IN_ARTICLE = frozenset(["header", "head"])
+ARTICLE_NAMES = frozenset("article post entry story".split())
+#: Words of a name that say what an element has or lacks, not what it is; and those that say where something beside it is.
+MODIFIERS = frozenset("has have with without no not hide hides show shows".split())
+SIDES = frozenset("left right top bottom both none on off".split())
 
 #: Weights of the classifier and of the edges, in thousandths.
-PLACED_BOILERPLATE, PLACED_CONTENT, NAMED_CONTENT = 14000, 4000, 1500
+PLACED_BOILERPLATE, NAMED_BOILERPLATE, PLACED_CONTENT, NAMED_CONTENT = 14000, 4200, 4000, 1500
 PRIOR, TEXTUAL_TAG, SENTENCE, LONGEST, LINKS = 600, 1000, 500, 3000, 3500
 SAME_PARENT, NEAR, FAR = 700, 300, 100
 
 
 class Block:
-    __slots__ = ("boilerplate", "content", "linked", "named", "parent", "path", "tag", "text")
+    __slots__ = ("boilerplate", "content", "doubted", "linked", "named", "parent", "path", "tag", "text")
 
     def __init__(self, text: str, linked: int, place: Element) -> None:
         self.text, self.linked, self.parent, self.tag = text, linked, place.number, place.tag
         self.boilerplate, self.content, self.named, self.path = place.boilerplate, place.content, place.named, place.path
+        self.doubted = place.doubted
+
+
+def said(value: str, article: bool) -> tuple[bool, bool, bool]:
+    """Whether a class or an id calls an element boilerplate, the same only by a name with a side, and content.
+
+    Each name speaks for itself, up to a word like "with": in a compound, words
+    for boilerplate outweigh words for content.  A header within an article, or
+    of one, holds its title.
+    """
+    boilerplate = beside = content = False
+    for name in value.split():
+        words = [x.lower() for x in _PART.findall(name)]
+        words = words[: next((k for k, w in enumerate(words) if w in MODIFIERS), len(words))]
+        against = BOILERPLATE_NAMES.intersection(words)
+        if article or ARTICLE_NAMES.intersection(words):
+            against -= IN_ARTICLE
+        if not against:
+            content |= not CONTENT_NAMES.isdisjoint(words)
+        elif words[-1] in SIDES:
+            beside = True
+        else:
+            boilerplate = True
+    return boilerplate, beside, content
 
 
 class Element:
     """An open element, with what it inherits from those around it."""
 
-    __slots__ = ("boilerplate", "content", "foreign", "named", "number", "path", "tag", "unshown")
+    __slots__ = ("boilerplate", "content", "doubted", "foreign", "named", "number", "path", "tag", "unshown")
 
     def __init__(self, tag: str, attributes: str, number: int, above: Element | None) -> None:
         self.tag, self.number = tag, number
@@ -91,25 +119,28 @@ class Element:
         self.content = tag in CONTENT or bool(above and above.content)
         self.named = bool(above and above.named)
         marked = tag in BOILERPLATE and not (tag == "header" and self.content)
+        own = tag in CONTENT
+        doubted = beside = named = False
         if attributes and "=" in attributes or "hidden" in attributes:
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), a or b or c
                 if name in ("class", "id"):
-                    names = {x.lower() for x in _PART.findall(value)}
-                    said = names & BOILERPLATE_NAMES
-                    if self.content or names & CONTENT_NAMES:
-                        said = said - IN_ARTICLE
-                    if said and tag not in ("html", "body"):
-                        marked = True
-                    elif names & CONTENT_NAMES:
-                        self.named = True
+                    against, at_side, for_it = said(value, self.content)
+                    doubted, beside, named = doubted or against, beside or at_side, named or for_it
                 elif name == "role":
                     marked |= value.lower() in BOILERPLATE_ROLES
-                    self.content |= value.lower() in ("main", "article")
+                    own |= value.lower() in ("main", "article")
                 elif name == "style":
                     marked |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-                else:
+                elif name == "hidden" or name == "aria-hidden":
                     marked |= name == "hidden" or value.lower() == "true"
+        self.content |= own
+        self.named |= named
+        # "sidebar-right" names a sidebar, but on what is the content it says where that is
+        doubted |= beside and not (own or named)
+        doubted &= tag not in ("html", "body")
+        # names are evidence only: an article below them, or below what they cost, can be content
+        self.doubted = doubted or bool(above and above.doubted and not own)
         self.boilerplate = marked or bool(above and above.boilerplate)
 
 
@@ -136,6 +167,7 @@ def blocks(html: str) -> list[Block]:
                 marked = next(e for e in reversed(stack) if not e.unshown)
                 block = Block(whole, linked, place)
                 block.boilerplate |= marked.boilerplate
+                block.doubted |= marked.doubted
                 found.append(block)
             text.clear()
             linked = 0
@@ -226,6 +258,9 @@ def costs(block: Block) -> tuple[int, int]:
     boilerplate = min(LONGEST, 20 * length) + TEXTUAL_TAG * (block.tag in TEXTUAL) + SENTENCE * (block.text[-1] in ".!?:;…\"'”»")
     if block.boilerplate:
         content += PLACED_BOILERPLATE
+    elif block.doubted:
+        content += NAMED_BOILERPLATE
+        boilerplate += NAMED_CONTENT * block.named
     elif block.content:
         boilerplate += PLACED_CONTENT
     elif block.named:

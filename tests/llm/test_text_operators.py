@@ -200,6 +200,28 @@ def test_unshown_parts_swallow_nothing_else(html, want):
     assert all(b.tag != "html" for b in found if b.text in ("a b", "a b c", "x y z", "d"))
 
 
+PROSE = "A sentence of an article that says something at some length, with a comma and an end. " * 3
+
+
+@pytest.mark.parametrize(
+    "layout",
+    [
+        "<article class='post has-sidebar'>{}</article>", "<div id='content' class='sidebar-right'>{}</div>", "<main class='page with-comments'>{}</main>", "<div id='content-with-sidebar'>{}</div>",
+        "<article data-hidden='false'>{}</article>", "<article title='hidden gems'>{}</article>", "<article data-id='comments-4'>{}</article>", "<div data-testid='x' data-class='sidebar' data-role='banner'>{}</div>",
+        "<div class='sidebar-layout'><article>{}</article></div>", "<div class='related notice'><main>{}</main></div>", "<div class='social-page'><div class='entry-content'>{}</div></div>",
+        "<article class='post'><div class='post-header'>{}</div></article>",
+    ],
+)
+def test_names_do_not_hide_articles(layout):
+    assert html_extract.main_text(layout.format(f"<p>{PROSE}</p><p>{PROSE}</p>")) == "\n".join([PROSE.strip()] * 2)
+
+
+@pytest.mark.parametrize("name", ["class='main-header'", "id='header-content'", "class='sidebar-right'", "class='comment-body'", "class='footer'", "hidden", "aria-hidden='true'", "role='banner'", "class='cookieNotice'"])
+def test_names_still_tell_boilerplate(name):
+    page = f"<div {name}><p>All the topics of this site, day by day.</p></div><article><p>{PROSE}</p></article>"
+    assert html_extract.main_text(page) == PROSE.strip()
+
+
 def test_a_link_goes_on_behind_a_picture():
     block, = html_extract.blocks("<p><a href=1>one<svg><g/></svg>two</a> end</p>")
     assert (block.text, block.linked, block.tag) == ("onetwo end", 6, "p")
