@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates."""
-    return minhash.keep_one(docs)
+    """The document with the smallest id of every group of near-duplicates: runs of five words, a similarity of 0.8 or more."""
+    return minhash.keep_one(docs, least=80)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

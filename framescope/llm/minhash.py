@@ -3,15 +3,15 @@
 *Sets.*  Words are runs of characters other than space and U+0009-U+000D, with A-Z
 in lower case.  A document's set are its distinct runs of five words; with fewer
 words, the whole sequence; without words (null, empty or blank text) the set is
-empty and linked with nothing.  Documents link when 100 * intersection >= 85 *
-union.  Documents with equal sets are one *node* (named by a 128-bit fingerprint
+empty and linked with nothing.  Documents link when 100 * intersection >= least *
+union; ``least`` is 85 for the query op4 and 80 for the stage of the pipeline.  Documents with equal sets are one *node* (named by a 128-bit fingerprint
 of the set); everything below works on nodes, so copies never meet each other.
 
 *Signatures.*  One hash of a shingle gives its bin (upper bits) and its rank in
 the bin.  The least rank of each bin is its value; an empty bin takes the value
 of the first bin with a value along its own random sequence of bins (optimal
 densification).  Bands of ``ROWS`` values are the buckets: a pair at the
-threshold shares none of ``BANDS`` buckets with a chance of about 2e-8.
+threshold shares none of ``BANDS`` buckets with a chance of about 2e-8 (3e-6 at 80).
 
 *Candidates.*  In a bucket every node is tested with the bucket's centre only, so
 there are fewer pairs than bucket entries.  Tests compare whole sets.  Links give
@@ -42,7 +42,7 @@ from .common import WordHashes, checkpointed, fresh, mixed, shingle_hashes
 from .components import components
 
 SHINGLE = 5
-#: Links have 100 * intersection >= LEAST * union.
+#: Links have 100 * intersection >= least * union; this is the default of ``least``.
 LEAST = 85
 BANDS, ROWS = 24, 4
 BINS = BANDS * ROWS
@@ -127,7 +127,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFra
     return own.mapInArrow(rows, "node binary, shingles binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Those of the (``a``, ``b``) pairs of nodes whose whole sets reach the threshold."""
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
@@ -137,11 +137,11 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             passed = np.zeros(batch.num_rows, bool)
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(a), len(b)) >= LEAST * max(len(a), len(b)):
+                if 100 * min(len(a), len(b)) >= least * max(len(a), len(b)):
                     joined = np.concatenate([a, b])
                     joined.sort(kind="stable")  # two sorted runs: one merge
                     shared = int(np.count_nonzero(joined[1:] == joined[:-1]))
-                    passed[k] = 100 * shared >= LEAST * (len(joined) - shared)
+                    passed[k] = 100 * shared >= least * (len(joined) - shared)
             chosen = pa.array(passed)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], ["a", "b"])
 
@@ -159,7 +159,7 @@ def _open(entries: DataFrame) -> DataFrame:
     return entries.join(buckets, "bucket")
 
 
-def _rest_linked(entries: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest_linked(entries: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Links (``a``, ``b``) among the nodes of the same bucket of labelled entries that join different labels.
 
     A bucket of n nodes is cut into blocks of about ``BLOCK`` nodes, and every two
@@ -186,7 +186,7 @@ def _rest_linked(entries: DataFrame, sets: DataFrame) -> DataFrame:
             part = common[at : at + COLUMNS]
             shared += _incidence(a, len(left), part) @ _incidence(b, len(right), part).T
         union = lengths[left][:, None] + lengths[right][None, :] - shared
-        near = (100 * shared >= LEAST * union) & (labels[left][:, None] != labels[right][None, :])
+        near = (100 * shared >= least * union) & (labels[left][:, None] != labels[right][None, :])
         parent = list(range(labels.max() + 1 if len(labels) else 0))
 
         def root(x: int) -> int:
@@ -224,7 +224,7 @@ def _incidence(spread: tuple[np.ndarray, np.ndarray], rows: int, columns: np.nda
     return out
 
 
-def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """Tested links (``a``, ``b``) between nodes that connect all nodes that the links of the whole table connect.
 
     ``signed`` is what ``signatures`` returned for ``docs``, persisted.
@@ -237,30 +237,30 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
     pairs = starred.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     wanted = starred.select("node").distinct().join(nodes.select("node", "first_id"), "node")
     sets = checkpointed(_sets(docs, wanted, doc_id, text))
-    found = checkpointed(_linked(pairs, sets).distinct())
+    found = checkpointed(_linked(pairs, sets, least).distinct())
     # a centre's pairs are all tested: what the others have with each other is open
     rest = _open(_labelled(starred.filter("node != centre").select("bucket", "node"), components(found)))
-    return found.union(_rest_linked(rest, sets))
+    return found.union(_rest_linked(rest, sets, least))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """One row a document: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id reachable), ``kept`` and ``text_md5``."""
     signed = signatures(docs, doc_id, text).persist()
-    labels = components(links(docs, signed, doc_id, text))
+    labels = components(links(docs, signed, doc_id, text, least))
     placed = _labelled(signed.drop("keys"), labels)
-    least = placed.filter(F.col("node").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "label", "left")
+    first = placed.filter(F.col("node").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    out = placed.join(first, "label", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "text_md5")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with their own columns.
 
     Rows of the same id and text are one document and stay once.
     """
     key, key_id, key_text = fresh(docs, "_text_md5", "_kept_id", "_kept_md5")
-    found = near_duplicates(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias(key_id), F.col("text_md5").alias(key_text)).distinct()
+    found = near_duplicates(docs, doc_id, text, least).filter("kept").select(F.col("doc_id").alias(key_id), F.col("text_md5").alias(key_text)).distinct()
     keyed = docs.withColumn(key, F.md5(F.col(text).cast("string").cast("binary")))
     stays = keyed.join(found, F.col(doc_id).eqNullSafe(F.col(key_id)) & F.col(key).eqNullSafe(F.col(key_text)), "left_semi")
     return stays.dropDuplicates([doc_id, key]).select(*(F.col(c) for c in docs.columns))

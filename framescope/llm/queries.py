@@ -41,7 +41,7 @@ ORACLES["op2_mixing"] = mixing.MIXTURE_SQL
 
 @query
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_md5")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), least=85).drop("text_md5")
 
 
 @query

@@ -105,6 +105,25 @@ def test_one_of_each_group_is_kept(spark):
     assert minhash.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_the_pipeline_links_from_80_percent_on(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        base = words(rng, 100, 5000)
+        edited = list(base)
+        for k in rng.sample(range(8, 92), rng.choice([1, 2, 3])):
+            edited[k] = "edit"
+        texts += [" ".join(base), " ".join(edited)]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(96)} for t in texts]
+    shares = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(0.8 <= x < 0.85 for x in shares) > 3 and min(shares) < 0.8
+    got = corpus_pipeline.near_duplicates(spark, docs(spark, [(k, t, "s") for k, t in enumerate(texts)]), SF)
+    want = set(range(0, 80, 2)) | {2 * k + 1 for k, x in enumerate(shares) if x < 0.8}
+    assert {r.doc_id for r in got.collect()} == want
+
+
 def test_signatures_estimate_the_resemblance():
     rng = np.random.default_rng(1)
     for size in (3, 30, 3000):
