@@ -21,7 +21,9 @@ linear and nothing is renamed or sorted again.  A window repeats exactly when a
 neighbour in the suffix array begins with it.
 
 Seeds with more than ``MOST`` contexts are not brought to one task: each of their
-windows goes by itself, dealt out by seed, place and content.
+windows goes by itself, named by its place and 128 bits of a hash, and contexts are
+counted for each name, in parts first.  No text of such a window is moved, and
+however many contexts hold a window, a task meets about ``MOST`` of them at a time.
 
 Texts are named by 79 bits of hashes.  Null texts are empty; texts shorter than
 LENGTH keep all.  Equal texts remove each other entirely.  Repeated rows get equal
@@ -301,12 +303,17 @@ def _seeds(named: DataFrame) -> DataFrame:
     return named.select("text", "doc", "tag").mapInArrow(rows, "seed long, context long, doc long, at long")
 
 
-def _texts(named: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted contexts (``seed``, ``context``, ``doc``, ``at``, ``split``), hot seeds window by window."""
+def _wanted_lists(named: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
+    """``text`` and ``list`` (``seed``, ``context``, ``at``, ``more``) of the texts that hold the wanted contexts."""
     firsts = named.groupBy("doc", "tag").agg(F.min("doc_id").alias("first_id"))
-    lists = wanted.groupBy("doc", _tag(F.col("at")).alias("tag")).agg(F.collect_list(F.struct("seed", "context", "at", "split")).alias("list"))
+    lists = wanted.groupBy("doc", _tag(F.col("at")).alias("tag")).agg(F.collect_list(F.struct("seed", "context", "at", *more)).alias("list"))
     lists = lists.join(firsts, ["doc", "tag"]).withColumnsRenamed({"doc": "doc_", "tag": "tag_"})
     joined = named.join(lists, (F.col("doc") == F.col("doc_")) & (F.col("tag") == F.col("tag_")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    return joined.select("text", "list")
+
+
+def _texts(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of the wanted contexts (``seed``, ``context``, ``doc``, ``at``)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,16 +321,44 @@ def _texts(named: DataFrame, wanted: DataFrame) -> DataFrame:
                 out: list[tuple] = []
                 for c in found:
                     place, left, last = (c["at"] >> 16) & 0xFFFFFFFF, (c["at"] >> 8) & 0xFF, c["at"] & 0xFF
-                    if not c["split"]:
-                        out.append((c["seed"], 0, c["context"], left, last, data[place - left : place - last + LENGTH]))
-                        continue
-                    for before in range(last, left + 1):
-                        window = data[place - before : place - before + LENGTH]
-                        out.append((c["seed"], 1 + before * c["split"] + xxhash.xxh32_intdigest(window) % c["split"], c["context"], before, before, window))
+                    out.append((c["seed"], c["context"], left, last, data[place - left : place - last + LENGTH]))
                 columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:5]), pa.array(columns[5], pa.binary())], ["seed", "salt", "context", "left", "last", "data"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:4]), pa.array(columns[4], pa.binary())], ["seed", "context", "left", "last", "data"])
+
+    return _wanted_lists(named, wanted).mapInArrow(rows, "seed long, context long, left long, last long, data binary")
+
+
+def _windows(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``seed``, ``before`` (bytes before the seed), ``window`` (128 bits of its hash), ``part`` and ``context`` of every window of the wanted contexts.
+
+    The parts, below the ``split`` of the seed, deal the contexts of a window evenly.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                seeds, befores, windows, parts, contexts_ = [], [], [], [], []
+                for c in found:
+                    place, left, last = (c["at"] >> 16) & 0xFFFFFFFF, (c["at"] >> 8) & 0xFF, c["at"] & 0xFF
+                    many = left - last + 1
+                    seeds += [c["seed"]] * many
+                    befores += range(last, left + 1)
+                    windows += [xxhash.xxh3_128_digest(data[place - k : place - k + LENGTH]) for k in range(last, left + 1)]
+                    parts += [(c["context"] & 0x7FFFFFFFFFFFFFFF) % c["split"]] * many
+                    contexts_ += [c["context"]] * many
+                yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(befores, pa.int64()), pa.array(windows, pa.binary()), pa.array(parts, pa.int64()), pa.array(contexts_, pa.int64())], ["seed", "before", "window", "part", "context"])
+
+    return _wanted_lists(named, wanted, "split").mapInArrow(rows, "seed long, before long, window binary, part long, context long")
+
 
-    return joined.select("text", "list").mapInArrow(rows, "seed long, salt long, context long, left long, last long, data binary")
+def _counted_repeats(windows: DataFrame) -> DataFrame:
+    """``seed``, ``context``, ``first``, ``last`` (both the same) of the windows that two or more contexts hold."""
+    name = ["seed", "before", "window"]
+    parts = windows.groupBy(*name, "part").agg(F.count(F.lit(1)).alias("n"))
+    again = parts.groupBy(*name).agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts")).filter("n > 1")
+    again = again.select(*name, F.explode("parts").alias("part"))
+    found = windows.join(again, [*name, "part"])
+    return found.select("seed", "context", F.col("before").alias("first"), F.col("before").alias("last"))
 
 
 def _sorted_repeats(texts: DataFrame) -> DataFrame:
@@ -332,7 +367,7 @@ def _sorted_repeats(texts: DataFrame) -> DataFrame:
     def solve(groups: list[list[tuple[int, int, bytes, int, int]]]) -> Iterator[tuple[int, int, int, int]]:
         hard = []
         for group in groups:
-            # windows sent one by one can be equal
+            # a text that stands in several rows of one id comes more than once
             by_data: dict[bytes, list] = {}
             for c in group:
                 by_data.setdefault(c[2], []).append(c)
@@ -356,18 +391,18 @@ def _sorted_repeats(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["seed", "context", "first", "last"])
 
         for batch in batches:
-            for seed, salt, context, left, last, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (seed, salt) != key:
+            for seed, context, left, last, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if seed != key:
                     if size >= BLOCK:
                         yield batch_of(solve(groups))
                         groups, size = [], 0
-                    key = (seed, salt)
+                    key = seed
                     groups.append([])
                 groups[-1].append((seed, context, data, left, last))
                 size += len(data)
         yield batch_of(solve(groups))
 
-    dealt = texts.repartition("seed", "salt").sortWithinPartitions("seed", "salt")
+    dealt = texts.repartition("seed").sortWithinPartitions("seed")
     return dealt.mapInArrow(rows, "seed long, context long, first long, last long")
 
 
@@ -379,9 +414,11 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     seeds = checkpointed(every.join(again, "seed").groupBy("seed", "context", "doc", "at").agg(F.count(F.lit(1)).alias("n")))
     distinct = seeds.groupBy("seed", "context").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "at")).alias("of"))
     several = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    split = F.when(F.col("many") > MOST, F.ceil(F.col("many") / MOST)).otherwise(0).cast("long")
-    wanted = distinct.join(several, "seed").select("seed", "context", "of.doc", "of.at", split.alias("split"))
-    partly = checkpointed(_sorted_repeats(_texts(named, wanted)))
+    wanted = distinct.join(several, "seed").select("seed", "context", "of.doc", "of.at", F.ceil(F.col("many") / MOST).cast("long").alias("split"))
+    partly = checkpointed(_sorted_repeats(_texts(named, wanted.filter("split = 1"))))
+    hot = checkpointed(wanted.filter("split > 1"))
+    if not hot.isEmpty():
+        partly = partly.unionByName(checkpointed(_counted_repeats(checkpointed(_windows(named, hot)))))
     left, right = F.shiftright("at", 8).bitwiseAND(F.lit(0xFF)), F.col("at").bitwiseAND(F.lit(0xFF))
     whole = distinct.filter("n > 1").select("seed", "context", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
     found = seeds.drop("n").join(whole.unionByName(partly), ["seed", "context"])

@@ -308,6 +308,34 @@ def test_repeats_are_brute_force(spark, monkeypatch, most):
     assert Counter((r.doc_id, r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans), bytes(r.kept)) for r in got) == brute_repeats(rows)
 
 
+def test_no_task_gathers_the_contexts_of_a_common_window(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(suffix_dedup, "MOST", 3)
+    gathered, sort, count = [], suffix_dedup._sorted_repeats, getattr(suffix_dedup, "_counted_repeats", None)
+
+    def largest(made, *key):
+        return made.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+    def sorting(texts):
+        gathered.append(largest(texts, *(c for c in ("seed", "salt") if c in texts.columns)))
+        return sort(texts)
+
+    def counting(windows):
+        gathered.append(largest(windows, "seed", "before", "window", "part"))
+        assert largest(windows, "seed", "before", "window") == 60 and "data" not in windows.columns
+        return count(windows)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_repeats", sorting)
+    monkeypatch.setattr(suffix_dedup, "_counted_repeats", counting, raising=False)
+    rng = random.Random(13)
+    passage = " ".join(words(rng, 80, 5000))
+    rows = [(k, " ".join(words(rng, 40, 5000) + [passage] + words(rng, 40, 5000)), "s") for k in range(60)]
+    got = suffix_dedup.without_repeats(docs(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans), bytes(r.kept)) for r in got) == brute_repeats(rows)
+    assert max(gathered) <= 4 * 3
+
+
 def test_repeats_of_an_empty_table(spark):
     assert suffix_dedup.without_repeats(docs(spark, [])).collect() == []
 
