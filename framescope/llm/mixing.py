@@ -117,6 +117,13 @@ def _mixture(own: DataFrame, keep: Sequence[str], weights: Sequence[int], share:
     return lined.select("doc_id", "size", "source_size", "target", taken.alias("taken"), at[0].alias("position"), (at[1] if most > 1 else F.lit(None).cast("double")).alias("again_position"), *keep)
 
 
+def in_training_order(found: DataFrame, tie: str = "doc_id") -> DataFrame:
+    """The rows of ``mixture`` sorted by ``position`` over all partitions; those not taken come last."""
+    # those not taken are spread by hash, or they would all be in one range
+    order = (F.col("position").asc_nulls_last(), F.when(F.col("position").isNull(), F.xxhash64(tie)), F.col(tie))
+    return found.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+
+
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents of the mix in training order, with the columns of ``docs``.
 

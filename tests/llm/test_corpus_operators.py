@@ -162,6 +162,15 @@ def test_mixture_reaches_its_targets(spark):
     assert all((r.position is None) == (r.taken == 0) and (r.position is None or 0 <= r.position <= 1) for r in got)
 
 
+def test_the_query_is_in_training_order(spark):
+    from framescope.llm import queries
+
+    at = {r.doc_id: r.position for r in mixing.mixture(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    found = [at[r.doc_id] for r in queries.op2_mixing(spark, SF).collect()]
+    want = sorted(found, key=lambda p: (p is None, p))
+    assert found == want and len({p for p in found if p is not None}) > 100
+
+
 def test_demand_is_inverted(spark):
     from pyspark.sql import functions as F
 
