@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, html_extract, language_id, minhash, mixing, quality, sharding, suffix_dedup, token_counts, warc, whitening
+from . import decontaminate, divergence, html_extract, language_id, language_model, minhash, mixing, quality, sharding, suffix_dedup, token_counts, warc, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ ORACLES["op13_source_divergence"] = divergence.DIVERGENCE_SQL
 @query
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_model.score(docs, language_model.held_out_sevenths("doc_id"))

@@ -124,3 +124,110 @@ def test_divergence_of_odd_tables(spark, monkeypatch):
 
 def test_divergence_of_an_empty_table(spark):
     assert divergence.divergences(spark.createDataFrame([], "text string, lang string, source string")).collect() == []
+
+
+# -- language-model scoring
+
+def tokens_of(text):
+    import re
+
+    return [*re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()), None]
+
+
+def brute_scores(rows, order=2, discount=0.75):
+    """(id, held out) -> the contract's base numbers and the interpolated model's score, with plain dictionaries."""
+    from collections import Counter, defaultdict
+    from math import log10
+
+    words = Counter(w for _, t, out in rows if not out for w in tokens_of(t))
+    total, kinds = sum(words.values()), len(words)
+    counts = [defaultdict(Counter) for _ in range(order + 1)]
+
+    def context(found, at, level):
+        return tuple(found[j] if j >= 0 else "start" for j in range(at - level + 1, at))
+
+    for _, t, out in rows:
+        found = tokens_of(t)
+        for at, w in enumerate(found):
+            for level in range(2, order + 1):
+                counts[level][context(found, at, level)][w] += not out
+    result = []
+    for i, t, out in rows:
+        found, base, model = tokens_of(t), 0.0, 0.0
+        for at, w in enumerate(found):
+            p = (words[w] + 1) / (total + kinds + 1)
+            base += log10(p)
+            for level in range(2, order + 1):
+                after = counts[level][context(found, at, level)]
+                many = sum(after.values())
+                if many:
+                    p = max(after[w] - discount, 0) / many + discount * sum(c > 0 for c in after.values()) / many * p
+            model += log10(p)
+        result.append((i, out, len(found), sum(words[w] > 0 for w in found), total, base, model))
+    return result
+
+
+def check_scores(found, rows, order=2):
+    found = sorted((tuple(r) for r in found), key=lambda r: (repr(r[0]), r[2], r[5]))
+    want = sorted(brute_scores(rows, order), key=lambda r: (repr(r[0]), r[2], r[5]))
+    assert [r[:5] for r in found] == [r[:5] for r in want]
+    for a, b in zip(found, want, strict=True):
+        assert a[5] == pytest.approx(b[5], abs=1e-6) and abs(a[6] - b[6]) <= 3e-4 * b[2] + 1e-6
+
+
+def test_scores_of_the_query_against_dictionaries(spark):
+    import zlib
+
+    rows = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    found = queries.QUERIES["op12_lm_scoring"](spark, SF)
+    assert found.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    found = found.collect()
+    check_scores(found, rows)
+    held = [r for r in found if r.held_out]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_with_many_slices_and_a_hot_context(spark, monkeypatch, order):
+    from framescope.llm import language_model
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(order)
+    rows = []
+    for k in range(120):
+        words = [w for n in rng.zipf(1.4, size=40) % 300 for w in ("the", f"W{n}É")]
+        rows.append((k % 50, " ".join(words), k % 6 == 0))
+    rows += [(None, None, False), (500, "", True), (501, " \t\n", False), (502, "Never seen BEFORE", True), (503, "the end " * 9_000, False)] + [(7, "the same text again", False)] * 5
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 700)
+    monkeypatch.setattr(language_model, "SLICE_ROWS", 256)
+    table = spark.createDataFrame([(i, t, out, "x", 1) for i, t, out in rows], "doc_id long, text string, out boolean, block string, slice int").repartition(3)
+    check_scores(language_model.score(table, F.col("out"), order=order).collect(), rows, order)
+
+
+def test_scores_without_training_and_without_rows(spark):
+    from framescope.llm import language_model
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in language_model.score(table, F.lit(True)).collect()) == [(1, True, 3, 0, 0, 0.0, 0.0), (2, True, 1, 0, 0, 0.0, 0.0)]
+    assert language_model.score(table.filter("doc_id > 5"), F.lit(None).cast("boolean")).collect() == []
+
+
+def test_levels_in_a_mapped_file(tmp_path):
+    import mmap
+
+    from framescope.llm.elias_fano import Level, Rising
+
+    rng = np.random.default_rng(2)
+    contexts = np.unique(rng.integers(0, 2**64 - 1, 500, dtype=np.uint64))
+    sizes = rng.geometric(0.1, len(contexts))
+    codes = np.concatenate([np.sort(rng.choice(2**32, n, replace=False)) for n in sizes]).astype(np.uint64)
+    (tmp_path / "level").write_bytes(Level.of(contexts, sizes, codes, np.arange(len(contexts)), np.arange(len(codes)) % 60_000).image())
+    with open(tmp_path / "level", "rb") as file:
+        level = Level.opened(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+    numbers = level.context(np.repeat(contexts, sizes))
+    assert (numbers == np.repeat(np.arange(len(contexts)), sizes)).all() and (level.successor(numbers, codes) == np.arange(len(codes))).all()
+    assert (level.context(contexts + np.uint64(1)) == -1).all() and (level.successor(numbers, codes ^ np.uint64(1 << 31)) == -1).mean() > 0.99
+    for values in ([], [0], [5, 5, 5], [2**64 - 1], list(range(300))):
+        rising = Rising.of(np.array(values, np.uint64))
+        assert rising.get(np.arange(len(values))).tolist() == values and all(values[k] == v for k, v in zip(rising.find(np.array(values, np.uint64)), values, strict=True))
