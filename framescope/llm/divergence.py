@@ -43,6 +43,8 @@ MIN_DF = 3
 VOCAB_SIZE = 2**31 - 1
 SCALE = 1_000_000_000
 TOP_TERMS = 200
+#: A group's terms are ranked in so many parts before they are ranked together.
+PARTS = 64
 #: Bytes of counted terms a task holds before it hands its sums on.
 HELD_BYTES = 48 << 20
 ENTRY_BYTES = 120
@@ -178,11 +180,14 @@ def _pairs(rows: DataFrame, held: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _terms(held: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     """The terms a group holds more often than its language, the largest differences first."""
-    placed = held.join(groups, ["lang", "source"])
+    # a group's terms lie in PARTS pieces, each joined and ranked apart: no task sees a hot group whole
+    copies = groups.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    placed = held.withColumn("piece", F.pmod(F.xxhash64("term"), F.lit(PARTS))).join(copies, ["lang", "source", "piece"])
     placed = placed.withColumn("p", probability(F.col("count"), F.col("size"), F.col("kept"))).withColumn("q", probability(F.col("total"), F.col("all"), F.col("kept")))
     above = placed.filter("p > q").withColumn("value", difference(F.col("p"), F.col("q")).cast("decimal(38,0)"))
-    order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "term")
-    ranked = above.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    order = (F.col("value").desc(), "term")
+    best = above.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "piece").orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))).filter(F.col("rank") <= top)
     return ranked.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
 
 

@@ -45,7 +45,7 @@ def test_components_of_paths_and_stars(spark):
 
 # -- near-duplicates
 
-def brute_components(rows):
+def brute_components(rows, least_similar=85):
     sets = {}
     for k, (_, t, _) in enumerate(rows):
         w = [x.lower() for x in (t or "").encode().split()]
@@ -60,7 +60,7 @@ def brute_components(rows):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= least_similar * (len(sets[a]) + len(sets[b]) - both):
                 label[root(a)] = root(b)
     groups = defaultdict(list)
     for k in range(len(rows)):
@@ -370,7 +370,7 @@ def test_pipeline_stage_by_stage(spark):
     kept = {r.doc_id for r in good.collect()}
     assert good.columns == columns and not kept & failed
     one = corpus_pipeline.STAGES[1][1](spark, good, SF).cache()
-    want = {i for i, _, _, k in brute_components([(i, rows[i].text, None) for i in sorted(kept)]) if k}
+    want = {i for i, _, _, k in brute_components([(i, rows[i].text, None) for i in sorted(kept)], 80) if k}
     assert one.columns == columns and {r.doc_id for r in one.collect()} == want
     clean = corpus_pipeline.STAGES[2][1](spark, one, SF).cache()
     leaking = {r.doc_id for r in decontaminate.leaks(one, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
