@@ -3,8 +3,11 @@
 Every order becomes one small recording text; its shape follows the order key.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from framescope.operators import validate
 from framescope.plans import adapters, inputs
 from framescope.plans.oracle import SAMPLES
 from framescope.plans.registry import check
@@ -17,9 +20,8 @@ def orders(spark, sf):
     return rows
 
 
-def dump_texts(spark, sf):
-    """A dump of one to three frames with two threads of two samples."""
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+def dump_thread(n, name, frame, key, cust):
+    """A thread of two samples: a root and an allocation in it."""
 
     def sample(index, name, ms, kids, size):
         return F.struct(
@@ -29,15 +31,19 @@ def dump_texts(spark, sf):
             F.lit("ignored").alias("extra"),
         )
 
-    def thread(n, name, frame):
-        ms = (cust % 50 + frame).cast("double") + 0.5
-        size = key + frame
-        return F.struct(
-            F.lit(n).alias("thread_index"), (F.lit(1000 + n)).alias("thread_id"), F.lit(name).alias("thread_name"), F.lit(None if n == 0 else "Jobs").alias("thread_group_name"),
-            size.alias("gc_alloc_total_bytes"),
-            F.array(sample(0, F.lit(name), ms, 1, None), sample(1, F.lit("GC.Alloc"), F.lit(0.125), 0, size)).alias("samples"),
-        )
+    ms = (cust % 50 + frame).cast("double") + 0.5
+    size = key + frame
+    return F.struct(
+        F.lit(n).alias("thread_index"), (F.lit(1000 + n)).alias("thread_id"), F.lit(name).alias("thread_name"), F.lit(None if n == 0 else "Jobs").alias("thread_group_name"),
+        size.alias("gc_alloc_total_bytes"),
+        F.array(sample(0, F.lit(name), ms, 1, None), sample(1, F.lit("GC.Alloc"), F.lit(0.125), 0, size)).alias("samples"),
+    )
+
 
+def dump_texts(spark, sf):
+    """A dump of one to three frames with two threads of two samples."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    thread = lambda n, name, frame: dump_thread(n, name, frame, key, cust)
     frames = F.transform(
         F.sequence(F.lit(0), key % 3),
         lambda n: F.struct(
@@ -57,15 +63,70 @@ DUMPED = """fd AS (SELECT o_orderkey AS k, o_custkey AS c, n FROM orders, (VALUE
     FROM fd, (VALUES (0), (1)) tt(t), (VALUES (0), (1)) ss(s))"""
 
 
+#: Customers of one recording file; every order is a frame of its customer's recording.
+FILE_CUSTOMERS = 30
+
+
+def dump_files(spark, sf):
+    """The folder of dump files, one per recording, written line by line; some are broken by recording number.
+
+    Of ten recordings one ends too early, one has frame times that are text, one
+    gives frame numbers twice and one has samples without time.
+    """
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    rows = orders(spark, sf).withColumn("r", F.floor(cust / FILE_CUSTOMERS).cast("bigint"))
+    threads = F.array(dump_thread(0, "Main Thread", F.lit(0), key, cust), dump_thread(1, "Worker", F.lit(0), key, cust))
+    frame = F.to_json(F.struct(key.alias("frame_index"), (cust + 0.5).alias("frame_time_ms"), F.lit(4).alias("sample_count_total"), (key * 2).alias("gc_alloc_bytes_total"), threads.alias("threads")))
+    kind = F.col("r") % 10
+    broken = (
+        F.when((kind == 5) & (key % 8 == 1), F.regexp_replace(frame, r'"frame_time_ms":[0-9.]+', '"frame_time_ms":"fast"'))
+        .when((kind == 7) & (key % 8 == 2), F.concat(F.lit('{"frame_index":0,'), F.substring(frame, 2, 1 << 30)))
+        .when((kind == 9) & (key % 8 == 3), F.regexp_replace(frame, '"time_ms":0.125,', ""))
+        .otherwise(frame)
+    )
+    first = rows.groupBy("r").agg(F.min("o_orderkey").alias("first"), F.count(F.lit(1)).alias("n"))
+    body = rows.join(first, "r").select("r", key.alias("pos"), F.concat(F.when(key == F.col("first"), F.lit("")).otherwise(F.lit(",")), broken).alias("value"))
+    head = first.select("r", F.lit(-1).cast("bigint").alias("pos"), F.concat(F.lit('{"unity_version": "6000.3.9f1", "notes": {"a]": [1, "}"]},\n "frame_count": '), F.col("n"), F.lit(', "frames": [')).alias("value"))
+    tail = first.filter("r % 10 != 3").select("r", F.lit(1 << 60).alias("pos"), F.lit(']\n, "end": [null]}').alias("value"))
+    lines = head.union(body).union(tail).withColumn("capture_id", F.concat(F.lit("rec"), "r"))
+    folder = f"{tables.shared_folder(spark)}/framescope-{uuid.uuid4().hex}"
+    lines.repartition("capture_id").sortWithinPartitions("capture_id", "pos").select("capture_id", "value").write.partitionBy("capture_id").text(folder)
+    return folder
+
+
+def read_dump_files(spark, sf):
+    return dumps.read_dump(spark, dump_files(spark, sf), lambda path: F.regexp_extract(path, "capture_id=([^/]+)/", 1))
+
+
+FILED = f"fo AS (SELECT o_orderkey AS k, o_custkey AS c, o_custkey // {FILE_CUSTOMERS} AS r FROM orders)"
+
+
 @check(
     "s1_read_dump",
-    f"WITH {DUMPED} SELECT capture_id, CAST(frame_index AS BIGINT) AS frame_index, CAST(thread_index AS BIGINT) AS thread_index, CAST(sample_index AS BIGINT) AS sample_index, CAST(sample_index AS BIGINT) AS pos, marker_name, category_index, time_ms, CAST(children_count AS BIGINT) AS children_count, bytes FROM sd",
+    f"""WITH {FILED}, ok AS (SELECT r FROM fo GROUP BY r HAVING r % 10 <> 3 AND NOT bool_or(r % 10 = 5 AND k % 8 = 1 OR r % 10 = 7 AND k % 8 = 2 OR r % 10 = 9 AND k % 8 = 3))
+    SELECT 'rec' || r AS capture_id, k AS frame_index, CAST(t AS BIGINT) AS thread_index, CAST(s AS BIGINT) AS sample_index, CAST(s AS BIGINT) AS pos, CASE WHEN s = 1 THEN 'GC.Alloc' WHEN t = 0 THEN 'Main Thread' ELSE 'Worker' END AS marker_name,
+      CAST(c % 40 AS INTEGER) AS category_index, CASE WHEN s = 0 THEN c % 50 + 0.5::DOUBLE ELSE 0.125::DOUBLE END AS time_ms, CAST(1 - s AS BIGINT) AS children_count, CASE WHEN s = 1 THEN k END AS bytes
+    FROM fo SEMI JOIN ok USING (r), (VALUES (0), (1)) tt(t), (VALUES (0), (1)) ss(s)""",
 )
 def read_dump(spark, sf):
-    rows = dumps.parse_dump(dump_texts(spark, sf))["samples"]
+    """Samples of the recordings that nothing breaks."""
+    found = read_dump_files(spark, sf)
+    rows = validate.reject(found["samples"], found["violations"])
     return rows.select(*SAMPLE, "pos", "marker_name", "category_index", "time_ms", "children_count", F.col("gc_alloc_bytes").cast("bigint").alias("bytes"))
 
 
+@check(
+    "s1_broken_dumps",
+    f"""WITH {FILED}
+    SELECT 'rec' || r AS capture_id, k AS frame_index, CAST(NULL AS BIGINT) AS thread_index, CAST(NULL AS BIGINT) AS sample_index, CASE r % 10 WHEN 5 THEN 'ill_typed:frame.frame_time_ms' ELSE 'duplicate_field:frame.frame_index' END AS rule
+    FROM fo WHERE r % 10 = 5 AND k % 8 = 1 OR r % 10 = 7 AND k % 8 = 2
+    UNION ALL SELECT 'rec' || r, k, CAST(t AS BIGINT), 1::BIGINT, 'missing:sample.time_ms' FROM fo, (VALUES (0), (1)) tt(t) WHERE r % 10 = 9 AND k % 8 = 3
+    UNION ALL SELECT DISTINCT 'rec' || r, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, 'malformed_json' FROM fo WHERE r % 10 = 3""",
+)
+def broken_dumps(spark, sf):
+    return read_dump_files(spark, sf)["violations"]
+
+
 def frame_texts(spark, sf):
     """Frame lists under changing field spellings; every fourth is a bare list."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -104,6 +165,32 @@ def read_frames_json(spark, sf):
     return frames.join(markers, key).join(sites, key).join(found["violations"].select(*key, "rule"), key, "left")
 
 
+@check(
+    "s2_broken_texts",
+    """WITH t AS (SELECT o_orderkey AS k FROM orders)
+    SELECT 'order' || k AS capture_id, frame_index, CAST(NULL AS BIGINT) AS thread_index, sample_index, rule FROM (
+      SELECT k, NULL::BIGINT AS frame_index, NULL::BIGINT AS sample_index, 'malformed_json' AS rule FROM t WHERE k % 8 IN (0, 1)
+      UNION ALL SELECT k, k % 5, NULL, 'ill_typed:cpuMs' FROM t WHERE k % 8 = 2
+      UNION ALL SELECT k, k % 5, 1, 'duplicate_field:mainThreadSamples.totalMs' FROM t WHERE k % 8 = 3
+      UNION ALL SELECT k, 0, NULL, 'ill_typed:drawCalls' FROM t WHERE k % 8 = 3
+      UNION ALL SELECT k, NULL, NULL, 'duplicate_field:meta.unityVersion' FROM t WHERE k % 8 = 4
+      UNION ALL SELECT k, NULL, NULL, 'missing:frames' FROM t WHERE k % 8 = 5
+      UNION ALL SELECT k, 0, 1, 'ill_typed:samples.callCount' FROM t WHERE k % 8 = 6)""",
+)
+def broken_texts(spark, sf):
+    """Texts broken by the order's key: truncated, ended by a comma, ill-typed, double-spelled, of another shape; one in eight is sound."""
+    key = F.col("o_orderkey")
+    frame = F.concat(F.lit('{"index": '), key % 5, F.lit(', "cpuMs": '))
+    shapes = [
+        F.concat(F.lit('{"frames": ['), frame, key), F.concat(F.lit("["), frame, F.lit("1},]")), F.concat(F.lit("["), frame, F.lit('"1"}]')),
+        F.concat(F.lit("["), frame, F.lit('2, "samples": [], "mainThreadSamples": [{"ms": 1}, {"ms": 1, "totalMs": 1}]}, {"index": 0, "drawCalls": -1}]')),
+        F.concat(F.lit('{"meta": {"unity": "a", "unityVersion": "a"}, "frames": ['), frame, F.lit("2.5}]}")), F.concat(F.lit('{"meta": {"frameCount": '), key, F.lit("}}")),
+        F.concat(F.lit('{"samples": [{"name": "a", "ms": '), key, F.lit('}, {"ms": 1, "callCount": 1.5}]}')), F.concat(F.lit('{"frames": ['), frame, F.lit("null}]}")),
+    ]
+    text = F.get(F.array(*shapes), (key % 8).cast("int"))
+    return convention.violations(orders(spark, sf).select(F.concat(F.lit("order"), key).alias("capture_id"), text.alias("json")))
+
+
 @check(
     "s3_read_flat_samples",
     """SELECT 'order' || o_orderkey AS capture_id, CASE WHEN o_orderkey % 5 NOT IN (0, 1) THEN o_custkey + 0.25::DOUBLE + o_orderkey % 10 END AS cpu_ms, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS DOUBLE) WHEN o_orderkey % 3 = 0 THEN 8.5::DOUBLE END AS frame_ms,
@@ -162,8 +249,6 @@ def fingerprint(spark, sf):
 )
 def capture_tables(spark, sf):
     """Write the samples as a canonical table, read it back and aggregate it."""
-    import uuid
-
     samples = inputs.samples(spark, sf)
     path = f"{tables.shared_folder(spark)}/framescope-{uuid.uuid4().hex}/samples"
     tables.write_capture_table(samples, path)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framescope.functions.scalars import alloc_bytes
 from framescope.schemas import (
-    CONVENTION, CONVENTION_FRAME, FRAME_ALIASES, FRAME_LIST_ALIASES, META_ALIASES, SAMPLE_ALIASES, U64_MAX, UNATTRIBUTED,
+    CONVENTION, CONVENTION_FRAME, FRAME_ALIASES, FRAME_LIST_ALIASES, META_ALIASES, SAMPLE, SAMPLE_ALIASES, U64_MAX, UNATTRIBUTED,
 )
+from framescope.sources.dump_reader import VIOLATION
 from framescope.sources.dumps import file_capture_id
+from framescope.sources.json_rules import check_convention
 from framescope.sources.tables import materialize
 
 
@@ -17,12 +22,22 @@ def _first(base: Column, spellings: list[str]) -> Column:
     return F.coalesce(*[base[s] for s in spellings])
 
 
-def _clashes(base: Column, groups: list[list[str]]) -> Column:
-    """Fields given under more than one spelling in one object, which the format forbids."""
-    double = [
-        F.when(sum((base[s].isNotNull().cast("int") for s in names), F.lit(0)) > 1, F.lit(names[0])) for names in groups if len(names) > 1
-    ]
-    return F.array_compact(F.array(*double))
+def violations(texts: DataFrame) -> DataFrame:
+    """What breaks each text: no JSON, values of another class than declared, fields given twice or under two spellings.
+
+    Rows carry the frame's number (its position where it has none) and the sample's
+    position.  The tables of a text with violations are what could be read of it;
+    ``validate.reject`` drops them.
+    """
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(c, *row) for c, text in zip(*(x.to_pylist() for x in batch.columns), strict=True) for row in check_convention(text).rows]
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            columns = zip(*found, strict=True) if found else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[*SAMPLE, "rule"])
+
+    return texts.select("capture_id", "json").mapInArrow(checked, f"capture_id STRING, {VIOLATION}")
 
 
 def read_convention(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -119,7 +134,6 @@ def parse_frames(texts: DataFrame, store: bool = False) -> dict[str, DataFrame]:
         field["draw_calls"].alias("draw_calls"),
         field["set_pass_calls"].alias("set_pass_calls"),
         main.alias("main"), sites.alias("sites"), _items(f, "render_events").alias("render"),
-        _clashes(f, [names for _, names in FRAME_ALIASES.values()] + list(FRAME_LIST_ALIASES.values())).alias("clashes"),
     )
     none = F.lit(None).cast("bigint")
     frames = rows.select(
@@ -149,10 +163,8 @@ def parse_frames(texts: DataFrame, store: bool = False) -> dict[str, DataFrame]:
                 _first(s, SAMPLE_ALIASES["max_bytes"][1]), _saturated(_first(s, SAMPLE_ALIASES["max_ms"][1])), total_bytes
             ).alias("max_bytes"),
         ),
-        "violations": rows.filter(F.size("clashes") > 0).select(
-            "capture_id", "frame_index", none.alias("thread_index"), none.alias("sample_index"),
-            F.concat(F.lit("duplicate_field:"), F.array_join("clashes", ",")).alias("rule"),
-        ),
+        "violations": violations(texts),
+        "warnings": counts.filter(F.coalesce("n", F.lit(0)) < 1).select("capture_id", F.lit("no frames parsed").alias("warning")),
     }
 
 
@@ -179,4 +191,6 @@ def parse_flat_samples(texts: DataFrame, store: bool = False) -> dict[str, DataF
                                 F.col("meta_platform").alias("platform"), F.col("meta_version").alias("version")),
         "frames": frames,
         "markers": _markers(rows, "sample"),
+        "violations": violations(texts),
+        "warnings": docs.select("capture_id", F.lit("flat samples: one estimated frame").alias("warning")),
     }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.schemas import DUMP
+from framescope.sources.dump_reader import read_pieces, read_texts
 from framescope.sources.tables import materialize
 
 
@@ -14,26 +16,27 @@ def file_capture_id(path):
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
-def read_dump(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFrame]:
-    """Read dump files; each file is one recording and is parsed by one task.
+def read_dump(spark: SparkSession, paths: str | list[str], capture_id: Callable[[Column], Column] | None = None) -> dict[str, DataFrame]:
+    """Read dump files, each one recording, frame by frame; no file is ever held whole.
 
-    The parsed recordings are stored once, so that the four tables taken from
-    them do not parse the texts again.
+    ``capture_id`` makes the recording's id of the file's path, by default its name.
+    The frames are stored once, so that the tables taken from them do not parse the
+    texts again.  Recordings that are broken have rows in ``violations``;
+    ``validate.reject`` drops them.
     """
-    raw = spark.read.schema(DUMP).json(paths, multiLine=True, mode="FAILFAST")
-    named = raw.select(F.url_decode(F.col("_metadata.file_name")).alias("__file"), "*")
-    return dump_tables(materialize(named.withColumn("capture_id", file_capture_id(F.col("__file"))).drop("__file")))
+    named = capture_id or (lambda path: file_capture_id(F.url_decode(path)))
+    return dump_tables(materialize(read_pieces(spark, paths, named)))
 
 
 def parse_dump(texts: DataFrame, column: str = "json") -> dict[str, DataFrame]:
-    """The same from JSON texts with a ``capture_id`` column."""
-    parsed = texts.select("capture_id", F.from_json(column, DUMP).alias("d"))
-    return dump_tables(parsed.select("capture_id", "d.*"))
+    """The same from JSON texts with a ``capture_id`` column, one recording a row."""
+    return dump_tables(read_texts(texts, column))
 
 
-def dump_tables(docs: DataFrame) -> dict[str, DataFrame]:
-    """Flatten nested dumps: captures, frames, threads and samples with list positions."""
-    frames = docs.select("capture_id", F.posexplode("frames").alias("frame_pos", "f"))
+def dump_tables(parsed: DataFrame) -> dict[str, DataFrame]:
+    """Flatten parsed dumps: captures, frames, threads and samples with list positions, and violations."""
+    docs = parsed.filter(F.col("f").isNull())
+    frames = parsed.filter(F.col("f").isNotNull()).select("capture_id", "frame_pos", "f")
     threads = frames.select("capture_id", "frame_pos", F.col("f.frame_index").alias("frame_index"), F.posexplode("f.threads").alias("thread_pos", "t"))
     samples = threads.select(
         "capture_id", "frame_index", F.col("t.thread_index").alias("thread_index"), F.posexplode("t.samples").alias("pos", "s")
@@ -41,6 +44,7 @@ def dump_tables(docs: DataFrame) -> dict[str, DataFrame]:
     return {
         "captures": docs.select("capture_id", F.col("frame_count").alias("declared_frame_count"), F.lit(None).cast("string").alias("platform"),
                                 F.col("unity_version").alias("version")),
+        "violations": docs.select("capture_id", F.inline("violations")),
         "frames": frames.select(
             "capture_id", F.col("frame_pos").cast("bigint").alias("position"),
             "f.frame_index", "f.frame_time_ms", "f.sample_count_total", "f.gc_alloc_bytes_total", F.size("f.threads").alias("thread_count"),

@@ -12,30 +12,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from framescope.schemas import DUMP
+from framescope.sources.dump_reader import read_texts
 from framescope.sources.dumps import dump_tables, file_capture_id
 
 
 def stream_dumps(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
-    """New dump files of a folder, one row per recording.
+    """New dump files of a folder as rows of ``dump_reader.PARSED``.
 
     A multi-line file is one recording named by the file; with
-    ``multi_line=False`` every line is one, named by its ``input_file``.
+    ``multi_line=False`` every line is one, named by its ``input_file`` or, where
+    that cannot be read, by a hash of the line.
     """
-    raw = spark.readStream.schema(DUMP).option("multiLine", str(multi_line).lower()).json(folder)
-    name = F.col("_metadata.file_name") if multi_line else F.col("input_file")
-    return raw.select(file_capture_id(name).alias("capture_id"), "*")
+    raw = spark.readStream.option("wholetext", str(multi_line).lower()).text(folder)
+    if multi_line:
+        name = file_capture_id(F.url_decode(F.col("_metadata.file_name")))
+    else:
+        given = F.try_variant_get(F.try_parse_json("value"), "$.input_file", "string")
+        name = F.coalesce(file_capture_id(given), F.concat(F.lit("line "), F.substring(F.sha2("value", 256), 1, 16)))
+    return read_texts(raw.select(name.alias("capture_id"), F.col("value").alias("json")))
 
 
-def stream_frames(spark: SparkSession, folder: str, target: str, checkpoint: str, multi_line: bool = True) -> StreamingQuery:
-    """ST1: write the frame rows of each new file once to a Parquet table.
-
-    The checkpoint remembers the files read and the file sink commits each
-    batch once, so a restart neither loses nor repeats a file.
-    """
-    frames = dump_tables(stream_dumps(spark, folder, multi_line))["frames"]
+def _written(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     return (
-        frames.writeStream.format("parquet")
+        rows.writeStream.format("parquet")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -43,6 +42,20 @@ def stream_frames(spark: SparkSession, folder: str, target: str, checkpoint: str
     )
 
 
+def stream_frames(spark: SparkSession, folder: str, target: str, checkpoint: str, multi_line: bool = True) -> StreamingQuery:
+    """ST1: write the frame rows of each new file once to a Parquet table.
+
+    The checkpoint remembers the files read and the file sink commits each
+    batch once, so a restart neither loses nor repeats a file.
+    """
+    return _written(dump_tables(stream_dumps(spark, folder, multi_line))["frames"], target, checkpoint)
+
+
+def stream_violations(spark: SparkSession, folder: str, target: str, checkpoint: str, multi_line: bool = True) -> StreamingQuery:
+    """ST1: write what breaks the recordings of each new file once to a Parquet table."""
+    return _written(dump_tables(stream_dumps(spark, folder, multi_line))["violations"], target, checkpoint)
+
+
 INTERVALS = "capture_id STRING, frame_index BIGINT, frame_ms DOUBLE, reason STRING"
 STATE = "frame_index BIGINT, raw_frame_id BIGINT, start_ns STRING, skipped BOOLEAN"
 
