@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 #: Rows of a bucket on average; a setting for tests, results do not depend on it.
 BUCKET_ROWS_CONF = "spark.framescope.bucketRows"
 BUCKET_ROWS = 250_000
-BUCKET_STEPS = tuple(2**k for k in range(24, -1, -1))
 GROUP_LIMIT_ROWS = 900
 
 
@@ -48,13 +47,14 @@ def with_range_bucket(df: DataFrame, columns: list[str], name: str = "__b") -> D
 
     The splitters are the rows whose hash falls on one value in ``bucket_rows``, so
     the choice depends on the data alone; they travel as one scalar-subquery value
-    and are found by binary search.
+    and are found by binary search, in as many steps as their number asks for.
     """
     key = F.struct(*[F.col(c) for c in columns])
     chosen = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(bucket_rows(df))) == 0
     splitters = df.filter(chosen).select(key.alias("k")).agg(F.array_sort(F.collect_set("k")).alias("s")).scalar()
+    steps = F.transform(F.sequence(F.floor(F.log2(F.size("__splitters") + 1)).cast("int"), F.lit(0)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
     bucket = F.aggregate(
-        F.array(*[F.lit(s) for s in BUCKET_STEPS]),
+        F.when(F.size("__splitters") > 0, steps).otherwise(F.array().cast("array<int>")),
         F.lit(0),
         lambda pos, step: F.when(F.get(F.col("__splitters"), pos + step - 1) <= key, pos + step).otherwise(pos),
     )

@@ -1,23 +1,25 @@
 """Call-tree operators over samples stored in pre-order.
 
-A thread is scanned in blocks of ``block_rows`` samples, each block in its own
-task slot.  Only the stack of open calls crosses from one block to the next, so
-a very long thread is never gathered into one group.
+A thread is cut into blocks of ``block_rows`` samples, each in its own task slot and
+matched with whole arrays (``brackets``).  Only the calls still open cross from one block
+to the next, as rows in front of it, so a very long thread is never gathered into one group.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framescope.functions.scalars import category_name
 from framescope.functions.windows import running
+from framescope.operators.brackets import Blocks, chains, depths, ends, nearest, taken_and_open
 from framescope.schemas import ALLOC_MARKER, FRAME, MAIN_THREAD, SAMPLE, THREAD, UNATTRIBUTED
 
 BLOCK_ROWS = 65_536
@@ -26,25 +28,121 @@ MAX_DEPTH = 64
 MAX_PATH_BYTES = 4096
 
 _OPEN = "ARRAY<STRUCT<idx: BIGINT, left: BIGINT, name: STRING>>"
+_PLACE = [*THREAD, "__block"]
 _TREE = [
     ("parent_index", pa.int64(), T.LongType()),
     ("depth", pa.int32(), T.IntegerType()),
     ("owner_name", pa.string(), T.StringType()),
     ("path", pa.list_(pa.string()), T.ArrayType(T.StringType())),
     ("ancestors", pa.list_(pa.int64()), T.ArrayType(T.LongType())),
+    ("subtree_bytes", pa.decimal128(38, 0), T.DecimalType(38, 0)),
 ]
 
 
-def _take_child(stack: list) -> None:
-    """Drop finished calls, then use up one child slot of the innermost open call."""
-    while stack and stack[-1][1] == 0:
-        stack.pop()
-    if stack:
-        stack[-1][1] -= 1
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches that end where a block ends, with their first rows of blocks marked."""
+
+    def marks(batch: pa.RecordBatch) -> np.ndarray:
+        found = np.ones(batch.num_rows, bool)
+        for name in ("__key", "__block"):
+            column = np.asarray(batch.column(name))
+            same = column[1:] == column[:-1]
+            found[1:] = ~same if name == "__key" else found[1:] | ~same
+        return found
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = marks(batch)
+        if held:
+            before = held[-1]
+            ends[0] = any(before.column(n)[before.num_rows - 1] != batch.column(n)[0] for n in ("__key", "__block"))
+        cuts = np.flatnonzero(ends)
+        cuts = cuts[cuts > 0] if not held else cuts
+        if not len(cuts):
+            held.append(batch)
+            continue
+        whole = pa.Table.from_batches([*held, batch.slice(0, cuts[-1])]).combine_chunks().to_batches()[0]
+        yield whole, marks(whole)
+        held = [batch.slice(cuts[-1])]
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield whole, marks(whole)
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.fill_null(0)).astype(np.int64)
+
+
+def _listed(rows: np.ndarray, begins: np.ndarray, column: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(begins, pa.int32()), column.take(pa.array(rows)))
+
+
+def _prefix(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of earlier rows of non-negative decimals below 2^64, as two parts: the upper and the lower 32 bits of each value."""
+    values = values.fill_null(0)
+    low = np.frombuffer(values.buffers()[1], np.uint64)[2 * values.offset :: 2][: len(values)]
+    return tuple(np.concatenate([[0], np.cumsum((low >> np.uint64(shift) & np.uint64(0xFFFFFFFF)).astype(np.int64))]) for shift in (32, 0))
+
+
+def _decimals(upper: np.ndarray, lower: np.ndarray) -> pa.Array:
+    """upper * 2^32 + lower as decimals."""
+    out = np.empty((len(upper), 2), np.uint64)
+    shifted = (upper.astype(np.uint64) & np.uint64(0xFFFFFFFF)) << np.uint64(32)
+    out[:, 0] = shifted + lower.astype(np.uint64)
+    out[:, 1] = (upper >> 32).astype(np.uint64) + (out[:, 0] < shifted)
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(out), [None, pa.py_buffer(out.tobytes())])
+
+
+def _scan(batches: Iterator[pa.RecordBatch], wanted: list[str], entries: bool) -> Iterator[pa.RecordBatch]:
+    """Tree columns of whole blocks; ``entries``: of the calls carried into blocks instead of the blocks' own."""
+    for batch, starts in _whole_blocks(batches):
+        carried = np.asarray(batch.column("__order").fill_null(0)) < 0
+        blocks = Blocks.of(starts, _numbers(batch.column("children_count")), carried)
+        parents = blocks.parents()
+        keep = np.flatnonzero(carried if entries else ~carried)
+        own = parents[keep]
+        around = pa.array(own, mask=own < 0)
+        names, made = batch.column("marker_name"), {}
+        if {"depth", "path", "ancestors"} & {*wanted}:
+            depth = depths(parents)
+            made["depth"] = pa.array(depth[keep].astype(np.int32))
+        if "parent_index" in wanted:
+            made["parent_index"] = batch.column("sample_index").take(around)
+        if "owner_name" in wanted:
+            owner = nearest(parents, np.asarray(pc.fill_null(pc.equal(names, ALLOC_MARKER), False).to_numpy(zero_copy_only=False)))[keep]
+            made["owner_name"] = names.take(pa.array(owner, mask=owner < 0))
+        if {"path", "ancestors"} & {*wanted}:
+            rows, begins = chains(keep, parents, depth)
+            made |= {n: _listed(rows, begins, batch.column(c)) for n, c in (("path", "marker_name"), ("ancestors", "sample_index")) if n in wanted}
+        if "subtree_bytes" in wanted:
+            behind = ends(parents)[keep]
+            made["subtree_bytes"] = _decimals(*(p[behind] - p[keep] for p in _prefix(batch.column("gc_alloc_bytes"))))
+        kept = batch if len(keep) == batch.num_rows else batch.take(pa.array(keep))
+        fields = [n for n in kept.schema.names if not n.startswith("__")]
+        yield pa.RecordBatch.from_arrays([kept.column(n) for n in fields] + [made[n] for n in wanted], names=fields + wanted)
+
+
+def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block: child slots taken from calls opened earlier, and calls left open."""
+    open_type = pa.list_(pa.struct([("idx", pa.int64()), ("left", pa.int64()), ("name", pa.string())]))
+    for batch, starts in _whole_blocks(batches):
+        blocks = Blocks.of(starts, _numbers(batch.column("children_count")), np.zeros(batch.num_rows, bool))
+        taken, opened, left = taken_and_open(blocks)
+        rows = np.concatenate(opened)
+        calls = pa.StructArray.from_arrays(
+            [batch.column("sample_index").take(pa.array(rows)), pa.array(left[rows]), batch.column("marker_name").take(pa.array(rows))], names=["idx", "left", "name"]
+        )
+        begins = np.concatenate([[0], np.cumsum([len(o) for o in opened])])
+        places = [batch.column(n).take(pa.array(np.flatnonzero(starts))) for n in _PLACE]
+        yield pa.RecordBatch.from_arrays(
+            [*places, pa.array(taken, pa.int64()), pa.ListArray.from_arrays(pa.array(begins, pa.int32()), calls).cast(open_type)], names=[*_PLACE, "taken", "opened"]
+        )
 
 
 def _take_children(stack: list, many: int) -> None:
-    """``_take_child`` that many times, by whole calls instead of single slots."""
+    """Use up child slots of the innermost open calls, dropping finished ones."""
     while many and stack:
         if stack[-1][1] == 0:
             stack.pop()
@@ -54,92 +152,43 @@ def _take_children(stack: list, many: int) -> None:
         many -= step
 
 
-def _scan(batches: Iterator[pa.RecordBatch], wanted: list[str]) -> Iterator[pa.RecordBatch]:
-    stack: list = []
-    last_key, last_block = None, None
-    for batch in batches:
-        keys = batch.column("__key").to_pylist()
-        blocks = batch.column("__block").to_pylist()
-        children = batch.column("children_count").to_pylist()
-        indexes = batch.column("sample_index").to_pylist()
-        names = batch.column("marker_name").to_pylist()
-        entries = batch.column("__entry").to_pylist() if "__entry" in batch.schema.names else None
-        keep, out = [], {name: [] for name in wanted}
-        for row, key in enumerate(keys):
-            if key != last_key or blocks[row] != last_block:
-                stack, last_key, last_block = [], key, blocks[row]
-            if entries is not None and entries[row] is not None:
-                stack = json.loads(entries[row])
-                continue
-            keep.append(row)
-            _take_child(stack)
-            if "parent_index" in out:
-                out["parent_index"].append(stack[-1][0] if stack else None)
-            if "depth" in out:
-                out["depth"].append(len(stack))
-            if "owner_name" in out:
-                out["owner_name"].append(next((s[2] for s in reversed(stack) if s[2] != ALLOC_MARKER), None))
-            if "path" in out:
-                out["path"].append([s[2] for s in stack] + [names[row]])
-            if "ancestors" in out:
-                out["ancestors"].append([s[0] for s in stack] + [indexes[row]])
-            if children[row] > 0:
-                stack.append([indexes[row], children[row], names[row]])
-        kept = batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
-        fields = [n for n in kept.schema.names if not n.startswith("__")]
-        types = {n: t for n, t, _ in _TREE}
-        yield pa.RecordBatch.from_arrays(
-            [kept.column(n) for n in fields] + [pa.array(out[n], types[n]) for n in wanted], names=fields + wanted
-        )
-
-
-def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block: child slots taken from calls opened earlier, and calls left open."""
-    keys_seen: dict = {}
-    for batch in batches:
-        rows = zip(
-            *(batch.column(c).to_pylist() for c in (*THREAD, "__block", "sample_index", "children_count", "marker_name"))
-        )
-        for capture, frame, thread, block, index, children, name in rows:
-            state = keys_seen.setdefault((capture, frame, thread, block), [0, []])
-            stack = state[1]
-            while stack and stack[-1][1] == 0:
-                stack.pop()
-            if stack:
-                stack[-1][1] -= 1
-            else:
-                state[0] += 1
-            if children > 0:
-                stack.append([index, children, name])
-            if len(keys_seen) > 1:
-                done = next(iter(keys_seen))
-                yield _summary_batch(done, keys_seen.pop(done))
-    for key, state in keys_seen.items():
-        yield _summary_batch(key, state)
-
-
-def _summary_batch(key: tuple, state: list) -> pa.RecordBatch:
-    opened = [{"idx": i, "left": n, "name": name} for i, n, name in state[1]]
-    open_type = pa.list_(pa.struct([("idx", pa.int64()), ("left", pa.int64()), ("name", pa.string())]))
-    columns = [
-        pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([key[2]], pa.int64()),
-        pa.array([key[3]], pa.int64()), pa.array([state[0]], pa.int64()), pa.array([opened], open_type),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=[*THREAD, "__block", "taken", "opened"])
-
-
 def _carry_stacks(group: pd.DataFrame) -> pd.DataFrame:
-    """Open-call stack at the start of every later block of one thread."""
-    group = group.sort_values("__block")
+    """Calls open at the start of every later block of one thread, outermost first."""
     stack: list = []
     rows = []
-    for record in group.itertuples(index=False):
-        capture, frame, thread, block, taken, opened = record
-        if block > 0:
-            rows.append((capture, frame, thread, block, json.dumps(stack)))
+    for capture, frame, thread, block, taken, opened in group.sort_values("__block").itertuples(index=False):
+        rows += [(capture, frame, thread, block, at - len(stack), idx, left, name) for at, (idx, left, name) in enumerate(stack)]
         _take_children(stack, taken)
         stack.extend([o["idx"], o["left"], o["name"]] for o in opened)
-    return pd.DataFrame(rows, columns=[*THREAD, "__block", "__entry"])
+    return pd.DataFrame(rows, columns=[*_PLACE, "__order", "sample_index", "children_count", "marker_name"])
+
+
+def _carried(samples: DataFrame, long_threads: DataFrame | None, block_rows: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Samples with their block, the threads of more than one block, and one more row in front of a block for each call open at its start."""
+    size = block_rows or int(samples.sparkSession.conf.get(BLOCK_CONF, str(BLOCK_ROWS)))
+    blocked = samples.withColumns(
+        {"__key": F.xxhash64(*THREAD), "__block": F.floor(F.col("sample_index") / size).cast("long"), "__order": F.lit(0).cast("long")}
+    )
+    if long_threads is None:
+        long_threads = samples.filter(F.col("sample_index") >= size).select(*THREAD).distinct()
+    summaries = (
+        blocked.select(*_PLACE, "__key", "sample_index", "children_count", "marker_name")
+        .join(long_threads, THREAD, "left_semi")
+        .repartition(*_PLACE)
+        .sortWithinPartitions(*_PLACE, "sample_index")
+        .mapInArrow(_summarise, f"capture_id STRING, frame_index BIGINT, thread_index BIGINT, __block BIGINT, taken BIGINT, opened {_OPEN}")
+    )
+    entries = summaries.groupBy(*THREAD).applyInPandas(
+        _carry_stacks,
+        "capture_id STRING, frame_index BIGINT, thread_index BIGINT, __block BIGINT, __order BIGINT, sample_index BIGINT, children_count BIGINT, marker_name STRING",
+    )
+    return blocked, long_threads, entries.withColumn("__key", F.xxhash64(*THREAD))
+
+
+def _scanned(rows: DataFrame, fields: list, wanted: list[str], entries: bool = False) -> DataFrame:
+    schema = T.StructType(fields + [T.StructField(n, t) for n, _, t in _TREE if n in wanted])
+    ordered = rows.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "__order", "sample_index")
+    return ordered.mapInArrow(lambda batches: _scan(batches, wanted, entries), schema)
 
 
 def with_tree(
@@ -155,41 +204,9 @@ def with_tree(
     ``long_threads`` names the threads with more than ``block_rows`` samples;
     by default they are found by a filter on ``sample_index``.
     """
-    size = block_rows or int(samples.sparkSession.conf.get(BLOCK_CONF, str(BLOCK_ROWS)))
+    blocked, _, carried = _carried(samples, long_threads, block_rows)
     wanted = [n for n, _, _ in _TREE if n in columns]
-    blocked = samples.withColumns(
-        {"__key": F.xxhash64(*THREAD), "__block": F.floor(F.col("sample_index") / size).cast("long")}
-    )
-    place = [*THREAD, "__block"]
-    schema = T.StructType(samples.schema.fields + [T.StructField(n, t) for n, _, t in _TREE if n in wanted])
-    if long_threads is None:
-        long_threads = samples.filter(F.col("sample_index") >= size).select(*THREAD).distinct()
-    carried = _entry_rows(blocked, place, long_threads)
-    rows = blocked.withColumn("__order", F.lit(1)).unionByName(carried, allowMissingColumns=True)
-    return (
-        rows.repartition(*place)
-        .sortWithinPartitions(*place, "__order", "sample_index")
-        .mapInArrow(lambda batches: _scan(batches, wanted), schema)
-    )
-
-
-def _entry_rows(blocked: DataFrame, place: list[str], long_threads: DataFrame) -> DataFrame:
-    """One extra row in front of each later block, holding the calls open at its start."""
-    summaries = (
-        blocked.select(*place, "sample_index", "children_count", "marker_name")
-        .join(long_threads, THREAD, "left_semi")
-        .repartition(*place)
-        .sortWithinPartitions(*place, "sample_index")
-        .mapInArrow(
-            _summarise,
-            f"capture_id STRING, frame_index BIGINT, thread_index BIGINT, __block BIGINT, taken BIGINT, opened {_OPEN}",
-        )
-    )
-    entries = summaries.groupBy(*THREAD).applyInPandas(
-        _carry_stacks,
-        "capture_id STRING, frame_index BIGINT, thread_index BIGINT, __block BIGINT, __entry STRING",
-    )
-    return entries.withColumns({"__order": F.lit(0), "__key": F.xxhash64(*THREAD)})
+    return _scanned(blocked.unionByName(carried, allowMissingColumns=True), samples.schema.fields, wanted)
 
 
 def attribute_alloc(samples: DataFrame, **kw) -> DataFrame:
@@ -273,16 +290,20 @@ def call_paths(samples: DataFrame, **kw) -> DataFrame:
     return tree.withColumn("path_rule", rule)
 
 
-def rollup_bytes(samples: DataFrame, **kw) -> DataFrame:
-    """T5: inclusive allocation of every sample (its own bytes and all descendants')."""
-    own = with_tree(samples, ("ancestors",), **kw).filter(F.col("gc_alloc_bytes").isNotNull())
-    summed = (
-        own.select(*THREAD, F.explode("ancestors").alias("sample_index"), "gc_alloc_bytes")
-        .groupBy(*SAMPLE)
-        .agg(F.sum("gc_alloc_bytes").alias("inclusive_bytes"))
-    )
-    zero = F.lit(0).cast("decimal(30,0)")
-    return samples.join(summed, SAMPLE, "left").withColumn("inclusive_bytes", F.coalesce("inclusive_bytes", zero))
+def rollup_bytes(samples: DataFrame, long_threads: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
+    """T5: inclusive allocation of every sample (its own bytes and all descendants').
+
+    A subtree is a run of rows, so inside a block its bytes are the difference of
+    two running sums.  Later blocks add what lies under the calls carried into
+    them: one row per open call and block, of long threads only.
+    """
+    blocked, long_threads, carried = _carried(samples, long_threads, block_rows)
+    fields = samples.schema.fields
+    here = _scanned(blocked.unionByName(carried, allowMissingColumns=True), fields, ["subtree_bytes"])
+    long_rows = blocked.join(long_threads, THREAD, "left_semi").unionByName(carried, allowMissingColumns=True)
+    later = _scanned(long_rows, fields, ["subtree_bytes"], entries=True).groupBy(*SAMPLE).agg(F.sum("subtree_bytes").alias("__later"))
+    total = F.col("subtree_bytes") + F.coalesce("__later", F.lit(0).cast("decimal(38,0)"))
+    return here.join(later, SAMPLE, "left").withColumn("inclusive_bytes", total.cast("decimal(30,0)")).drop("subtree_bytes", "__later")
 
 
 CPU_BUCKETS = {

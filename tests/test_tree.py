@@ -112,3 +112,38 @@ def test_category_sums_drop_unknown(spark):
     df = frame(spark, rows).withColumn("category_index", F.when(F.col("sample_index") == 0, 33).otherwise(999))
     found = tree.cpu_by_category(tree.with_tree(df)).first()
     assert (found.physics_ms, found.scripts_ms, found.others_ms) == (6.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("block_rows", [2, 5, 1000])
+def test_rollup_over_blocks_is_the_sum_over_ancestors(spark, block_rows):
+    rng = random.Random(block_rows)
+    threads = [random_thread(rng, t, rng.randint(1, 70), t % 4 == 0) for t in range(30)]
+    sizes = {(r[0][2], r[0][3]): rng.choice([None, 0, 7, 2**64 - 1, 2**63, 2**32]) for t in threads for r in t}
+    rows = [(*r[0][:8], None if (v := sizes[r[0][2], r[0][3]]) is None else Decimal(v), *r[0][9:]) for t in threads for r in t]
+    got = {(r.thread_index, r.sample_index): int(r.inclusive_bytes) for r in tree.rollup_bytes(frame(spark, rows), block_rows=block_rows).collect()}
+    want = dict.fromkeys(sizes, 0)
+    for t in threads:
+        parents = {r[0][3]: r[1] for r in t}
+        for r in t:
+            at = r[0][3]
+            while at is not None:
+                want[r[0][2], at] += sizes[r[0][2], r[0][3]] or 0
+                at = parents[at]
+    assert got == want
+
+
+def test_long_chains_and_flat_threads_in_arrays():
+    import time
+
+    import numpy as np
+
+    from framescope.operators.brackets import Blocks, depths, ends
+
+    begun = time.perf_counter()
+    for children in (np.r_[10**7 - 1, np.zeros(10**7 - 1, int)], np.r_[np.ones(10**6 - 1, int), 0]):
+        starts = np.arange(len(children)) == 0
+        blocks = Blocks.of(starts, children, np.zeros(len(children), bool))
+        parents, flat = blocks.parents(), children[0] > 1
+        assert (parents[1:] == (0 if flat else np.arange(len(children) - 1))).all() and (ends(parents)[0], parents[0]) == (len(children), -1)
+        assert (depths(parents) == (np.minimum(np.arange(len(children)), 1) if flat else np.arange(len(children)))).all()
+    assert time.perf_counter() - begun < 60
