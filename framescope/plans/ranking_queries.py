@@ -87,10 +87,11 @@ def hierarchy(spark, sf):
     FROM e WHERE row_pos < 3""",
 )
 def evidence(spark, sf):
-    """One field per sample, missing for every fourth supplier."""
+    """One field per sample; the fields of every fourth supplier have lost their sample."""
     samples = inputs.samples(spark, sf)
-    fields = samples.filter((F.col("metadata_count") > 0) & (F.col("marker_id") % 4 != 0)).select(
-        *SAMPLE, F.lit(0).alias("field_index"), F.lit("size").alias("field_name"), F.lit(4).alias("payload_type"),
+    owner = F.when(F.col("marker_id") % 4 != 0, F.col("sample_index")).alias("sample_index")
+    fields = samples.filter(F.col("metadata_count") > 0).select(
+        *THREAD, owner, F.lit(0).alias("field_index"), F.lit("size").alias("field_name"), F.lit(4).alias("payload_type"),
         F.col("gc_alloc_bytes").cast("string").alias("value"), F.lit("bytes").alias("unit"), F.lit("typed").alias("status"),
     )
     rows = ranking.evidence(samples, inputs.threads(spark, sf), fields, limit=3)
@@ -106,7 +107,7 @@ def evidence(spark, sf):
     f"""WITH {SAMPLES}, w AS (SELECT DISTINCT capture_id, frame_index - frame_index % 8 AS win, frame_index, thread_index FROM smp),
     av AS (SELECT capture_id, win, bool_and(frame_index % 47 <> 0) AS available FROM w GROUP BY 1, 2),
     e AS (SELECT capture_id, frame_index - frame_index % 8 AS win, frame_index, thread_index, sample_index AS event_index, CASE WHEN supp % 9 = 0 THEN -1 ELSE sample_index END AS sid,
-      supp AS flow_id, supp % 5 AS event_type, marker_name, time_ms FROM smp WHERE frame_index % 47 <> 0 AND supp % 2 = 0),
+      supp AS flow_id, supp % 5 AS event_type, marker_name, time_ms FROM smp),
     r AS (SELECT *, row_number() OVER (PARTITION BY capture_id, win ORDER BY frame_index, thread_index, event_index) - 1 AS row_pos FROM e),
     c AS (SELECT capture_id, win, count(*) AS total, count(*) FILTER (event_type = 0) AS begin_count, count(*) FILTER (event_type = 2) AS end_count, count(*) FILTER (event_type > 3) AS unknown_types FROM e GROUP BY 1, 2)
     SELECT av.capture_id, av.win AS "window", available, coalesce(total, 0) AS total, coalesce(begin_count, 0) AS begin_count, coalesce(end_count, 0) AS end_count, coalesce(unknown_types, 0) AS unknown_types,
@@ -115,11 +116,11 @@ def evidence(spark, sf):
     FROM av LEFT JOIN c USING (capture_id, win) LEFT JOIN (SELECT * FROM r WHERE row_pos < 5) r USING (capture_id, win)""",
 )
 def flows(spark, sf):
-    """All frames in windows of eight; frames divisible by 47 have no flow data."""
+    """All frames in windows of eight; threads of frames divisible by 47 do not vouch for their flow data."""
     window = F.col("frame_index") - F.col("frame_index") % 8
     samples = inputs.samples(spark, sf)
     supp = F.col("marker_id").cast("bigint")
-    events = samples.filter((F.col("frame_index") % 47 != 0) & (supp % 2 == 0)).select(
+    events = samples.select(
         *THREAD, window.alias("window"), F.col("sample_index").alias("event_index"),
         F.when(supp % 9 == 0, -1).otherwise(F.col("sample_index")).alias("sample_index"),
         supp.alias("flow_id"), (supp % 5).alias("event_type"),
