@@ -191,6 +191,23 @@ def broken_texts(spark, sf):
     return convention.violations(orders(spark, sf).select(F.concat(F.lit("order"), key).alias("capture_id"), text.alias("json")))
 
 
+@check(
+    "v3_negative_times",
+    """WITH t AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)
+    SELECT 'order' || k AS capture_id, k % 5 AS frame_index, CAST(NULL AS BIGINT) AS thread_index, CAST(NULL AS BIGINT) AS sample_index, rule FROM (
+      SELECT k, 'frame_time' AS rule FROM t WHERE c % 7 = 0 OR k % 11 = 0 UNION ALL SELECT k, 'marker_time' FROM t WHERE k % 3 = 0 OR k % 5 = 0)""",
+)
+def negative_times(spark, sf):
+    """Frame lists whose times fall below zero for some customers and orders."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    text = F.concat(
+        F.lit('[{"index": '), key % 5, F.lit(', "cpuMs": '), cust % 7 - 1, F.when(key % 11 == 0, F.lit(', "ms": -0.5')).otherwise(F.lit(', "ms": null')),
+        F.lit(', "samples": [{"name": "m", "ms": '), key % 3 - 1, F.lit(', "maxMs": '), key % 5 - 1, F.lit("}]}]"),
+    )
+    found = convention.parse_frames(orders(spark, sf).select(F.concat(F.lit("order"), key).alias("capture_id"), text.alias("json")), store=True)
+    return validate.negative_times(found["markers"], found["frames"])
+
+
 @check(
     "s3_read_flat_samples",
     """SELECT 'order' || o_orderkey AS capture_id, CASE WHEN o_orderkey % 5 NOT IN (0, 1) THEN o_custkey + 0.25::DOUBLE + o_orderkey % 10 END AS cpu_ms, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS DOUBLE) WHEN o_orderkey % 3 = 0 THEN 8.5::DOUBLE END AS frame_ms,
