@@ -92,13 +92,19 @@ def row_number(name: str, key: str) -> Column:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a limit, so memory stays bounded."""
+    """64-bit hashes of words (bytes), remembered up to a limit in words and bytes, so memory stays bounded."""
 
-    LIMIT = 400_000
+    LIMIT, LIMIT_BYTES = 400_000, 32 << 20
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.held = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
+        if len(self) >= self.LIMIT or self.held >= self.LIMIT_BYTES:
             self.clear()
+            self.held = 0
+        self.held += len(word)
         made = self[word] = xxhash.xxh64_intdigest(word)
         return made
 

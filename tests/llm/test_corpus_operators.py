@@ -202,7 +202,7 @@ def test_mixed_documents_repeat_and_keep_columns(spark):
 
 # -- decontamination
 
-def test_leaks_with_substitutions(spark):
+def test_leaks_with_substitutions(spark, monkeypatch):
     rng = random.Random(8)
     item = words(rng, 30, 10_000)
     changed = list(item)
@@ -221,8 +221,11 @@ def test_leaks_with_substitutions(spark):
     assert (one.doc_word, one.item_word, one.n_words, one.n_equal) == (9, 0, 30, 30)
     two = next(r for r in got if r.doc_id == 2)
     assert two.n_equal >= 20
-    small = decontaminate.leaks(table, bench, block_words=1)
-    assert Counter(r.doc_id for r in small.collect()) == Counter([1, 2, 4, None, 8, 8, 9])
+    with monkeypatch.context() as patched:  # nothing is small enough to send: all goes through salted joins
+        for name in ("SENT_SEEDS", "SENT_BYTES", "SENT_KEYS", "ITEMS"):
+            patched.setattr(decontaminate, name, 1 if name == "ITEMS" else -1)
+        assert Counter(decontaminate.leaks(table, bench).collect()) == Counter(got)
+        assert Counter(r.doc_id for r in decontaminate.keep_clean(table, bench).collect()) == Counter([3, 5, 6, 7, 1])
     clean = decontaminate.keep_clean(table, bench)
     assert clean.columns == table.columns and Counter(r.doc_id for r in clean.collect()) == Counter([3, 5, 6, 7, 1])
     assert decontaminate.leaks(table, bench.filter("item_id = 0")).collect() == [] and decontaminate.leaks(docs(spark, []), bench).collect() == []
@@ -242,6 +245,44 @@ def test_leaks_of_the_tables_are_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(table, bench).collect()} == want
 
 
+@pytest.mark.parametrize("run", [10, 11, 12])
+def test_an_exact_run_inside_a_poor_stretch_leaks(spark, run):
+    rng = random.Random(run)
+    item = words(rng, 130, 10_000)
+    doc = [w if k % 7 in (0, 1, 2, 4, 5) or 60 <= k < 60 + run else "other" for k, w in enumerate(item)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item)), (None, " ".join(item[::-1]))], "item_id long, text string")
+    rows = [(1, " ".join(doc), "s"), (2, " ".join(item[60 : 60 + run]), "s"), (3, " ".join(item[60:69]), "s")]
+    got = decontaminate.leaks(docs(spark, rows), bench).collect()
+    assert Counter((r.doc_id, r.item_id) for r in got) == Counter([(1, 1), (1, 2), (2, 1), (2, 2)])
+    assert all(100 * r.n_equal >= 75 * r.n_words and r.n_equal >= run for r in got)
+
+
+def test_stretches_and_shifts_are_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        equal = rng.random(rng.integers(0, 60)) < rng.choice([0.5, 0.7, 0.8, 0.95])
+        most = max((int(equal[a:b].sum()) for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if 100 * equal[a:b].sum() >= 75 * (b - a)), default=0)
+        got = decontaminate.best_stretch(equal)
+        assert (got[2] if got else 0) == (most if most >= 10 else 0)
+        if got:
+            assert equal[got[0] : got[1]].sum() == got[2] and 100 * got[2] >= 75 * (got[1] - got[0])
+        doc, item = (rng.integers(1, rng.choice([2, 3, 9]), rng.integers(0, 40)).astype(np.uint64) for _ in range(2))
+        want = {a - b for x, y in zip(decontaminate.seeds(doc), decontaminate.seeds(item)) for a in range(len(x)) for b in range(len(y)) if x[a] == y[b]}
+        assert set(decontaminate.shifts(doc, item).tolist()) == want
+
+
+def test_repeated_words_cost_their_length(spark):
+    import time
+
+    start = time.time()
+    hashes = common.WordHashes()
+    item, doc = hashes.of([b"same"] * 300), hashes.of([b"same"] * 200_000)
+    assert decontaminate.leak(doc, item)[2:] == (300, 300)
+    few = hashes.of([b"same"] * 9 + [b"%d" % k for k in range(100)])
+    assert decontaminate.leak(hashes.of([b"same"] * 20_000), few) is None
+    assert time.time() - start < 20
+
+
 # -- sharding
 
 def check_shards(got, rows, shards=16):
