@@ -80,15 +80,35 @@ def ordered_sum(df: DataFrame, key: str, place: Column, ties: list[str], value:
     return out.withColumn(before, F.col(before) + F.col(offset)).drop(at, cut, k2, cut2, part, offset)
 
 
-def row_keys(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[str]]:
-    """``df`` with two columns, the id and the text's MD5, and their names."""
-    name, key = fresh(df, "_row_id", "_row_md5")
-    return df.withColumn(name, F.col(doc_id)).withColumn(key, F.md5(F.col(text).cast("string").cast("binary"))), [name, key]
+def row_key(*parts: Column) -> Column:
+    """One string for equal rows of ``parts``, never null: nulls are like nulls and unlike all else."""
+    texts = [p.cast("string") for p in parts]
+    return F.md5(F.concat(*(F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts)).cast("binary"))
 
 
-def row_number(name: str, key: str) -> Column:
-    """A number among rows equal in id and text, which may take each other's."""
-    return F.row_number().over(Window.partitionBy(name, key).orderBy(F.lit(0)))
+def text_md5(text: str) -> Column:
+    return F.md5(F.col(text).cast("string").cast("binary"))
+
+
+def handed_out(docs: DataFrame, key: Column, slots: DataFrame, slot_key: str, names: list[str]) -> DataFrame:
+    """``docs`` with the columns ``names`` of ``slots``: each row takes one row of ``slots`` with its key.
+
+    Rows of a key may take each other's; those that find none left go, as do slots
+    left over.  Both kinds of rows lie in one table, dealt by key once, so texts
+    cross one shuffle, not one to number them and another to join them.  Rows stand
+    by a hash of their columns (maps left out), so a task run again deals as before.
+    The new columns get names that ``docs`` does not use.
+    """
+    held = [f"c{k}_" for k in range(len(docs.columns))]
+    given = fresh(docs, *names)
+    hashed = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(key.alias("key_"), F.lit(1).alias("kind_"), F.xxhash64(*hashed).alias("hash_"), F.struct(*(F.col(c).alias(h) for c, h in zip(docs.columns, held, strict=True))).alias("row_"))
+    places = slots.select(F.col(slot_key).alias("key_"), F.lit(0).alias("kind_"), F.xxhash64(*names).alias("hash_"), F.struct(*names).alias("slot_"))
+    both = rows.unionByName(places, allowMissingColumns=True).repartition("key_")
+    both = both.withColumn("number_", F.row_number().over(Window.partitionBy("key_", "kind_").orderBy("hash_")))
+    pair = Window.partitionBy("key_", "number_").orderBy("kind_").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("slot_", F.first("slot_").over(pair)).filter((F.col("kind_") == 1) & F.col("slot_").isNotNull())
+    return both.select(*(F.col(f"row_.{h}").alias(c) for c, h in zip(docs.columns, held, strict=True)), *(F.col(f"slot_.{n}").alias(g) for n, g in zip(names, given, strict=True)))
 
 
 class WordHashes(dict):

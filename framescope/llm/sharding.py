@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, ordered_sum, row_keys, row_number, unit_hash
+from .common import checkpointed, handed_out, ordered_sum, row_key, text_md5, unit_hash
 
 SHARDS = 16
 ROUNDS = 10
@@ -56,10 +56,10 @@ def _pick(places: Column, rank: Column) -> Column:
 
 
 def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """One row a document: ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``text_md5`` and ``copy`` (1, 2, ... among rows of one id and text)."""
+    """One row a document: ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``text_md5``."""
     raw = F.col(text).cast("string").cast("binary")
     own = docs.select(F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(raw), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("text_md5"))
-    own = checkpointed(own.withColumn("one", F.lit(1).cast("long")).withColumn("copy", row_number("doc_id", "text_md5")))
+    own = checkpointed(own.withColumn("one", F.lit(1).cast("long")))
     n = own.count()
     quota = [n // shards + (j < n % shards) for j in range(shards)]
     copies = own.filter(F.col("text_md5").isNotNull()).groupBy(F.col("text_md5").alias("g")).agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("g")
@@ -98,7 +98,7 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     both = ranked.filter(F.col("at").isNotNull()).unionByName(filled.select(*ranked.columns))
     slot = F.col("at.slot") + F.col("rank") - F.col("at.begin")
-    return both.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("at.shard").cast("int").alias("shard"), slot.cast("long").alias("slot"), "text_md5", "copy")
+    return both.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("at.shard").cast("int").alias("shard"), slot.cast("long").alias("slot"), "text_md5")
 
 
 def cut_links(placed: DataFrame) -> DataFrame:
@@ -111,15 +111,11 @@ def cut_links(placed: DataFrame) -> DataFrame:
 def sharded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """``docs`` in shard and slot order, with the shard and the slot as two more columns.
 
-    Places are found from short rows and joined with the documents at the end.
+    Places are found from short rows; then each document takes one of the places
+    found for its id and text.
     """
-    found = shard_documents(docs, doc_id, text, shards).select(F.col("doc_id").alias("id_"), "text_md5", "copy", "shard", "slot")
-    rows, (name, key) = row_keys(docs, doc_id, text)
-    number, = fresh(rows, "_row_number")
-    rows = rows.withColumn(number, row_number(name, key))
-    shard, slot = fresh(docs, "shard", "slot")
-    names = [f"c{k}_" for k in range(len(rows.columns))]  # own names: those of docs may clash
-    at = dict(zip(rows.columns, names, strict=True))
-    out = rows.toDF(*names).join(found, F.col(at[name]).eqNullSafe(F.col("id_")) & F.col(at[key]).eqNullSafe(F.col("text_md5")) & (F.col(at[number]) == F.col("copy")))
-    out = out.select(*(F.col(at[c]).alias(c) for c in docs.columns), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    found = shard_documents(docs, doc_id, text, shards)
+    found = found.select(row_key(F.col("doc_id"), F.col("text_md5")).alias("key"), "shard", "slot")
+    out = handed_out(docs, row_key(F.col(doc_id), text_md5(text)), found, "key", ["shard", "slot"])
+    shard, slot = out.columns[-2:]
     return out.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot)
