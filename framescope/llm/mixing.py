@@ -30,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, fresh, ordered_sum, row_keys, row_number
+from .common import WORD, checkpointed, fresh, handed_out, ordered_sum, row_key, text_md5
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -131,30 +131,42 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     its words, once, or twice from one and a half of them on.  Documents without
     words take no part of the mix and go.
     """
-    rows, (name, key) = row_keys(docs, doc_id, text)
-    when, position, number = fresh(rows, "_when", "_position", "_row_number")
-    # texts are measured where they lie; only short rows are numbered and ordered
-    sized = rows.select(F.col(name).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.col(key).alias("key_"))
-    sized = checkpointed(sized.withColumn("number_", row_number("doc_id", "key_")))
-    found = _mixture(sized, ("key_", "number_"), WEIGHTS, SHARE, MOST, SCHEDULES).filter("size > 0")
+    # texts are measured where they lie; only short rows are ordered
+    key = row_key(F.col(doc_id), F.col(source), text_md5(text))
+    sized = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), key.alias("key_")))
+    found = _mixture(sized, ("key_",), WEIGHTS, SHARE, MOST, SCHEDULES).filter("size > 0")
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     read = F.when(times >= 2, F.array("position", "again_position")).when(times == 1, F.array("position"))
-    taken = found.select(F.col("doc_id").alias("id_"), "key_", "number_", read.alias(when)).filter(F.col(when).isNotNull())
-    rows = rows.withColumn(number, row_number(name, key))
-    names = [f"c{k}_" for k in range(len(rows.columns))]  # own names: those of docs may clash with the keys'
-    at = dict(zip(rows.columns, names, strict=True))
-    joined = rows.toDF(*names).join(taken, F.col(at[name]).eqNullSafe(F.col("id_")) & F.col(at[key]).eqNullSafe(F.col("key_")) & (F.col(at[number]) == F.col("number_")))
-    out = joined.withColumn(position, F.explode(when))
-    return out.repartitionByRange(position).sortWithinPartitions(position, at[name]).select(*(F.col(at[c]).alias(c) for c in docs.columns))
+    taken = found.select("key_", read.alias("when")).filter(F.col("when").isNotNull())
+    out = handed_out(docs, key, taken, "key_", ["when"])
+    position, = fresh(out, "_position")
+    out = out.withColumn(position, F.explode(out.columns[-1]))
+    return out.repartitionByRange(position).sortWithinPartitions(position, doc_id).select(*docs.columns)
 
 
-#: The same targets and taken words for DuckDB; the level is found by comparing all sources with all (there are few).
+def _inverse_sql(part: str, number: str) -> str:
+    """``demand_inverse`` with ``SCHEDULES`` as SQL: the quadratic of each linear piece, solved."""
+    by_source = []
+    for k, rates in enumerate(SCHEDULES):
+        d = 1.0 / (len(rates) - 1)
+        areas = [(a + b) / 2 * d for a, b in zip(rates, rates[1:], strict=False)]
+        pieces, done = [], 0.0
+        for piece, (a, b, area) in enumerate(zip(rates, rates[1:], areas, strict=False)):
+            left, slope = f"({part} * {sum(areas)!r}::DOUBLE - {done!r}::DOUBLE)", (b - a) / d
+            solved = f"(sqrt(greatest({a * a!r}::DOUBLE + {2 * slope!r}::DOUBLE * {left}, 0)) - {a!r}::DOUBLE) / {slope!r}::DOUBLE" if slope else f"{left} / {a!r}::DOUBLE"
+            pieces.append(f"WHEN {left} < {area!r}::DOUBLE THEN {piece * d!r}::DOUBLE + {solved}")
+            done += area
+        by_source.append(f"WHEN {k} THEN least(CASE {' '.join(pieces)} ELSE 1.0::DOUBLE END, 1.0::DOUBLE)")
+    return f"CASE {number} % {len(SCHEDULES)} {' '.join(by_source)} END"
+
+
+#: The same targets, taken words and positions for DuckDB; the level is found by comparing all sources with all (there are few).
 MIXTURE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 sources AS (
-  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT]::DOUBLE AS weight
-  FROM sized GROUP BY source),
+  SELECT *, [5, 2, 1][1 + (number % 3)::INT]::DOUBLE AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM sized GROUP BY source)),
 levels AS (
   SELECT *, 2.0 * source_size AS cap, 2.0 * source_size / weight AS stop FROM sources),
 tried AS (
@@ -162,12 +174,14 @@ tried AS (
          coalesce(sum(b.cap) FILTER (b.stop < a.stop), 0) AS capped, sum(b.weight) FILTER (b.stop >= a.stop) AS open_weight
   FROM levels a CROSS JOIN levels b GROUP BY a.stop),
 chosen AS (SELECT (mix - capped) / open_weight AS level FROM tried WHERE filled >= mix ORDER BY stop_at LIMIT 1),
-targets AS (SELECT source, source_size, least(cap, weight * level) AS target FROM levels, chosen),
+targets AS (SELECT source, number, source_size, least(cap, weight * level) AS target FROM levels, chosen),
 lined AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, round(t.target)::BIGINT AS budget,
+  SELECT s.doc_id, s.size, t.number, t.source_size, t.target, round(t.target)::BIGINT AS budget,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR, '')), s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, budget - begin)) + greatest(0, least(size, budget - begin - source_size)))::BIGINT AS taken
+       (greatest(0, least(size, budget - begin)) + greatest(0, least(size, budget - begin - source_size)))::BIGINT AS taken,
+       CASE WHEN least(size, budget - begin) > 0 THEN {first} END AS position,
+       CASE WHEN least(size, budget - begin - source_size) > 0 THEN {again} END AS again_position
 FROM lined
-"""
+""".replace("{first}", _inverse_sql("(begin::DOUBLE / target)", "number")).replace("{again}", _inverse_sql("((begin + source_size)::DOUBLE / target)", "number"))

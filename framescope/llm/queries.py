@@ -33,7 +33,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.in_training_order(mixing.mixture(table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "position", "again_position")
 
 
 ORACLES["op2_mixing"] = mixing.MIXTURE_SQL
