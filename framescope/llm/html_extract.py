@@ -7,7 +7,9 @@ navigation, a footer, a form, an advert, among links ...) and of calling it
 boilerplate (it stands in the article, is a paragraph, is long ...).  They are the
 capacities from and to the two terminals of a graph; neighbours in the page and
 neighbours under the same parent are joined by edges whose capacity falls with
-their distance in the tree.  The maximum flow's cut is the cheapest labelling.
+their distance in the tree, and where one is certain boilerplate or mostly links
+and the other is not.  The maximum flow's cut is the cheapest labelling.  A form
+that holds most of the text of a page is its frame and says nothing about blocks.
 
 References are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined in page order by ``separator`` (the query op9 gives two line
@@ -15,6 +17,9 @@ breaks); nothing is capped.  Broken
 markup is read as far as it goes: an element left open ends with its parent, also
 one that is not shown.  Parts that are not shown end neither a block nor a
 paragraph around them; in svg and math, ``/>`` closes and page elements break out.
+A tag that does not end outside quotation marks ends at its first ``>``, as do all
+that follow on such a page; without any ``>`` ahead, ``<`` is text.  Reading takes
+time in proportion to the page.
 
 Null, empty and tagless input without a text worth it give an empty text.  Other
 columns are not read; repeated rows are extracted each; an empty table gives no
@@ -32,12 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_QUOTED_END = re.compile(r"""((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: A value without quotation marks that ends the tag: a slash at its end is its own.
+_BARE_VALUE = re.compile(r"""=\s*[^\s"'=]+$""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # Element names and naming habits of web pages.
@@ -50,7 +54,7 @@ BREAKS_OUT = frozenset(
     "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = frozenset("nav footer aside form button select textarea fieldset dialog menu header".split())
+BOILERPLATE = frozenset("nav footer aside button select textarea fieldset dialog menu header".split())
 CONTENT = frozenset("article main".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -71,16 +75,29 @@ SIDES = frozenset("left right top bottom both none on off".split())
 #: Weights of the classifier and of the edges, in thousandths.
 PLACED_BOILERPLATE, NAMED_BOILERPLATE, PLACED_CONTENT, NAMED_CONTENT = 14000, 4200, 4000, 1500
 PRIOR, TEXTUAL_TAG, SENTENCE, LONGEST, LINKS = 600, 1000, 500, 3000, 3500
-SAME_PARENT, NEAR, FAR = 700, 300, 100
+SAME_PARENT, NEAR, FAR, UNLIKE = 700, 300, 100, 50
+#: Text as long as this that ends like a sentence is a paragraph, whatever its element is called.
+PARAGRAPH = 80
 
 
 class Block:
-    __slots__ = ("boilerplate", "content", "doubted", "linked", "named", "parent", "path", "tag", "text")
+    __slots__ = ("boilerplate", "content", "doubted", "form", "linked", "named", "place", "tag", "text")
+
+    def __init__(self, text: str, linked: int, place: Element, innermost: Element) -> None:
+        self.text, self.linked, self.place, self.tag = text, linked, place, place.tag
+        self.content, self.named = place.content, place.named
+        self.boilerplate = place.boilerplate or innermost.boilerplate
+        self.doubted = place.doubted or innermost.doubted
+        self.form = innermost.form
+
+    @property
+    def certain(self) -> bool:
+        """Placed in boilerplate, or more link than text."""
+        return self.boilerplate or 2 * self.linked > len(self.text)
 
-    def __init__(self, text: str, linked: int, place: Element) -> None:
-        self.text, self.linked, self.parent, self.tag = text, linked, place.number, place.tag
-        self.boilerplate, self.content, self.named, self.path = place.boilerplate, place.content, place.named, place.path
-        self.doubted = place.doubted
+    @property
+    def sentence(self) -> bool:
+        return self.text[-1] in ".!?:;…\"'”»"
 
 
 def said(value: str, article: bool) -> tuple[bool, bool, bool]:
@@ -109,12 +126,18 @@ def said(value: str, article: bool) -> tuple[bool, bool, bool]:
 class Element:
     """An open element, with what it inherits from those around it."""
 
-    __slots__ = ("boilerplate", "content", "doubted", "foreign", "named", "number", "path", "tag", "unshown")
+    __slots__ = ("above", "blocks", "boilerplate", "content", "depth", "doubted", "foreign", "form", "named", "place", "shown", "tag", "unshown")
 
-    def __init__(self, tag: str, attributes: str, number: int, above: Element | None) -> None:
-        self.tag, self.number = tag, number
-        self.path = (*above.path, number) if above else (number,)
+    def __init__(self, tag: str, attributes: str, above: Element | None) -> None:
+        self.tag, self.above = tag, above
+        self.depth = above.depth + 1 if above else 0
         self.unshown = tag in UNSHOWN or bool(above and above.unshown)
+        # the nearest elements, this one included, that are shown, and that are shown blocks; and how many blocks are open
+        block = tag not in INLINE and not self.unshown
+        self.shown = self if above is None or not self.unshown else above.shown
+        self.place = self if above is None or block else above.place
+        self.blocks = (above.blocks if above else 0) + block
+        self.form = self if tag == "form" else above.form if above else None
         self.foreign = tag in FOREIGN or bool(above and above.foreign and tag not in PAGE_AGAIN)
         self.content = tag in CONTENT or bool(above and above.content)
         self.named = bool(above and above.named)
@@ -152,26 +175,31 @@ _RAW = {t: re.compile(f"<(/){t}(?=[\\s/>])", re.I) for t in ("script", "style")}
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order."""
-    root = Element("html", "", 0, None)
-    stack, found, number, at = [root], [], 1, 0
+    root = Element("html", "", None)
+    stack, found, at = [root], [], 0
+    opened: dict[str, list[int]] = {}  # where in the stack elements of a name stand
     text: list[str] = []
     linked, links = 0, 0
     endless: set[str] = set()  # raw elements without an end tag in what is left
+    quoted, last = True, html.rfind(">")
 
     def end_block() -> None:
         nonlocal linked
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                place = next(e for e in reversed(stack) if e.tag not in INLINE and not e.unshown or e is root)
-                marked = next(e for e in reversed(stack) if not e.unshown)
-                block = Block(whole, linked, place)
-                block.boilerplate |= marked.boilerplate
-                block.doubted |= marked.doubted
-                found.append(block)
+                found.append(Block(whole, linked, stack[-1].place, stack[-1].shown))
             text.clear()
             linked = 0
 
+    def push(tag: str, attributes: str) -> None:
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append(Element(tag, attributes, stack[-1]))
+
+    def pop_to(k: int) -> None:
+        while len(stack) > k:
+            opened[stack.pop().tag].pop()
+
     def add(raw: str) -> None:
         nonlocal linked
         if raw and not stack[-1].unshown:
@@ -182,34 +210,43 @@ def blocks(html: str) -> list[Block]:
 
     end = len(html)
     while at < end:
-        token = _TOKEN.search(html, at)
+        token = _MARK.search(html, at)
         if token is None:
             add(html[at:])
             break
+        tag, closing, attributes, after = token[2], token[1], "", token.end()
+        if tag is not None:
+            if after > last:  # no tag ends any more
+                add(html[at:after])
+                at = after
+                continue
+            ends_at = _QUOTED_END.match(html, after) if quoted else None
+            quoted = ends_at is not None
+            close = ends_at.end(1) if ends_at else html.find(">", after)
+            attributes, after = html[token.end() : close], close + 1
         if token.start() > at:
             add(html[at : token.start()])
-        at = token.end()
-        tag = token[2]
+        at = after
         if tag is None:
             continue
-        tag, closing = tag.lower(), token[1]
+        tag = tag.lower()
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if tag in INLINE:
-                        if any(e.tag not in INLINE and not e.unshown for e in stack[k:]):
-                            break  # an inline end does not end the blocks in it
-                    elif not stack[k].unshown:
-                        end_block()
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                k = opened[tag][-1]
+                if tag in INLINE:
+                    if stack[-1].blocks > stack[k - 1].blocks:
+                        continue  # an inline end does not end the blocks in it
+                elif not stack[k].unshown:
+                    end_block()
+                pop_to(k)
             continue
-        shut = token[3].rstrip().endswith("/")
+        bare = attributes.rstrip()
+        shut = bare.endswith("/") and not _BARE_VALUE.search(bare)
         if stack[-1].foreign and tag in BREAKS_OUT:
             while stack[-1].foreign:
-                stack.pop()
+                pop_to(len(stack) - 1)
         if shut and (tag in FOREIGN or stack[-1].foreign):
             continue
         if tag == "br":
@@ -219,28 +256,25 @@ def blocks(html: str) -> list[Block]:
         if tag in INLINE:
             if tag not in VOID and not shut:
                 links += tag == "a"
-                stack.append(Element(tag, token[3], number, stack[-1]))
-                number += 1
+                push(tag, attributes)
             continue
         if tag == "body":  # ends the head and what was left open in it
-            head = next((k for k, e in enumerate(stack) if e.tag == "head"), len(stack))
-            del stack[head:]
+            pop_to(opened["head"][0] if opened.get("head") else len(stack))
         if tag not in UNSHOWN and not stack[-1].unshown:
             end_block()
             links = 0
             if tag in VOID:
                 continue
             while len(stack) > 1 and stack[-1].tag in INLINE:
-                stack.pop()
+                pop_to(len(stack) - 1)
             if stack[-1].tag == "p" or stack[-1].tag in HEADINGS and tag in HEADINGS:
-                stack.pop()
+                pop_to(len(stack) - 1)
             ends = _ENDS.get(tag)
             while ends and stack[-1].tag in ends and len(stack) > 1:
-                stack.pop()
+                pop_to(len(stack) - 1)
         elif tag in VOID:
             continue
-        stack.append(Element(tag, token[3], number, stack[-1]))
-        number += 1
+        push(tag, attributes)
         if tag in _RAW and tag not in endless:
             close = _RAW[tag].search(html, at)
             if close is None:
@@ -248,6 +282,13 @@ def blocks(html: str) -> list[Block]:
             elif close[1]:
                 at = close.start()
     end_block()
+    inside: dict[Element, int] = {}
+    for block in found:
+        if block.form and not block.boilerplate:
+            inside[block.form] = inside.get(block.form, 0) + len(block.text)
+    everything = sum(len(b.text) for b in found if not b.boilerplate)
+    for block in found:
+        block.boilerplate |= block.form is not None and 2 * inside.get(block.form, 0) <= everything
     return found
 
 
@@ -255,7 +296,7 @@ def costs(block: Block) -> tuple[int, int]:
     """What it costs to call the block content, and to call it boilerplate."""
     length = len(block.text)
     content = PRIOR + LINKS * min(length, block.linked) // length
-    boilerplate = min(LONGEST, 20 * length) + TEXTUAL_TAG * (block.tag in TEXTUAL) + SENTENCE * (block.text[-1] in ".!?:;…\"'”»")
+    boilerplate = min(LONGEST, 20 * length) + TEXTUAL_TAG * (block.tag in TEXTUAL) + SENTENCE * block.sentence
     if block.boilerplate:
         content += PLACED_BOILERPLATE
     elif block.doubted:
@@ -265,68 +306,116 @@ def costs(block: Block) -> tuple[int, int]:
         boilerplate += PLACED_CONTENT
     elif block.named:
         boilerplate += NAMED_CONTENT
-    elif block.tag not in TEXTUAL:
+    elif block.tag not in TEXTUAL and not (block.sentence and length >= PARAGRAPH):
         boilerplate //= 2
     return content, boilerplate
 
 
+def _within(a: Element | None, b: Element | None, steps: int) -> bool:
+    """Whether the way from one element to the other has no more than ``steps`` steps."""
+    while a is not b:
+        if not steps:
+            return False
+        steps -= 1
+        if a.depth >= b.depth:
+            a = a.above
+        else:
+            b = b.above
+    return True
+
+
 def edges(found: list[Block]) -> list[tuple[int, int, int]]:
     """(block, block, capacity) of page neighbours and of neighbours under one parent."""
     out, last = [], {}
     for k, block in enumerate(found):
         if k:
-            a, b = found[k - 1].path, block.path
-            common = 0
-            while common < min(len(a), len(b)) and a[common] == b[common]:
-                common += 1
-            steps = len(a) + len(b) - 2 * common
-            out.append((k - 1, k, NEAR if steps <= 3 else FAR))
-        above = block.path[-2] if len(block.path) > 1 else 0
+            alike = found[k - 1].certain == block.certain
+            out.append((k - 1, k, UNLIKE if not alike else NEAR if _within(found[k - 1].place, block.place, 3) else FAR))
+        above = block.place.above
         if above in last:
-            out.append((last[above], k, SAME_PARENT))
+            alike = found[last[above]].certain == block.certain
+            out.append((last[above], k, SAME_PARENT if alike else UNLIKE))
         last[above] = k
     return out
 
 
 def minimum_cut(terminals: list[tuple[int, int]], joined: list[tuple[int, int, int]]) -> list[bool]:
-    """Which nodes stay with the source.
+    """Which nodes stay with the source (the fewest, where several cuts cost the same).
 
     ``terminals``: capacity from the source and to the sink of each node.  What
-    can flow straight through a node does at once; the rest goes along shortest
-    paths until no path is left.
+    can flow straight through a node does at once.  A node whose own capacity
+    outweighs all its edges is decided, and its edges become capacity of its
+    neighbours.  The rest is a maximum flow in phases: distances to the sink, then
+    paths that go nearer with each step, until none is left.
     """
-    into = [a - min(a, b) for a, b in terminals]
-    out = [b - min(a, b) for a, b in terminals]
+    n = len(terminals)
+    own = [a - b for a, b in terminals]  # to the source if positive, else to the sink
     room: list[dict[int, int]] = [{} for _ in terminals]
     for a, b, capacity in joined:
         room[a][b] = room[a].get(b, 0) + capacity
         room[b][a] = room[b].get(a, 0) + capacity
+    around = [sum(r.values()) for r in room]
+    stays: list[bool | None] = [None] * n
+    waiting = deque(range(n))
+    while waiting:
+        k = waiting.popleft()
+        if stays[k] is not None or -around[k] < own[k] <= around[k]:
+            continue
+        stays[k] = own[k] > around[k]
+        for other, capacity in room[k].items():
+            own[other] += capacity if stays[k] else -capacity
+            around[other] -= capacity
+            del room[other][k]
+            waiting.append(other)
+        room[k] = {}
+    rest = [k for k in range(n) if stays[k] is None]
     while True:
-        before = {k: -1 for k, c in enumerate(into) if c > 0}
-        queue, goal = deque(before), -1
+        level = {k: 0 for k in rest if own[k] < 0}
+        queue = deque(level)
         while queue:
             k = queue.popleft()
-            if out[k] > 0:
-                goal = k
-                break
-            for other, capacity in room[k].items():
-                if capacity > 0 and other not in before:
-                    before[other] = k
+            for other in room[k]:
+                if other not in level and room[other][k] > 0:
+                    level[other] = level[k] + 1
                     queue.append(other)
-        if goal < 0:
-            return [k in before for k in range(len(terminals))]
-        flow, k = out[goal], goal
-        while before[k] >= 0:
-            flow = min(flow, room[before[k]][k])
-            k = before[k]
-        flow = min(flow, into[k])
-        into[k] -= flow
-        out[goal] -= flow
-        k = goal
-        while before[k] >= 0:
-            room[before[k]][k] -= flow
-            room[k][before[k]] += flow
-            k = before[k]
+        sources = [k for k in rest if own[k] > 0 and k in level]
+        if not sources:
+            break
+        steps = {k: iter(list(room[k])) for k in level}
+        for source in sources:
+            path = [source]
+            while path and own[source] > 0:
+                k = path[-1]
+                if own[k] < 0:
+                    flow = min(own[source], -own[k], *(room[a][b] for a, b in zip(path, path[1:], strict=False)))
+                    own[source] -= flow
+                    own[k] += flow
+                    for a, b in zip(path, path[1:], strict=False):
+                        room[a][b] -= flow
+                        room[b][a] += flow
+                    first = next((i for i in range(len(path) - 1) if not room[path[i]][path[i + 1]]), len(path) - 1)
+                    del path[first + 1 :]
+                    if own[path[-1]] < 0 or first < len(path) - 1:
+                        continue
+                    if path[-1] == k:  # the sink of this path is full
+                        path.pop()
+                    continue
+                for other in steps[k]:
+                    if level.get(other, n) == level[k] - 1 and room[k][other] > 0:
+                        path.append(other)
+                        break
+                else:
+                    path.pop()
+    reached = deque(k for k in rest if own[k] > 0)
+    for k in reached:
+        stays[k] = True
+    while reached:
+        k = reached.popleft()
+        for other, capacity in room[k].items():
+            if capacity > 0 and not stays[other]:
+                stays[other] = True
+                reached.append(other)
+    return [bool(s) for s in stays]
 
 
 def main_text(html: str | None, separator: str = "\n") -> str:

@@ -266,3 +266,31 @@ def test_bodies_are_decoded():
     assert text[-1] == "é".encode() and b"http-header: X-Long: a b" in about[-1]
     assert warc.plain_text("image/png", b"\x89PNG") == "" and warc.plain_text("text/plain", b"a\nb") == "a\nb"
     assert warc.decoded([("Content-Encoding", "gzip")], b"broken")[0] == b"broken"
+
+
+# -- plain layouts and long or broken pages
+
+@pytest.mark.parametrize("page, want", [
+    ("<body><nav><a href=/>Home</a></nav><div id=c>{0}</div><footer>Imprint</footer></body>", 1),
+    ("<body>" + "<p>A first sentence that stands here.</p><div><a href=x>Read more</a></div>" * 6 + "</body>", 6),
+    ("<body><form action=/><div class=top><a href=/>Home</a></div><p>{0}</p><p>{0}</p><input name=q></form></body>", 2),
+    ("<body><p>{0}</p><form><label>Your name, please.</label><p>Write to us, we answer soon.</p></form></body>", 1),
+])
+def test_plain_layouts_keep_their_text(page, want):
+    sentences = "One sentence follows another here, and no name says so. " * 5
+    got = html_extract.main_text(page.format(sentences)).split("\n")
+    assert len(got) == want and all(t in (sentences.strip(), "A first sentence that stands here.") for t in got)
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000, "<a x " * 200_000 + "\">\"", "<a '\">" * 100_000, "<div>" * 50_000 + "text" + "</span>" * 50_000, "<b><div>" + "<div>" * 50_000 + "</b>" * 50_000 + "x",
+    "".join(f"<p>Short {k}.</p><div>x</div>" if k % 3 else f"<li>A longer one that stays {k}.</li>" for k in range(25_000)),
+    "".join(f"<div>{'word ' * (k % 37)}</div>" for k in range(50_000)),
+    "<b>" * 50_000 + "<p>x</p>" * 10_000, "<!-- " * 100_000, "<title>" * 50_000,
+])
+def test_reading_takes_time_in_proportion(page):
+    import time
+
+    start = time.time()
+    html_extract.main_text(page)
+    assert time.time() - start < 15
