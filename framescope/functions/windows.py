@@ -67,12 +67,17 @@ def running(
     order: list[Column | str],
     prefix: dict[str, tuple[str, Column | None]] | None = None,
     totals: dict[str, tuple[str, Column | None]] | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add aggregates over the rows *before* each row, and over its whole group.
 
     ``prefix`` maps a new column to ``(kind, value)`` with kind count, sum, max
     or last; ``totals`` likewise for the whole group.  ``order`` is ascending
     and must be total inside a group; NULL is a key like any other.
+
+    ``bounded``: the caller knows that a group fits in a task whatever the input
+    (it came out of one row, say); then one plain window does, and the rows are
+    neither sampled nor joined.
     """
     prefix, totals = prefix or {}, totals or {}
     order_names = [f"__o{n}" for n in range(len(order))]
@@ -92,6 +97,12 @@ def running(
         # The sum of no rows is zero; the maximum and last of no rows stay NULL.
         return [F.coalesce(c, F.lit(0)) if prefix[n][0] == "sum" else c for n, c in found.items()]
 
+    if bounded:
+        whole = Window.partitionBy(*keys)
+        found = prefix_over(whole.orderBy(*order_names).rowsBetween(Window.unboundedPreceding, -1))
+        every = [_aggregate(kind, F.col(value_names[n]), F.struct(*order_names)).over(whole).alias(n) for n, (kind, _) in totals.items()]
+        return work.select(*output, *[c.alias(n) for n, c in zip(prefix, found)], *every)
+
     # scan range buckets, then add what came before
     bucketed = with_range_bucket(work, [*keys, *order_names])
     order_key = F.struct(*order_names)

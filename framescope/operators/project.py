@@ -63,8 +63,9 @@ def with_current_object(lines: DataFrame, headers: DataFrame) -> DataFrame:
     good = headers.filter(F.col("problem").isNull()).select("path", "line", "file_id", "class_id")
     joined = lines.join(good, ["path", "line"], "left")
     # The last header so far is the largest header line: a running maximum.
+    # The lines of a file were one row before they were parted.
     own = F.when(F.col("file_id").isNotNull(), F.struct("line", "file_id"))
-    placed = running(joined, ["path"], ["line"], {"above": ("max", own)})
+    placed = running(joined, ["path"], ["line"], {"above": ("max", own)}, bounded=True)
     return placed.withColumn("object_id", F.coalesce("file_id", F.col("above.file_id"))).withColumn(
         "object_line", F.when(F.col("file_id").isNotNull(), F.col("line")).otherwise(F.col("above.line"))
     ).drop("above")

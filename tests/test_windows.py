@@ -64,3 +64,12 @@ def test_null_keys_and_no_job_while_building(spark):
     out = running(df, ["k"], ["n"], {"before": ("sum", F.col("n"))})
     assert set(tracker.getJobIdsForGroup(None)) == before
     assert {(r.k, r.n, r.before) for r in out.collect()} == {(None, 1, 0), (None, 2, 1), ("x", 1, 0)}
+
+
+def test_bounded_groups_give_what_buckets_give(spark):
+    rows = [(None if k % 5 == 0 else k % 3, k, None if k % 4 == 0 else k * 7 % 11) for k in range(60)]
+    table = spark.createDataFrame(rows, "key int, n int, v int")
+    prefix = {"rows": ("count", None), "total": ("sum", F.col("v")), "top": ("max", F.col("v")), "before": ("last", F.col("v"))}
+    totals = {"many": ("count", None), "whole": ("sum", F.col("v"))}
+    one, other = (running(table, ["key"], ["n"], prefix, totals, bounded=b).collect() for b in (False, True))
+    assert sorted(map(repr, one)) == sorted(map(repr, other)) and len(one) == 60
