@@ -303,62 +303,54 @@ def _seeds(named: DataFrame) -> DataFrame:
     return named.select("text", "doc", "tag").mapInArrow(rows, "seed long, context long, doc long, at long")
 
 
-def _wanted_lists(named: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
-    """``text`` and ``list`` (``seed``, ``context``, ``at``, ``more``) of the texts that hold the wanted contexts."""
+def _pieces(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What the wanted contexts (``seed``, ``context``, ``doc``, ``at``, ``split``) are compared by, from one reading of the texts.
+
+    A context of a seed with a ``split`` of 1 is one row: ``left`` and ``last``
+    (bytes before the seed) and its bytes in ``data``; ``part`` is null.  Any other
+    is a row for each of its windows: ``left`` and ``last`` are the same, ``data``
+    is 128 bits of the window's hash, and ``part``, below ``split``, deals the
+    contexts of a window evenly.
+    """
     firsts = named.groupBy("doc", "tag").agg(F.min("doc_id").alias("first_id"))
-    lists = wanted.groupBy("doc", _tag(F.col("at")).alias("tag")).agg(F.collect_list(F.struct("seed", "context", "at", *more)).alias("list"))
+    lists = wanted.groupBy("doc", _tag(F.col("at")).alias("tag")).agg(F.collect_list(F.struct("seed", "context", "at", "split")).alias("list"))
     lists = lists.join(firsts, ["doc", "tag"]).withColumnsRenamed({"doc": "doc_", "tag": "tag_"})
     joined = named.join(lists, (F.col("doc") == F.col("doc_")) & (F.col("tag") == F.col("tag_")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    return joined.select("text", "list")
-
-
-def _texts(named: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted contexts (``seed``, ``context``, ``doc``, ``at``)."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out: list[tuple] = []
-                for c in found:
-                    place, left, last = (c["at"] >> 16) & 0xFFFFFFFF, (c["at"] >> 8) & 0xFF, c["at"] & 0xFF
-                    out.append((c["seed"], c["context"], left, last, data[place - left : place - last + LENGTH]))
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:4]), pa.array(columns[4], pa.binary())], ["seed", "context", "left", "last", "data"])
-
-    return _wanted_lists(named, wanted).mapInArrow(rows, "seed long, context long, left long, last long, data binary")
-
-
-def _windows(named: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``seed``, ``before`` (bytes before the seed), ``window`` (128 bits of its hash), ``part`` and ``context`` of every window of the wanted contexts.
-
-    The parts, below the ``split`` of the seed, deal the contexts of a window evenly.
-    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seeds, befores, windows, parts, contexts_ = [], [], [], [], []
+                seeds, contexts_, lefts, lasts, bytes_, parts = [], [], [], [], [], []
                 for c in found:
                     place, left, last = (c["at"] >> 16) & 0xFFFFFFFF, (c["at"] >> 8) & 0xFF, c["at"] & 0xFF
-                    many = left - last + 1
+                    if c["split"] == 1:
+                        many = 1
+                        lefts.append(left)
+                        lasts.append(last)
+                        bytes_.append(data[place - left : place - last + LENGTH])
+                        parts.append(None)
+                    else:
+                        many = left - last + 1
+                        lefts += range(last, left + 1)
+                        lasts += range(last, left + 1)
+                        bytes_ += [xxhash.xxh3_128_digest(data[place - k : place - k + LENGTH]) for k in range(last, left + 1)]
+                        parts += [(c["context"] & 0x7FFFFFFFFFFFFFFF) % c["split"]] * many
                     seeds += [c["seed"]] * many
-                    befores += range(last, left + 1)
-                    windows += [xxhash.xxh3_128_digest(data[place - k : place - k + LENGTH]) for k in range(last, left + 1)]
-                    parts += [(c["context"] & 0x7FFFFFFFFFFFFFFF) % c["split"]] * many
                     contexts_ += [c["context"]] * many
-                yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(befores, pa.int64()), pa.array(windows, pa.binary()), pa.array(parts, pa.int64()), pa.array(contexts_, pa.int64())], ["seed", "before", "window", "part", "context"])
+                columns = [pa.array(x, pa.int64()) for x in (seeds, contexts_, lefts, lasts)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bytes_, pa.binary()), pa.array(parts, pa.int64())], ["seed", "context", "left", "last", "data", "part"])
 
-    return _wanted_lists(named, wanted, "split").mapInArrow(rows, "seed long, before long, window binary, part long, context long")
+    return joined.select("text", "list").mapInArrow(rows, "seed long, context long, left long, last long, data binary, part long")
 
 
 def _counted_repeats(windows: DataFrame) -> DataFrame:
     """``seed``, ``context``, ``first``, ``last`` (both the same) of the windows that two or more contexts hold."""
-    name = ["seed", "before", "window"]
+    name = ["seed", "left", "data"]
     parts = windows.groupBy(*name, "part").agg(F.count(F.lit(1)).alias("n"))
     again = parts.groupBy(*name).agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts")).filter("n > 1")
     again = again.select(*name, F.explode("parts").alias("part"))
     found = windows.join(again, [*name, "part"])
-    return found.select("seed", "context", F.col("before").alias("first"), F.col("before").alias("last"))
+    return found.select("seed", "context", F.col("left").alias("first"), "last")
 
 
 def _sorted_repeats(texts: DataFrame) -> DataFrame:
@@ -415,10 +407,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     distinct = seeds.groupBy("seed", "context").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "at")).alias("of"))
     several = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
     wanted = distinct.join(several, "seed").select("seed", "context", "of.doc", "of.at", F.ceil(F.col("many") / MOST).cast("long").alias("split"))
-    partly = checkpointed(_sorted_repeats(_texts(named, wanted.filter("split = 1"))))
-    hot = checkpointed(wanted.filter("split > 1"))
-    if not hot.isEmpty():
-        partly = partly.unionByName(checkpointed(_counted_repeats(checkpointed(_windows(named, hot)))))
+    pieces = checkpointed(_pieces(named, wanted))
+    whole_contexts = pieces.filter("part is null").select("seed", "context", "left", "last", "data")
+    partly = checkpointed(_sorted_repeats(whole_contexts).unionByName(_counted_repeats(pieces.filter("part is not null"))))
     left, right = F.shiftright("at", 8).bitwiseAND(F.lit(0xFF)), F.col("at").bitwiseAND(F.lit(0xFF))
     whole = distinct.filter("n > 1").select("seed", "context", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
     found = seeds.drop("n").join(whole.unionByName(partly), ["seed", "context"])
