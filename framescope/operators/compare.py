@@ -110,19 +110,34 @@ def budget_verdict(deltas: DataFrame, conditions: DataFrame, budgets: DataFrame)
     return joined.withColumn("verdict", verdict)
 
 
+def path_name(path: Column) -> Column:
+    """128 bits that stand for a call path where rows are counted or moved."""
+    return F.unhex(F.md5(F.coalesce(F.to_json(path), F.lit("")).cast("binary")))
+
+
+def path_table(tree: DataFrame) -> DataFrame:
+    """The distinct call paths of each recording: ``path_name``, ``path``.
+
+    Every task combines its own samples first, so what is moved follows the number of paths.
+    """
+    return tree.select("capture_id", path_name(F.col("path")).alias("path_name"), "path").distinct()
+
+
 def path_profile(tree: DataFrame, threads: DataFrame, frames: DataFrame) -> DataFrame:
     """Per-frame cost of every call path over the selected frames of each recording.
 
     The path is keyed by thread group, role (workers of one pool together) and
     full marker path.  Sums are divided by all selected frames, also those
-    without the path; bytes only when every call has them.
+    without the path; bytes only when every call has them.  Samples carry the name
+    of their path; the path itself comes back from the table of paths.
     """
     totals = frames.groupBy("capture_id").agg(F.count(F.lit(1)).alias("total_frames"))
     roles = threads.select(*THREAD, "thread_group_name", thread_role(F.col("thread_name")).alias("role"))
-    keys = ["capture_id", "thread_group_name", "role", "path"]
+    keys = ["capture_id", "thread_group_name", "role", "path_name"]
+    samples = tree.select(*THREAD, path_name(F.col("path")).alias("path_name"), "time_ms", "gc_alloc_bytes")
     # Per frame first: the frame count then needs no distinct over all samples.
     per_frame = (
-        tree.join(frames.select(*FRAME), FRAME, "left_semi")
+        samples.join(frames.select(*FRAME), FRAME, "left_semi")
         .join(roles, THREAD)
         .groupBy(*keys, "frame_index")
         .agg(
@@ -135,8 +150,9 @@ def path_profile(tree: DataFrame, threads: DataFrame, frames: DataFrame) -> Data
         F.sum("sized").alias("sized"), F.count(F.lit(1)).alias("observed_frames"),
     )
     n = F.col("total_frames")
-    return summed.join(totals, "capture_id").select(
-        *keys,
+    named = summed.join(path_table(tree), ["capture_id", "path_name"])
+    return named.join(totals, "capture_id").select(
+        "capture_id", "thread_group_name", "role", "path",
         path_key(F.col("thread_group_name"), F.col("role"), F.col("path")).alias("path_id"),
         (F.col("ms") / n).alias("inclusive_ms_per_frame"),
         (F.col("calls") / n).alias("calls_per_frame"),
@@ -150,24 +166,20 @@ def associate(pairs: DataFrame, profile: DataFrame) -> DataFrame:
     """Full outer match of two recordings' paths, largest change first.
 
     A path missing on one side has no change and ranks with the unchanged ones.
+    The profile is read once: its rows go to the pairs they belong to, as side a or
+    b, and both sides of a path meet in one grouping.
     """
     measures = ["inclusive_ms_per_frame", "calls_per_frame", "gc_bytes_per_frame", "observed_frames", "total_frames"]
-
-    def side(name: str) -> DataFrame:
-        rows = profile.withColumnRenamed("capture_id", f"{name}_id").join(pairs.select(*PAIR), f"{name}_id")
-        return rows.select(
-            *PAIR, "path_id", F.struct("thread_group_name", "role", "path").alias("key"), F.struct(*measures).alias(name)
-        )
-
-    a, b = side("a"), side("b")
-    both = a.join(b.withColumnRenamed("key", "b_key"), [*PAIR, "path_id"], "full_outer").withColumn("key", F.coalesce("key", "b_key"))
-    delta = F.col("b.inclusive_ms_per_frame") - F.col("a.inclusive_ms_per_frame")
-    label = F.when(F.col("a").isNull(), F.lit("only_b")).when(F.col("b").isNull(), F.lit("only_a")).otherwise(F.lit("both"))
-    rows = both.select(
-        *PAIR, "path_id", "key.*",
-        *[F.col(f"{s}.{m}").alias(f"{s}_{m}") for s in ("a", "b") for m in measures],
-        delta.alias("delta_inclusive_ms"), label.alias("association"),
+    ends = F.array(*(F.struct(F.col(f"{s}_id").alias("capture_id"), F.lit(s).alias("side")) for s in ("a", "b")))
+    sides = pairs.select(*PAIR, F.explode(ends).alias("end")).select(*PAIR, "end.*")
+    rows = sides.join(profile, "capture_id").groupBy(*PAIR, "path_id").agg(
+        *(F.any_value(c).alias(c) for c in ("thread_group_name", "role", "path")),
+        *(F.max(F.when(F.col("side") == s, F.col(m))).alias(f"{s}_{m}") for s in ("a", "b") for m in measures),
+        *(F.bool_or(F.col("side") == s).alias(f"in_{s}") for s in ("a", "b")),
     )
+    delta = F.col("b_inclusive_ms_per_frame") - F.col("a_inclusive_ms_per_frame")
+    label = F.when(~F.col("in_a"), F.lit("only_b")).when(~F.col("in_b"), F.lit("only_a")).otherwise(F.lit("both"))
+    rows = rows.withColumns({"delta_inclusive_ms": delta, "association": label}).drop("in_a", "in_b")
     return rows.withColumn("__size", -F.abs(F.coalesce("delta_inclusive_ms", F.lit(0.0))))
 
 

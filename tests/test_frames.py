@@ -115,6 +115,23 @@ def test_association_by_role_and_path(spark):
     assert seen == {("t", "R"): "observed", ("t", "Work"): "observed", ("t", "Wor"): "not_observed", ("m", None): "manual"}
 
 
+def test_a_recording_in_several_pairs(spark):
+    shape = "capture_id STRING, frame_index BIGINT, thread_index BIGINT, path ARRAY<STRING>, time_ms DOUBLE, gc_alloc_bytes DECIMAL(20,0)"
+    rows = [("A", 1, 0, ["R"], 2.0, None), ("B", 1, 0, ["R"], 5.0, None), ("C", 1, 0, ["R"], 9.0, None), ("C", 1, 0, ["R", None], 1.0, None), ("C", 1, 0, [None, "R"], 3.0, None)]
+    threads = spark.createDataFrame([(c, 1, 0, "Main Thread", None) for c in "ABC"], "capture_id STRING, frame_index BIGINT, thread_index BIGINT, thread_name STRING, thread_group_name STRING")
+    tree = spark.createDataFrame(rows, shape)
+    profile = compare.path_profile(tree, threads, tree.select("capture_id", "frame_index").distinct())
+    assert sorted((r.capture_id, tuple(x or "" for x in r.path), r.inclusive_ms_per_frame) for r in profile.collect()) == [
+        ("A", ("R",), 2.0), ("B", ("R",), 5.0), ("C", ("", "R"), 3.0), ("C", ("R",), 9.0), ("C", ("R", ""), 1.0)
+    ]
+    pairs = spark.createDataFrame([("A", "B"), ("B", "A"), ("A", "C"), ("B", "B")], "a_id STRING, b_id STRING")
+    found = compare.associate(pairs, profile).collect()
+    both = {(r.a_id, r.b_id): r.delta_inclusive_ms for r in found if r.association == "both"}
+    assert both == {("A", "B"): 3.0, ("B", "A"): -3.0, ("A", "C"): 7.0, ("B", "B"): 0.0}
+    rest = [(r.a_id, r.b_id, r.association, r.a_inclusive_ms_per_frame, r.b_inclusive_ms_per_frame) for r in found if r.association != "both"]
+    assert sorted(rest, key=repr) == [("A", "C", "only_b", None, 1.0), ("A", "C", "only_b", None, 3.0)]
+
+
 def test_replay_gap_and_saved_text(spark):
     items = spark.createDataFrame([("a", "he", "running"), ("b", "", "done")], "item_id STRING, text STRING, status STRING")
     log = spark.createDataFrame(
