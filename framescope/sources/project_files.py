@@ -49,12 +49,29 @@ def _quoted(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def _any_case(word: str) -> str:
+    """A file name pattern for ``word`` in upper or lower case."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
 def read_text_files(spark: SparkSession, root: str) -> DataFrame:
-    """Contents of a folder tree: path relative to it, size and bytes."""
+    """Contents of the text files (S7) of a folder tree: path relative to it, size and bytes.
+
+    Names and sizes are decided before a file is opened: by a name pattern and by a
+    filter on the length that the scan takes.  Files in skipped folders go after it.
+    """
     base = root.rstrip("/")
     relative = F.regexp_replace(F.col("path"), r"^.*?" + _quoted(base) + "/", "")
-    loaded = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    return loaded.select(relative.alias("path"), F.col("length").alias("size"), "content")
+
+    def named(extensions: list[str], most: int) -> DataFrame:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(_any_case(e) for e in extensions) + "}")
+        found = reader.load(base).filter(F.col("length") <= most)
+        return found.select(relative.alias("path"), F.col("length").alias("size"), "content")
+
+    others = [e for e in TEXT_EXTENSIONS if e != "cs"]
+    files = named(["cs"], CODE_BYTES).unionByName(named(others, TEXT_BYTES))
+    return inventory(files).filter("is_text").select("path", "size", "content")
 
 
 def decode_text(content: Column) -> Column:

@@ -93,3 +93,17 @@ def test_formatting(spark):
     assert [one(fn.format_count(F.lit(x))) for x in (999, 1150, 2_500_000)] == ["999", "1.1K", "2.5M"]
     assert one(fn.preview_bytes(F.lit("aé"), 2)) == "a"
     assert one(fn.alloc_bytes(F.lit('{"bytes": true, "size": 3}'))) == 3.0
+
+
+def test_refused_files_are_not_opened(spark, tmp_path):
+    kept = {"a.cs": b"class A", "Sub/B.CS": b"x", "Sub/c.Prefab": b"--- !u!1 &1", "d.json": b"{}"}
+    refused = {"e.png": b"x", "cs": b"x", ".cs": b"x", "Library/f.cs": b"x", "Sub/obj/g.json": b"x"}
+    for name, content in (kept | refused).items():
+        file = tmp_path / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(content)
+    (tmp_path / "large.cs").write_bytes(b"x" * (project_files.CODE_BYTES + 1))
+    (tmp_path / "large.txt").write_bytes(b"x" * (project_files.CODE_BYTES + 1))
+    files = project_files.read_text_files(spark, str(tmp_path))
+    assert {r.path: r.size for r in files.collect()} == {n: len(c) for n, c in kept.items()} | {"large.txt": project_files.CODE_BYTES + 1}
+    assert files._jdf.queryExecution().executedPlan().toString().count("LessThanOrEqual(length") == 2
