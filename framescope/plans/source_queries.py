@@ -162,7 +162,9 @@ def read_frames_json(spark, sf):
     frames = found["frames"].select(*key, "position", "cpu_ms", "frame_ms", F.col("gc_bytes").cast("bigint").alias("gc_bytes"), "samples_valid", "sites_valid")
     markers = found["markers"].select(*key, F.col("name").alias("marker"), "total_ms", "call_count")
     sites = found["sites"].select(*key, F.col("name").alias("site"), F.col("total_bytes").cast("bigint").alias("site_bytes"))
-    return frames.join(markers, key).join(sites, key).join(found["violations"].select(*key, "rule"), key, "left")
+    # files tell too little about the rows of nested lists: without the hints Spark would send whole tables through the driver
+    found_rules = found["violations"].select(*key, "rule")
+    return frames.join(markers.hint("merge"), key).join(sites.hint("merge"), key).join(found_rules.hint("merge"), key, "left")
 
 
 @check(
@@ -222,7 +224,7 @@ def read_flat_samples(spark, sf):
     texts = orders(spark, sf).select(F.concat(F.lit("order"), key).alias("capture_id"), F.concat(F.lit('{"header":'), header, F.lit(',"samples":['), samples, F.lit("]}")).alias("json"))
     found = convention.parse_flat_samples(texts)
     frames = found["frames"].select("capture_id", "cpu_ms", "frame_ms", "samples_valid", "estimated")
-    return frames.join(found["captures"].select("capture_id", "declared_frame_count"), "capture_id")
+    return frames.join(found["captures"].select("capture_id", "declared_frame_count").hint("merge"), "capture_id")
 
 
 ROUTES = [

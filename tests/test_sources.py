@@ -107,3 +107,13 @@ def test_refused_files_are_not_opened(spark, tmp_path):
     files = project_files.read_text_files(spark, str(tmp_path))
     assert {r.path: r.size for r in files.collect()} == {n: len(c) for n, c in kept.items()} | {"large.txt": project_files.CODE_BYTES + 1}
     assert files._jdf.queryExecution().executedPlan().toString().count("LessThanOrEqual(length") == 2
+
+
+@pytest.mark.parametrize("name, joins", [("s2_read_frames_json", 3), ("s3_read_flat_samples", 1)])
+def test_tables_of_frame_lists_are_not_sent_through_the_driver(spark, tmp_path, name, joins):
+    from framescope.plans.catalog import QUERIES
+
+    orders = [(k, k % 5, "F", "1-URGENT") for k in range(40)]
+    spark.createDataFrame(orders, "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderpriority STRING").write.parquet(f"{tmp_path}/orders.parquet")
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == joins and "Broadcast" not in plan
