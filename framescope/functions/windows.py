@@ -1,10 +1,11 @@
 """Order-dependent building blocks that stay parallel inside one large group.
 
-A plain ``Window.partitionBy(key)`` sends a whole key to one task.  Here the rows
-are cut into range buckets at splitters sampled from them, about one for every
+A plain ``Window.partitionBy(key)`` sends a whole key to one task.  Here large keys
+are cut into range buckets at splitters sampled from the rows, about one for every
 ``BUCKET_ROWS`` rows, so their number follows the input: each bucket is scanned on
-its own and only one carry row per key and bucket crosses over.  It is one lazy
-plan for groups of any size; nothing runs while it is built.
+its own and only one carry row per bucket crosses over.  Keys without a splitter
+are small and stay whole; their rows are shuffled once.  It is one lazy plan for
+groups of any size; nothing runs while it is built.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: Rows of a bucket on average; a setting for tests, results do not depend on it.
 BUCKET_ROWS_CONF = "spark.framescope.bucketRows"
 BUCKET_ROWS = 250_000
+#: Splitters that a row is held against at once.
+LISTED = 32
 GROUP_LIMIT_ROWS = 900
 
 
@@ -42,23 +45,42 @@ def _combine(kind: str, before: Column, here: Column) -> Column:
     return F.coalesce(here, before)
 
 
-def with_range_bucket(df: DataFrame, columns: list[str], name: str = "__b") -> DataFrame:
-    """Number each row's bucket among splitters drawn evenly from ``df``.
+def _same_key(keys: list[str], prefix: str) -> Column:
+    same = F.lit(True)
+    for n, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"{prefix}{n}"))
+    return same
+
+
+def _not_above(splitters: str, key: Column) -> Column:
+    """How many splitters are not above a row, by binary search in as many steps as their number asks for; NULL without a list."""
+    steps = F.transform(F.sequence(F.floor(F.log2(F.size(splitters) + 1)).cast("int"), F.lit(0)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    found = F.aggregate(steps, F.lit(0), lambda pos, step: F.when(F.get(F.col(splitters), pos + step - 1) <= key, pos + step).otherwise(pos))
+    return F.when(F.col(splitters).isNotNull(), found)
+
+
+def with_range_bucket(df: DataFrame, keys: list[str], order: list[str], name: str = "__b") -> DataFrame:
+    """Number each row's bucket among the splitters of its key, -1 for keys without any.
 
     The splitters are the rows whose hash falls on one value in ``bucket_rows``, so
-    the choice depends on the data alone; they travel as one scalar-subquery value
-    and are found by binary search, in as many steps as their number asks for.
+    the choice depends on the data alone.  A row meets those of its own key only, and
+    of them every ``LISTED``-th and then the few behind the one it reached: a row that
+    carried them all would grow with the input.
     """
-    key = F.struct(*[F.col(c) for c in columns])
-    chosen = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(bucket_rows(df))) == 0
-    splitters = df.filter(chosen).select(key.alias("k")).agg(F.array_sort(F.collect_set("k")).alias("s")).scalar()
-    steps = F.transform(F.sequence(F.floor(F.log2(F.size("__splitters") + 1)).cast("int"), F.lit(0)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
-    bucket = F.aggregate(
-        F.when(F.size("__splitters") > 0, steps).otherwise(F.array().cast("array<int>")),
-        F.lit(0),
-        lambda pos, step: F.when(F.get(F.col("__splitters"), pos + step - 1) <= key, pos + step).otherwise(pos),
-    )
-    return df.withColumn("__splitters", splitters).withColumn(name, bucket).drop("__splitters")
+    key = F.struct(*order)
+    chosen = F.pmod(F.xxhash64(*keys, *order), F.lit(bucket_rows(df))) == 0
+    own = [F.col(k).alias(f"__s{n}") for n, k in enumerate(keys)]
+    listed = df.filter(chosen).groupBy(*own).agg(F.array_sort(F.collect_set(key)).alias("__all")).filter(F.size("__all") > 0)
+    # as few rows as there are splitters; the shuffle keeps the choosing out of the broadcast's time
+    listed = listed.repartition(1)
+    names = [f"__s{n}" for n in range(len(keys))]
+    coarse = listed.select(*names, F.filter("__all", lambda _, at: at % LISTED == 0).alias("__coarse"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("__all") - 1) / LISTED).cast("int")), lambda k: F.slice("__all", k * LISTED + 1, LISTED))
+    fine = listed.select(*[F.col(n).alias(f"__f{n[3:]}") for n in names], F.posexplode(parts).alias("__at", "__fine"))
+    reached = df.join(F.broadcast(coarse), _same_key(keys, "__s"), "left").select(*df.columns, (_not_above("__coarse", key) - 1).alias("__part"))
+    inside = reached.join(F.broadcast(fine), _same_key(keys, "__f") & (F.col("__part") == F.col("__at")), "left")
+    bucket = F.when(F.col("__part").isNull(), F.lit(-1)).otherwise(F.coalesce(F.col("__part") * LISTED + _not_above("__fine", key), F.lit(0)))
+    return inside.select(*df.columns, bucket.alias(name))
 
 
 def running(
@@ -80,35 +102,27 @@ def running(
     neither sampled nor joined.
     """
     prefix, totals = prefix or {}, totals or {}
-    order_names = [f"__o{n}" for n in range(len(order))]
-    value_names = {name: f"__v_{name}" for name in [*prefix, *totals]}
-    work = df.select(
-        "*",
-        *[(F.col(o) if isinstance(o, str) else o).alias(n) for o, n in zip(order, order_names)],
-        *[
-            (F.lit(1) if value is None else value).alias(value_names[name])
-            for name, (_, value) in {**prefix, **totals}.items()
-        ],
-    )
+    order_names = [o if isinstance(o, str) else f"__o{n}" for n, o in enumerate(order)]
+    values = {name: F.lit(1) if value is None else value for name, (_, value) in {**prefix, **totals}.items()}
+    work = df.select("*", *[o.alias(n) for o, n in zip(order, order_names) if not isinstance(o, str)])
     output = [F.col(c) for c in df.columns]
 
     def prefix_over(window):
-        found = {n: _aggregate(kind, F.col(value_names[n])).over(window) for n, (kind, _) in prefix.items()}
+        found = {n: _aggregate(kind, values[n]).over(window) for n, (kind, _) in prefix.items()}
         # The sum of no rows is zero; the maximum and last of no rows stay NULL.
         return [F.coalesce(c, F.lit(0)) if prefix[n][0] == "sum" else c for n, c in found.items()]
 
     if bounded:
         whole = Window.partitionBy(*keys)
         found = prefix_over(whole.orderBy(*order_names).rowsBetween(Window.unboundedPreceding, -1))
-        every = [_aggregate(kind, F.col(value_names[n]), F.struct(*order_names)).over(whole).alias(n) for n, (kind, _) in totals.items()]
+        every = [_aggregate(kind, values[n], F.struct(*order_names)).over(whole).alias(n) for n, (kind, _) in totals.items()]
         return work.select(*output, *[c.alias(n) for n, c in zip(prefix, found)], *every)
 
-    # scan range buckets, then add what came before
-    bucketed = with_range_bucket(work, [*keys, *order_names])
+    # a key with a splitter is cut into buckets; what came before is added to each.  Other keys are one bucket.
     order_key = F.struct(*order_names)
-    per_bucket = bucketed.groupBy(*keys, "__b").agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[_aggregate(kind, F.col(value_names[n]), order_key).alias(f"__c_{n}") for n, (kind, _) in {**prefix, **totals}.items()],
+    bucketed = with_range_bucket(work, keys, order_names)
+    per_bucket = bucketed.filter("__b >= 0").groupBy(*keys, "__b").agg(
+        *[_aggregate(kind, values[n], order_key).alias(f"__c_{n}") for n, (kind, _) in {**prefix, **totals}.items()],
     )
     across = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -125,19 +139,20 @@ def running(
         *[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)],
         F.col("__b").alias("__cb"),
         *[carry(kind, f"__c_{n}").alias(f"__carry_{n}") for n, (kind, _) in prefix.items()],
-        *[whole_total(kind, f"__c_{n}").alias(n) for n, (kind, _) in totals.items()],
+        *[whole_total(kind, f"__c_{n}").alias(f"__whole_{n}") for n, (kind, _) in totals.items()],
     )
-    inside = Window.partitionBy(*keys, "__b").orderBy(*order_names).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys, "__b")
+    inside = whole.orderBy(*order_names).rowsBetween(Window.unboundedPreceding, -1)
     local = bucketed.select(
-        *output, "__b", *[c.alias(f"__here_{n}") for n, c in zip(prefix, prefix_over(inside))]
+        *output, "__b", *[c.alias(f"__here_{n}") for n, c in zip(prefix, prefix_over(inside))],
+        *[_aggregate(kind, values[n], order_key).over(whole).alias(f"__own_{n}") for n, (kind, _) in totals.items()],
     )
-    same = F.col("__b") == F.col("__cb")
-    for n, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"__k{n}"))
-    return local.join(carries, same).select(
+    # as few rows as there are buckets of cut keys
+    joined = local.join(F.broadcast(carries.repartition(1)), (F.col("__b") == F.col("__cb")) & _same_key(keys, "__k"), "left")
+    return joined.select(
         *output,
         *[_combine(kind, F.col(f"__carry_{n}"), F.col(f"__here_{n}")).alias(n) for n, (kind, _) in prefix.items()],
-        *totals,
+        *[F.coalesce(f"__whole_{n}", f"__own_{n}").alias(n) for n in totals],
     )
 
 

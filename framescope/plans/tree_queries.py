@@ -13,7 +13,7 @@ KEY = "capture_id, frame_index, thread_index, sample_index"
 
 @check("t1_parent_depth", f"WITH {SAMPLES} SELECT {KEY}, parent_index, CAST(depth AS INTEGER) AS depth FROM smp")
 def parent_depth(spark, sf):
-    rows = inputs.samples(spark, sf)
+    rows = inputs.samples(spark, sf).select(*SAMPLE, "marker_name", "children_count")
     return tree.with_tree(rows, ("parent_index", "depth"), adapters.long_threads(spark, sf)).select(
         *SAMPLE, "parent_index", "depth"
     )
@@ -42,7 +42,8 @@ def self_time(spark, sf):
     ELSE thread_name || ' > ' || head_name || ' > ' || marker_name END AS path, CAST(NULL AS VARCHAR) AS path_rule FROM smp""",
 )
 def call_paths(spark, sf):
-    rows = tree.call_paths(inputs.samples(spark, sf), long_threads=adapters.long_threads(spark, sf))
+    samples = inputs.samples(spark, sf).select(*SAMPLE, "marker_name", "children_count")
+    rows = tree.call_paths(samples, long_threads=adapters.long_threads(spark, sf))
     return rows.select(*SAMPLE, F.concat_ws(" > ", "path").alias("path"), "path_rule")
 
 

@@ -73,3 +73,13 @@ def test_bounded_groups_give_what_buckets_give(spark):
     totals = {"many": ("count", None), "whole": ("sum", F.col("v"))}
     one, other = (running(table, ["key"], ["n"], prefix, totals, bounded=b).collect() for b in (False, True))
     assert sorted(map(repr, one)) == sorted(map(repr, other)) and len(one) == 60
+
+
+def test_rows_of_uncut_keys_are_shuffled_once_and_no_row_carries_all_splitters(spark, buckets):
+    rows = [("hot" if n % 2 else f"k{n % 50}", n * 7 % 1009, float(n % 5)) for n in range(1000)]
+    df = spark.createDataFrame(rows, "k STRING, a INT, v DOUBLE")
+    out = running(df, ["k"], ["a"], {"n": ("count", None)}, {"size": ("count", None)})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" not in plan and plan.count("LeftOuter") >= 3 and "Inner" not in plan
+    groups = {k: sorted(a for key, a, _ in rows if key == k) for k, _, _ in rows}
+    assert {(r.k, r.a): (r.n, r.size) for r in out.collect()} == {(k, a): (i, len(g)) for k, g in groups.items() for i, a in enumerate(g)}
