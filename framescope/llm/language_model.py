@@ -59,7 +59,7 @@ from .elias_fano import Level
 ORDER = 2
 DISCOUNT = 0.75
 #: Tokens of a block, n-grams of a slice as counted by block, and sampled n-grams for each slice.
-BLOCK_TOKENS, SLICE_ROWS, SAMPLED = 1 << 21, 1 << 20, 256
+BLOCK_TOKENS, SLICE_ROWS, SAMPLED = 1 << 20, 1 << 20, 256
 #: A context with this part of all n-grams, or as many as two slices, may be cut.
 HOT = 0.01
 #: Logarithms are kept in steps of 1 / STEPS; the last code means zero.

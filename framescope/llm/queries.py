@@ -98,4 +98,4 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return language_model.score(docs, language_model.held_out_sevenths("doc_id"))
+    return language_model.score(docs, language_model.held_out_sevenths("doc_id"), order=3)

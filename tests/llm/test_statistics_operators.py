@@ -182,11 +182,24 @@ def test_scores_of_the_query_against_dictionaries(spark):
     found = queries.QUERIES["op12_lm_scoring"](spark, SF)
     assert found.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     found = found.collect()
-    check_scores(found, rows)
+    check_scores(found, rows, 3)
     held = [r for r in found if r.held_out]
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_the_query_learns_more_than_pairs_of_words(spark, tmp_path):
+    # after "a b" always c, after "x b" always d: pairs alone cannot tell them apart
+    rows = [(k, "a b c" if k % 2 else "x b d") for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    import zlib
+
+    flagged = [(i, t, zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
+    found = queries.QUERIES["op12_lm_scoring"](spark, str(tmp_path)).collect()
+    check_scores(found, flagged, 3)
+    pairs = {r[0]: r[6] for r in brute_scores(flagged, 2)}
+    assert all(r.score > pairs[r.doc_id] + 0.2 for r in found)
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores_with_many_slices_and_a_hot_context(spark, monkeypatch, order):
     from framescope.llm import language_model
