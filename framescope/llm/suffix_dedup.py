@@ -345,12 +345,12 @@ def _pieces(named: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _counted_repeats(windows: DataFrame) -> DataFrame:
     """``seed``, ``context``, ``first``, ``last`` (both the same) of the windows that two or more contexts hold."""
-    name = ["seed", "left", "data"]
+    name = ["seed", "before", "window"]
     parts = windows.groupBy(*name, "part").agg(F.count(F.lit(1)).alias("n"))
     again = parts.groupBy(*name).agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts")).filter("n > 1")
     again = again.select(*name, F.explode("parts").alias("part"))
     found = windows.join(again, [*name, "part"])
-    return found.select("seed", "context", F.col("left").alias("first"), "last")
+    return found.select("seed", "context", F.col("before").alias("first"), F.col("before").alias("last"))
 
 
 def _sorted_repeats(texts: DataFrame) -> DataFrame:
@@ -409,7 +409,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     wanted = distinct.join(several, "seed").select("seed", "context", "of.doc", "of.at", F.ceil(F.col("many") / MOST).cast("long").alias("split"))
     pieces = checkpointed(_pieces(named, wanted))
     whole_contexts = pieces.filter("part is null").select("seed", "context", "left", "last", "data")
-    partly = checkpointed(_sorted_repeats(whole_contexts).unionByName(_counted_repeats(pieces.filter("part is not null"))))
+    windows = pieces.filter("part is not null").select("seed", "context", F.col("left").alias("before"), F.col("data").alias("window"), "part")
+    partly = checkpointed(_sorted_repeats(whole_contexts).unionByName(_counted_repeats(windows)))
     left, right = F.shiftright("at", 8).bitwiseAND(F.lit(0xFF)), F.col("at").bitwiseAND(F.lit(0xFF))
     whole = distinct.filter("n > 1").select("seed", "context", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
     found = seeds.drop("n").join(whole.unionByName(partly), ["seed", "context"])
