@@ -50,16 +50,22 @@ class FrameScanner:
         self.root: dict = {}
         self.findings = Findings()
         self.frames = 0
-        self._text, self._wanted, self._last = "", 0, False
+        self._text, self._wanted, self._last = "", SLACK, False
+        self._held: list[str] = []
+        self._held_size = 0
         self._step = self._begin
         self._over = False
 
     def feed(self, text: str) -> Iterator[tuple[int, dict | None]]:
         if self._over:
             return
-        self._text += text
-        if len(self._text) < self._wanted and not self._last:
+        # pieces are short against a frame: taken one by one, each would mean one more try to decode a frame that has not ended
+        self._held.append(text)
+        self._held_size += len(text)
+        if len(self._text) + self._held_size < self._wanted and not self._last:
             return
+        self._text = "".join([self._text, *self._held])
+        self._held, self._held_size = [], 0
         at = 0
         try:
             while True:
@@ -72,7 +78,7 @@ class FrameScanner:
         except _More:
             self._text = self._text[at:]
             # a value that did not end is tried again when half as much text has come, so the work stays in proportion
-            self._wanted = len(self._text) + (len(self._text) >> 1) if len(self._text) > SLACK else 0
+            self._wanted = len(self._text) + max(len(self._text) >> 1, SLACK)
         except _Broken:
             self.findings.add((), "malformed_json")
             self._over, self._text = True, ""

@@ -118,3 +118,17 @@ def test_rules_of_convention_texts(spark):
     assert {r.capture_id for r in validate.reject(found["frames"], found["violations"]).collect()} == {"good"}
     assert "none" in {r.capture_id for r in found["warnings"].collect()}
     assert {r.capture_id for r in convention.parse_flat_samples(texts.filter("capture_id = 'flat'"))["warnings"].collect()} == {"flat"}
+
+
+def test_frames_that_come_in_pieces_are_decoded_about_once():
+    from framescope.sources.dump_reader import FrameScanner
+
+    thread = {"thread_index": 0, "thread_id": 1, "thread_name": "Main Thread", "samples": []}
+    frames = [{"frame_index": k, "sample_count_total": 0, "threads": [thread | {"thread_index": t} for t in range(5)]} for k in range(200)]
+    pieces = json.dumps({"unity_version": "x", "frame_count": 200, "frames": frames}).split("]")
+    scanner, tries = FrameScanner(), []
+    whole = scanner._decoder.raw_decode
+    scanner._decoder.raw_decode = lambda *place: tries.append(1) or whole(*place)
+    found = [f for n, p in enumerate(pieces) for f in scanner.feed(p + ("]" if n + 1 < len(pieces) else ""))] + [*scanner.finish()]
+    assert [(at, f["frame_index"]) for at, f in found] == [(k, k) for k in range(200)] and not scanner.findings.rows
+    assert len(tries) < 220
