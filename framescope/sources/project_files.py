@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # File kinds read as text and folders never read (fixed values).
 TEXT_EXTENSIONS = [
@@ -14,6 +18,10 @@ SKIPPED_FOLDERS = [".git", "library", "temp", "obj", "logs", "build", "builds",
 CODE_BYTES, TEXT_BYTES = 2 * 1024 * 1024, 64 * 1024 * 1024
 #: Of a line: bytes in UTF-8 files, bytes of 16-bit units in UTF-16 files.
 MAX_LINE_BYTES = 1024 * 1024
+UTF8_MARK, WIDE_MARKS = b"\xef\xbb\xbf", {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}
+NOT_TEXT = "not UTF-8 or marked UTF-16 text"
+#: Bytes of files decoded and sent on together.
+SENT_BYTES = 16 * 1024 * 1024
 
 
 def extension(path: Column) -> Column:
@@ -74,50 +82,61 @@ def read_text_files(spark: SparkSession, root: str) -> DataFrame:
     return inventory(files).filter("is_text").select("path", "size", "content")
 
 
-def decode_text(content: Column) -> Column:
-    """Text of UTF-8 or byte-order-marked UTF-16 bytes, or NULL when malformed."""
-    start = F.hex(F.substring(content, 1, 3))
-    after_mark = F.substring(content, 3, 2**31 - 1)
-    utf8 = F.when(start == "EFBBBF", F.substring(content, 4, 2**31 - 1)).otherwise(content)
-    return (
-        F.when(start.startswith("FFFE") & _valid_utf16(content), F.decode(after_mark, "UTF-16LE"))
-        .when(start.startswith("FEFF") & _valid_utf16(content), F.decode(after_mark, "UTF-16BE"))
-        .when(start.startswith("FFFE") | start.startswith("FEFF"), F.lit(None).cast("string"))
-        .when(F.is_valid_utf8(utf8.cast("string")), utf8.cast("string"))
-    )
+def decode_text(content: bytes | None) -> tuple[str | None, str | None]:
+    """Text of UTF-8 or byte-order-marked UTF-16 bytes, or why it is none to read."""
+    if content is None:
+        return None, NOT_TEXT
+    wide = WIDE_MARKS.get(content[:2])
+    raw = content[2 if wide else 3 if content.startswith(UTF8_MARK) else 0 :]
+    try:
+        text = raw.decode(wide or "utf-8")
+    except UnicodeDecodeError:
+        return None, NOT_TEXT
+    if "\0" in text:
+        return None, "binary content"
+    # a text with no more bytes than a line may have has no longer line
+    if len(raw) > MAX_LINE_BYTES and max(len(line.encode(wide or "utf-8")) for line in text.split("\n")) > MAX_LINE_BYTES:
+        return None, "line over the size limit"
+    return text, None
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = [n for n in batch.schema.names if n != "content"]
+        contents = batch.column("content")
+        begin = 0
+        while begin < batch.num_rows:
+            found, size, end = [], 0, begin
+            while end < batch.num_rows and size < SENT_BYTES:
+                content = contents[end].as_py()
+                found.append(decode_text(content))
+                size += len(content or b"")
+                end += 1
+            made = [pa.array(column, pa.string()) for column in zip(*found, strict=True)]
+            part = batch.slice(begin, end - begin)
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), *made], names=[*kept, "text", "reason"])
+            begin = end
 
 
 def with_text(files: DataFrame) -> DataFrame:
-    """Decoded ``text`` of each file, or ``reason`` why it is not text."""
-    decoded = files.withColumn("text", decode_text(F.col("content")))
-    wide = F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
-    size = lambda l: F.when(wide, F.octet_length(F.encode(l, "UTF-16BE"))).otherwise(F.octet_length(l))
-    longest = F.array_max(F.transform(F.split("text", "\n"), size))
-    reason = (
-        F.when(F.col("text").isNull(), F.lit("not UTF-8 or marked UTF-16 text"))
-        .when(F.col("text").contains("\0"), F.lit("binary content"))
-        .when(longest > MAX_LINE_BYTES, F.lit("line over the size limit"))
-    )
-    return decoded.withColumn("reason", reason).withColumn("text", F.when(F.col("reason").isNull(), F.col("text"))).drop("content")
-
-
-def _valid_utf16(content: Column) -> Column:
-    """Even length and every surrogate paired, checked on the hex digits of the code units."""
-    digits = F.hex(F.substring(content, 3, 2**31 - 1))
-    units = F.when(
-        F.hex(F.substring(content, 1, 2)) == "FFFE", F.regexp_replace(digits, "(..)(..)", "$2$1")
-    ).otherwise(digits)
-    pattern = r"^(?:D[89AB]..D[C-F]..|(?!D[89A-F])....)*+$"
-    return (F.length(digits) % 4 == 0) & units.rlike(pattern)
+    """Decoded ``text`` of each file, or ``reason`` why it is not text.
+
+    A file is decoded once, in one pass over its bytes; as an expression the decoding
+    would be repeated wherever text and reason are used.
+    """
+    fields = [f for f in files.schema.fields if f.name != "content"]
+    schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("reason", T.StringType())])
+    return files.mapInArrow(_decoded, schema)
 
 
 def explode_lines(files: DataFrame) -> DataFrame:
     """Numbered lines (from 1) of the readable files, without their line ends."""
     texts = with_text(files).filter(F.col("reason").isNull())
-    pieces = F.split("text", "\n")
+    pieces = F.col("__pieces")
     # Text that ends in a line end has no further, empty line.
     last = F.size(pieces)
     lines = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, last - 1)).otherwise(pieces)
     kept = [c for c in texts.columns if c not in ("text", "reason")]
-    rows = texts.select(*kept, F.posexplode(lines).alias("n", "line_text"))
-    return rows.select(*kept, (F.col("n") + 1).alias("line"), F.regexp_replace("line_text", r"\r+\z", "").alias("text"))
+    parted = texts.select(*kept, F.split("text", "\n").alias("__pieces"))
+    rows = parted.select(*kept, F.posexplode(lines).alias("n", "line_text"))
+    return rows.select(*kept, (F.col("n") + 1).alias("line"), F.rtrim("line_text", F.lit("\r")).alias("text"))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framescope.functions import scalars as fn
-from framescope.operators import metrics, validate
+from framescope.operators import metrics, project, validate
 from framescope.sources import convention, project_files, routing
 
 
@@ -83,6 +83,34 @@ def test_text_tree_and_encodings(spark, tmp_path):
     assert reasons["Assets/c.mat"] == "binary content" and reasons["Assets/d.json"] and reasons["Assets/f.txt"]
 
 
+def test_texts_are_decoded_once_and_cut_like_their_lines(spark):
+    long = "x" * project_files.MAX_LINE_BYTES
+    contents = [
+        b"", b"\n", b"a", b"a\n", b"a\r\r\n\r\nb\r", b"\xef\xbb\xbfu\n\n", b"\xff\xfe", b"\xff\xfea", b"\xfe\xff\x00a\x00\n\xd8\x3d\xde\x00", b"\xfe\xff\xde\x00",
+        b"\xed\xa0\x80", None, long.encode() + b"\ny", long.encode() + b"xy", b"\xff\xfe" + long[: len(long) // 2 + 1].encode("utf-16-le"), b"\xff\xfe" + (long[: len(long) // 2] + "\n").encode("utf-16-le"),
+    ]
+    files = spark.createDataFrame(list(enumerate(contents)), "path LONG, content BINARY")
+    reasons = {r.path: r.reason for r in project_files.with_text(files).collect()}
+    broken = "not UTF-8 or marked UTF-16 text"
+    assert {k: v for k, v in reasons.items() if v} == {7: broken, 9: broken, 10: broken, 11: broken, 13: "line over the size limit", 14: "line over the size limit"}
+    rows = project_files.explode_lines(files)
+    found = {}
+    for r in rows.orderBy("path", "line").collect():
+        found.setdefault(r.path, []).append(r.text)
+    assert {k: v for k, v in found.items() if k < 12} == {1: [""], 2: ["a"], 3: ["a"], 4: ["a", "", "b"], 5: ["u", ""], 8: ["a", "😀"]}
+    assert found[12] == [long, "y"] and found[15] == [long[: len(long) // 2]]
+    plan = rows.filter("line < 3")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "decode(" not in plan and "rlike" not in plan.lower()
+
+
+def test_read_lines_makes_the_lines_once(spark):
+    lines = spark.createDataFrame([("a", n, f"t{n}") for n in range(1, 8)] + [("b", 2, "t2"), ("b", 3, "y" * 2001), (None, 2, "t2")], "path STRING, line INT, text STRING")
+    page = project.read_lines(lines, start_line=2, limit=3)
+    rows = sorted((r.path, r.line, r.text[:3], r.line_truncated, r.next_line) for r in page.collect())
+    assert rows == [("a", 2, "t2", False, 5), ("a", 3, "t3", False, 5), ("a", 4, "t4", False, 5), ("b", 2, "t2", False, None), ("b", 3, "yyy", True, None)]
+    assert page._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def test_formatting(spark):
     def one(column):
         return spark.range(1).select(column.alias("v")).first().v
