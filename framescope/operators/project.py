@@ -5,7 +5,7 @@ Works on numbered lines (path, line, text); see ``sources.project_files``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framescope.functions.scalars import preview_bytes
@@ -209,11 +209,12 @@ def read_lines(lines: DataFrame, start_line: int = 1, limit: int = 100) -> DataF
     if start_line < 1 or not 1 <= limit <= 400:
         raise ValueError("lines start at 1 and limit must be in 1..400")
     stop = start_line + limit
-    wanted = lines.filter((F.col("line") >= start_line) & (F.col("line") < stop + 1))
-    more = wanted.groupBy("path").agg(F.max(F.when(F.col("line") == stop, F.col("line"))).alias("next_line"))
-    return wanted.filter(F.col("line") < stop).join(more, "path").select(
-        "path", "line", preview_bytes(F.col("text"), 2000).alias("text"), (F.octet_length("text") > 2000).alias("line_truncated"), "next_line"
+    # A page and the line after it are few rows a file, cut before they move; the lines are made only once.
+    wanted = lines.filter(F.col("path").isNotNull() & (F.col("line") >= start_line) & (F.col("line") < stop + 1)).select(
+        "path", "line", preview_bytes(F.col("text"), 2000).alias("text"), (F.octet_length("text") > 2000).alias("line_truncated")
     )
+    following = F.max(F.when(F.col("line") == stop, F.col("line"))).over(Window.partitionBy("path"))
+    return wanted.withColumn("next_line", following).filter(F.col("line") < stop)
 
 
 def asset(files: DataFrame, object_rows: DataFrame, guid_rows: DataFrame, start: int = 0, limit: int = 20) -> DataFrame:
