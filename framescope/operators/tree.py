@@ -171,6 +171,8 @@ def _carried(samples: DataFrame, long_threads: DataFrame | None, block_rows: int
     )
     if long_threads is None:
         long_threads = samples.filter(F.col("sample_index") >= size).select(*THREAD).distinct()
+    # at most one thread for every block of samples; the shuffle keeps finding them out of the broadcast's time
+    long_threads = F.broadcast(long_threads.repartition(1))
     summaries = (
         blocked.select(*_PLACE, "__key", "sample_index", "children_count", "marker_name")
         .join(long_threads, THREAD, "left_semi")

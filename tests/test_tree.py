@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framescope.operators import tree, validate
-from framescope.schemas import SAMPLE
+from framescope.schemas import SAMPLE, THREAD
 
 COLUMNS = (
     "capture_id STRING, frame_index BIGINT, thread_index BIGINT, sample_index BIGINT, marker_name STRING, children_count BIGINT, "
@@ -147,3 +147,22 @@ def test_long_chains_and_flat_threads_in_arrays():
         assert (parents[1:] == (0 if flat else np.arange(len(children) - 1))).all() and (ends(parents)[0], parents[0]) == (len(children), -1)
         assert (depths(parents) == (np.minimum(np.arange(len(children)), 1) if flat else np.arange(len(children)))).all()
     assert time.perf_counter() - begun < 60
+
+
+def test_finding_long_threads_moves_no_samples(spark):
+    """All samples were shuffled to be matched with the threads of more than one block, of which there are few."""
+    rows = spark.range(100).selectExpr("'a' AS capture_id", "id % 5 AS frame_index", "0L AS thread_index", "id DIV 5 AS sample_index", "'m' AS marker_name", "0L AS children_count")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (tree.with_tree(rows, block_rows=4), tree.with_tree(rows, long_threads=rows.filter("sample_index >= 4").select(*THREAD).distinct(), block_rows=4)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_closed_trees_are_checked_on_one_rebuilt_tree(spark):
+    from framescope.plans.catalog import QUERIES
+
+    plan = QUERIES["v4_tree_closed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "FlatMapGroups" not in plan
