@@ -132,3 +132,39 @@ def test_frames_that_come_in_pieces_are_decoded_about_once():
     found = [f for n, p in enumerate(pieces) for f in scanner.feed(p + ("]" if n + 1 < len(pieces) else ""))] + [*scanner.finish()]
     assert [(at, f["frame_index"]) for at, f in found] == [(k, k) for k in range(200)] and not scanner.findings.rows
     assert len(tries) < 220
+
+
+def test_sound_frames_are_not_looked_at_field_by_field(monkeypatch):
+    """Every field of a frame and thread was looked up by its class and spellings, sound or not."""
+    from framescope.sources import json_rules as rules
+
+    def frame(**sample):
+        base = {"sample_index": 0, "marker_id": 1, "marker_name": "m", "time_ms": 1, "start_time_ms": 0.5, "children_count": 0, "metadata_count": 0}
+        thread = {"thread_index": 0, "thread_id": 7, "thread_name": "t", "thread_group_name": None, "samples": [base, base | sample]}
+        return {"frame_index": 3, "sample_count_total": 2, "threads": [thread]}
+
+    def plain(found, position):
+        """The rules applied to each object in turn."""
+        findings = rules.Findings()
+        if findings.check(found, rules.DUMP_FRAME_FIELDS, (rules._number(found, "frame_index", position),), "frame."):
+            for t, thread in enumerate(found["threads"]):
+                place = (found["frame_index"], rules._number(thread, "thread_index", t))
+                if findings.check(thread, rules.DUMP_THREAD_FIELDS, place, "thread."):
+                    for k, sample in enumerate(thread["samples"]):
+                        findings.check(sample, rules.DUMP_SAMPLE_FIELDS, (*place, k), "sample.")
+        return findings.rows
+
+    whole = frame()
+    cases = [whole, None, [], {}, whole | {"threads": None}, whole | {"threads": [None, {}]}, whole | {"frame_time_ms": float("inf")}, whole | {"frame_index": True},
+             whole | {rules.TWICE: ["other"]}, whole | {rules.TWICE: ["threads"]}, whole | {"gc_alloc_bytes_total": 2**64}, whole | {"frame_time_ms": None}]
+    values = [None, True, 0, -1, 2**31, 2**63, 2**64, 0.5, float("nan"), "x", [], {}]
+    cases += [frame(**{f.name: v}) for f in rules.DUMP_SAMPLE_FIELDS for v in values] + [frame(**{rules.TWICE: n}) for n in (["time_ms"], ["other"])]
+    cases += [whole | {"threads": [whole["threads"][0] | {f.name: v}]} for f in rules.DUMP_THREAD_FIELDS for v in values]
+    for case in cases:
+        findings = rules.Findings()
+        assert rules.check_dump_frame(case, 5, findings) == (not plain(case, 5))
+        assert findings.rows == plain(case, 5)
+
+    asked = []
+    monkeypatch.setattr(rules.Findings, "check", lambda *a: asked.append(a) or True)
+    assert rules.check_dump_frame(whole, 0, rules.Findings()) and not asked
