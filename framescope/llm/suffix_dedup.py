@@ -212,6 +212,19 @@ def comparable(group: list[tuple[bytes, int, int]]) -> list[tuple[list[int], int
     return done
 
 
+def _longest_shared(parts: list[bytes]) -> list[int]:
+    """How many first bytes each string has in common with another one: a neighbour in sorted order shares the most."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    found = [0] * len(parts)
+    for i, j in zip(order, order[1:], strict=False):
+        size = min(len(parts[i]), len(parts[j]))
+        differ = int.from_bytes(parts[i][:size], "big") ^ int.from_bytes(parts[j][:size], "big")
+        same = size - (differ.bit_length() + 7) // 8
+        found[i] = max(found[i], same)
+        found[j] = same
+    return found
+
+
 def repeated_windows(groups: list[list[tuple[bytes, int, int]]]) -> list[list[np.ndarray]]:
     """For each context of each group, which of its windows occur in another context of the group.
 
@@ -220,18 +233,25 @@ def repeated_windows(groups: list[list[tuple[bytes, int, int]]]) -> list[list[np
     """
     flags = [[np.zeros(left - last + 1, bool) for _, left, last in group] for group in groups]
     parts: list[np.ndarray] = []
-    core_of, widths, cores_at, owners = [], [], [], []
+    core_of, widths, cores_at, owners, many_windows = [], [], [], [], []
     core = 0
     for g, group in enumerate(groups):
         for members, before, after in comparable(group):
-            for k in members:
-                data, left, _ = group[k]
+            # a window that another context holds lies in what is shared on either side of the core; the rest is not sorted
+            shared_left = _longest_shared([group[k][0][: group[k][1] - before][::-1] for k in members])
+            shared_right = _longest_shared([group[k][0][group[k][1] + after :] for k in members])
+            for k, more_left, more_right in zip(members, shared_left, shared_right, strict=True):
+                data, left, last = group[k]
+                most, least = min(left, before + more_left), max(last, LENGTH - after - more_right)
+                if most < least:
+                    continue
                 b = np.frombuffer(data, np.uint8).astype(np.int64)
-                parts.append(np.concatenate([b[: left - before], [-1], b[left + after :], [-2]]))
+                parts.append(np.concatenate([b[left - most : left - before], [-1], b[left + after : left + LENGTH - least], [-2]]))
                 core_of.append(core)
                 widths.append(LENGTH + 1 - before - after)
-                cores_at.append(left - before)
-                owners.append((g, k))
+                cores_at.append(most - before)
+                many_windows.append(most - least + 1)
+                owners.append((g, k, left - most))
             core += 1
     many = len(parts)
     if not many:
@@ -240,7 +260,7 @@ def repeated_windows(groups: list[list[tuple[bytes, int, int]]]) -> list[list[np
     text = np.concatenate(parts) + many
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     cores_of, at_core, widths_of = np.array(core_of), np.array(cores_at), np.array(widths)
-    windows_of = np.array([len(flags[g][k]) for g, k in owners])
+    windows_of = np.array(many_windows)
     text[starts + at_core] = many + 256 + cores_of
     text[starts + lengths - 1] = np.arange(many)[::-1]
     order = np.array(suffix_array(text))
@@ -259,8 +279,8 @@ def repeated_windows(groups: list[list[tuple[bytes, int, int]]]) -> list[list[np
         same = ((text[np.minimum(x[:, None] + step, last)] == text[np.minimum(y[:, None] + step, last)]) | ~inside).all(axis=1)
         found[x[same]] = True
         found[y[same]] = True
-    for (g, k), s in zip(owners, starts.tolist(), strict=True):
-        flags[g][k] = found[s : s + len(flags[g][k])]
+    for (g, k, at), s, windows in zip(owners, starts.tolist(), many_windows, strict=True):
+        flags[g][k][at : at + windows] = found[s : s + windows]
     return flags
 
 

@@ -430,3 +430,27 @@ def test_pipeline_runs(spark):
 
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"] and out.count() > 0
+
+
+def test_only_what_contexts_share_around_a_seed_is_sorted(monkeypatch):
+    sorted_symbols, sort = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text: sorted_symbols.append(len(text)) or sort(text))
+    rng = np.random.default_rng(5)
+    seed, length = rng.bytes(suffix_dedup.GRAM), suffix_dedup.LENGTH
+
+    def context(left: bytes, right: bytes) -> tuple[bytes, int, int]:
+        return left + seed + right, len(left), length - len(seed) - len(right)
+
+    # 20 bytes on either side of the seed are shared: too few for a window
+    near = [rng.bytes(20), rng.bytes(20)]
+    apart = [context(rng.bytes(80) + near[0], near[1] + rng.bytes(80)) for _ in range(2)]
+    assert not any(flags.any() for flags in suffix_dedup.repeated_windows([apart])[0]) and not sorted_symbols
+    # 90 and 70 bytes are shared: 25 windows, where the third context has 15 of them
+    left, right = rng.bytes(90), rng.bytes(70)
+    group = [context(b"a" * 10 + left, right + b"b" * 20), context(b"c" * 5 + left, right + b"d" * 3), context(b"e" * 30 + left[10:], right)]
+    found = suffix_dedup.repeated_windows([group])[0]
+    for (data, own_left, own_last), flags in zip(group, found, strict=True):
+        others = [d for d, _, _ in group if d != data]
+        windows = [data[own_left - k : own_left - k + length] for k in range(own_left, own_last - 1, -1)]
+        assert flags.tolist() == [any(w in d for d in others) for w in windows]
+    assert [int(f.sum()) for f in found] == [25, 25, 15]
