@@ -28,8 +28,10 @@ driver ever holds it whole:
 Levels are read in place in one buffer: the task's own, as executors share no disk that
 can be mapped; ``elias_fano.Level.opened`` takes a memory-mapped file as well.
 
-Words are known by 64-bit hashes and, among the successors of one context, by 32 bits:
-two of n successors are taken for one with a chance of n^2 / 2^33.  Counts of words and
+Words are known by 64-bit hashes and contexts by 56 bits.  Among the successors of one
+context the most frequent words are known by rank and others by 32 bits of their hashes:
+two of n such successors are taken for one with a chance of n^2 / 2^33.  What is stored or
+moved is packed by bytes of equal weight: ranks, counts and steps between sorted hashes.  Counts of words and
 the base score do not depend on these codes.
 
 Nulls: a null text is empty, one end; a null id is scored, and is trained on unless
@@ -60,10 +62,14 @@ ORDER = 2
 DISCOUNT = 0.75
 #: Tokens of a block, n-grams of a slice as counted by block, and sampled n-grams for each slice.
 BLOCK_TOKENS, SLICE_ROWS, SAMPLED = 1 << 20, 1 << 20, 256
+#: Words with short codes, and how many of its most frequent words a block proposes for that.
+RANKED, PROPOSED = 1 << 16, 1 << 13
 #: A context with this part of all n-grams, or as many as two slices, may be cut.
 HOT = 0.01
 #: Logarithms are kept in steps of 1 / STEPS; the last code means zero.
 STEPS, ZERO = 2000, 65535
+#: Contexts are known by 56 bits.
+CONTEXT_BITS = np.uint64(2**64 - 256)
 START, END = (np.uint64(xxhash.xxh64_intdigest(name, seed=1)) for name in (b"start", b"end"))
 _ANSWER = "block long, level int, slice int, data binary"
 
@@ -73,9 +79,55 @@ def held_out_sevenths(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+# -- packed numbers
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes of equal weight side by side, compressed: upper bytes of small numbers take next to nothing."""
+    raw = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return np.array([len(values)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    n, width = int(np.frombuffer(data, "<i8", 1)[0]), np.dtype(kind).itemsize
+    raw = pa.decompress(memoryview(data)[8:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).reshape(-1).view(kind)
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences, small where values rise; where they fall, modulo 2^64."""
+    return np.diff(values, prepend=np.uint64(0))
+
+
+def _joined(parts: list[bytes]) -> bytes:
+    return np.array([len(parts), *(len(p) for p in parts)], "<i8").tobytes() + b"".join(parts)
+
+
+def _parted(data: bytes) -> list[bytes]:
+    many = int(np.frombuffer(data, "<i8", 1)[0])
+    ends = 8 * (1 + many) + np.cumsum([0, *np.frombuffer(data, "<i8", many, 8)])
+    return [data[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
+
 # -- blocks
 
 
+@dataclass(frozen=True)
+class Common:
+    """The most frequent words, sorted by hash, with their ranks: short codes for them."""
+
+    words: np.ndarray
+    ranks: np.ndarray
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """Each word's code among the successors of a context: its rank, or 32 bits of its hash above all ranks."""
+        codes = (words >> np.uint64(32)) % np.uint64((1 << 32) - RANKED) + np.uint64(RANKED)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            codes = np.where(self.words[at] == words, self.ranks[at], codes)
+        return codes.astype(np.uint32)
+
+
 @dataclass(frozen=True)
 class Block:
     """Documents' tokens as numbers into sorted word hashes."""
@@ -89,14 +141,25 @@ class Block:
     def read(cls, row: dict) -> Block:
         sizes = np.asarray(row["sizes"], np.int64)
         trained = np.repeat(~np.asarray(row["held_out"], bool), sizes)
-        return cls(np.frombuffer(row["words"], "<u8"), np.frombuffer(row["tokens"], "<u4").astype(np.int64), sizes, trained)
+        stored = np.cumsum(_unpacked(row["words"], "<u8"), dtype=np.uint64)
+        order = np.argsort(stored)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return cls(stored[order], place[_unpacked(row["tokens"], "<u4")], sizes, trained)
+
+    def stored(self) -> tuple[np.ndarray, bytes]:
+        """Words, the most frequent first, and tokens as numbers into them."""
+        order = np.argsort(-np.bincount(self.tokens, minlength=len(self.words)), kind="stable")
+        place = np.empty(len(order), "<u4")
+        place[order] = np.arange(len(order))
+        return self.words[order], _packed(place[self.tokens])
 
     def word_counts(self) -> np.ndarray:
         """Occurrences of each word in training documents."""
         return np.bincount(self.tokens[self.trained], minlength=len(self.words))
 
-    def grams(self, level: int) -> Grams:
-        """Different ``level``-grams by context and code, and each token's number among them."""
+    def contexts(self, level: int) -> np.ndarray:
+        """The hash of the ``level`` - 1 words before each token."""
         place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         context = np.zeros(len(self.tokens), np.uint64)
         for back in range(level - 1, 0, -1):
@@ -104,10 +167,25 @@ class Block:
             there = np.flatnonzero(place >= back)
             before[there] = self.words[self.tokens[there - back]]
             context = mixed(context * np.uint64(0x9E3779B97F4A7C15) + before)
+        return context & CONTEXT_BITS
+
+    def sampled(self, level: int, least: int, common: Common) -> np.ndarray:
+        """The keys of one in ``least`` of the different ``level``-grams, chosen by hash; the others are not sorted."""
+        keys = (self.contexts(level) >> np.uint64(32) << np.uint64(32)) | common.codes(self.words)[self.tokens]
+        return np.unique(keys[mixed(keys) % np.uint64(least) == 0])
+
+    def grams(self, level: int, common: Common) -> Grams:
+        """Different ``level``-grams by context and code, and each token's number among them."""
+        codes = common.codes(self.words)
+        # words by code, so the numbers of one context's n-grams rise with their codes
+        order = np.argsort(codes, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        context = self.contexts(level)
         contexts, owner = np.unique(context, return_inverse=True)
-        found, token_gram = np.unique(owner * len(self.words) + self.tokens, return_inverse=True)
+        found, token_gram = np.unique(owner * len(self.words) + place[self.tokens], return_inverse=True)
         own, word = np.divmod(found, max(len(self.words), 1))
-        return Grams(contexts, own, (self.words[word] >> np.uint64(32)).astype(np.uint32), np.bincount(token_gram[self.trained], minlength=len(found)), token_gram)
+        return Grams(contexts, own, codes[order[word]], np.bincount(token_gram[self.trained], minlength=len(found)), token_gram)
 
 
 @dataclass(frozen=True)
@@ -124,20 +202,17 @@ class Grams:
         """64 bits that rise with the order of slices."""
         return (self.contexts[self.owner] >> np.uint64(32) << np.uint64(32)) | self.codes
 
-    def slices(self, borders: np.ndarray) -> Iterator[tuple[int, slice]]:
-        """The runs of n-grams in each slice; order within equal upper halves of contexts is by code, so runs are found by sorting keys."""
-        ends = np.searchsorted(self.keys()[self.by_key()], borders, "left")
-        bounds = [0, *ends.tolist(), len(self.codes)]
+    def slices(self, borders: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The n-grams of each slice in the order of keys: their own order but for contexts with equal upper halves, where it is by code."""
+        keys = self.keys()
+        order = np.argsort(keys, kind="stable")
+        bounds = [0, *np.searchsorted(keys[order], borders, "left").tolist(), len(order)]
         for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
             if a < b:
-                yield k, slice(a, b)
-
-    def by_key(self) -> np.ndarray:
-        """The order of keys; the n-grams' own order but for contexts with equal upper halves."""
-        return np.argsort(self.keys(), kind="stable")
+                yield k, order[a:b]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], levels: list[int], most: int, least: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     numbers = count(TaskContext.get().partitionId() << 32)
@@ -147,17 +222,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], levels: list[int], most: int, lea
         words, tokens = np.unique(np.concatenate(texts), return_inverse=True)
         sizes = np.array([len(t) for t in texts], np.int64)
         block = Block(words, tokens, sizes, np.repeat(~np.array(held, bool), sizes))
+        own_words, own_tokens = block.stored()
         columns = {
             "block": pa.array([next(numbers)], pa.int64()), "doc_ids": _list(pa.concat_arrays(ids)), "held_out": _list(pa.array(held, pa.bool_())),
-            "sizes": _list(pa.array(sizes, pa.int64())), "words": pa.array([words.tobytes()], pa.binary()), "tokens": pa.array([tokens.astype("<u4").tobytes()], pa.binary()),
-            "n_words": pa.array([len(words)], pa.int64()),
+            "sizes": _list(pa.array(sizes, pa.int64())), "words": pa.array([_packed(_steps(own_words))], pa.binary()), "tokens": pa.array([own_tokens], pa.binary()),
+            "n_words": pa.array([len(words)], pa.int64()), "top": _list(pa.array(own_words[:PROPOSED].view(np.int64), pa.int64())), "top_counts": _list(pa.array(np.bincount(tokens)[np.searchsorted(words, own_words[:PROPOSED])], pa.int64())),
         }
-        for level in levels:
-            grams = block.grams(level)
-            keys = grams.keys()
-            chosen = keys[mixed(keys) % np.uint64(least) == 0]
-            columns[f"n_{level}"] = pa.array([len(keys)], pa.int64())
-            columns[f"sample_{level}"] = _list(pa.array((chosen ^ np.uint64(1 << 63)).view(np.int64), pa.int64()))
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     for batch in batches:
@@ -184,14 +254,12 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def blocks(docs: DataFrame, held_out: Column, doc_id: str, text: str, order: int) -> DataFrame:
-    levels = list(range(2, order + 1))
+def blocks(docs: DataFrame, held_out: Column, doc_id: str, text: str) -> DataFrame:
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    fields = "held_out array<boolean>, sizes array<long>, words binary, tokens binary, n_words long"
-    fields += "".join(f", n_{k} long, sample_{k} array<long>" for k in levels)
+    fields = "held_out array<boolean>, sizes array<long>, words binary, tokens binary, n_words long, top array<long>, top_counts array<long>"
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(own.schema["doc_id"].dataType)), *T.StructType.fromDDL(fields).fields])
-    most, least = BLOCK_TOKENS, max(1, SLICE_ROWS // SAMPLED)
-    return _stored(own.mapInArrow(lambda batches: _blocks(batches, levels, most, least), schema))
+    most = BLOCK_TOKENS
+    return _stored(own.mapInArrow(lambda batches: _blocks(batches, most), schema))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
@@ -219,15 +287,16 @@ def word_answers(found: DataFrame, slices: int) -> DataFrame:
             counts = block.word_counts().astype("<u4")
             ends = np.searchsorted(block.words, np.array([(k << 64) // slices for k in range(1, slices)], np.uint64))
             bounds = [0, *ends.tolist(), len(block.words)]
-            sent = [(k, number, block.words[a:b].tobytes() + counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+            sent = [(k, number, _joined([_packed(_steps(block.words[a:b])), _packed(counts[a:b])])) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
             yield _sent(sent, ["slice", "block", "data"], [pa.int32(), pa.int64(), pa.binary()])
 
     def counted(table: pa.Table) -> pa.Table:
         number = table.column("slice")[0].as_py()
         data = table.column("data").to_pylist()
-        sizes = [len(d) // 12 for d in data]
-        words = np.concatenate([np.frombuffer(d, "<u8", n) for d, n in zip(data, sizes, strict=True)])
-        counts = np.concatenate([np.frombuffer(d, "<u4", n, 8 * n) for d, n in zip(data, sizes, strict=True)])
+        parted = [_parted(d) for d in data]
+        runs = [np.cumsum(_unpacked(steps, "<u8"), dtype=np.uint64) for steps, _ in parted]
+        sizes = [len(r) for r in runs]
+        words, counts = np.concatenate(runs), np.concatenate([_unpacked(c, "<u4") for _, c in parted])
         known, which = np.unique(words, return_inverse=True)
         totals = np.zeros(len(known), np.int64)
         np.add.at(totals, which, counts)
@@ -236,7 +305,7 @@ def word_answers(found: DataFrame, slices: int) -> DataFrame:
         blocks_ = [*table.column("block").to_pylist(), -1]
         return pa.table({
             "block": pa.array(blocks_, pa.int64()), "level": pa.array([1] * len(blocks_), pa.int32()), "slice": pa.array([number] * len(blocks_), pa.int32()),
-            "data": pa.array([*(a.astype("<i8").tobytes() for a in answers), stats], pa.binary()),
+            "data": pa.array([*(_packed(a.astype("<i8")) for a in answers), stats], pa.binary()),
         })
 
     return found.select(*_READ).mapInArrow(parts, "slice int, block long, data binary").groupBy("slice").applyInArrow(counted, _ANSWER)
@@ -245,18 +314,32 @@ def word_answers(found: DataFrame, slices: int) -> DataFrame:
 # -- n-grams
 
 
-def _borders(found: DataFrame, level: int) -> tuple[np.ndarray, np.ndarray]:
+def common_words(found: DataFrame) -> Common:
+    """The ``RANKED`` most frequent of the words that blocks propose; no more reach the driver."""
+    proposed = found.select(F.explode(F.arrays_zip("top", "top_counts")).alias("word")).groupBy("word.top").agg(F.sum("word.top_counts").alias("many"))
+    words = np.array([r["top"] for r in proposed.orderBy(F.desc("many"), "top").limit(RANKED).collect()], np.int64).view(np.uint64)
+    ranks = np.argsort(words)
+    return Common(words[ranks], ranks.astype(np.uint64))
+
+
+def _borders(found: DataFrame, level: int, common: Common) -> tuple[np.ndarray, np.ndarray]:
     """Keys that cut the n-grams into slices of about ``SLICE_ROWS``, and the upper halves of contexts that may be cut.
 
     Other contexts stay whole: a border inside one moves to its start.  One number
     a slice, and at most one for two slices or 1 / ``HOT``, reaches the driver.
     """
-    total = found.agg(F.sum(f"n_{level}")).head()[0] or 0
-    slices = -(-total // SLICE_ROWS)
+    least = max(1, SLICE_ROWS // SAMPLED)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block in _rows(batches):
+            chosen = block.sampled(level, least, common) ^ np.uint64(1 << 63)
+            yield pa.RecordBatch.from_arrays([pa.array(chosen.view(np.int64))], names=["key"])
+
+    sample = _stored(found.select(*_READ).mapInArrow(sampled, "key long"))
+    slices = -(-sample.count() * least // SLICE_ROWS)
     if slices < 2:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     wanted = [k / slices for k in range(1, slices)]
-    sample = found.select(F.explode(f"sample_{level}").alias("key"))
     head = sample.agg(F.percentile_approx("key", wanted, max(10_000, 10 * slices)), F.count(F.lit(1))).head()
     cuts = np.array(head[0] or [], np.int64).view(np.uint64) ^ np.uint64(1 << 63)
     many = sample.groupBy(F.shiftright("key", 32).alias("half")).agg(F.count(F.lit(1)).alias("many"))
@@ -266,15 +349,18 @@ def _borders(found: DataFrame, level: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.where(inside, cuts, cuts >> np.uint64(32) << np.uint64(32))), hot
 
 
-def _totals(found: DataFrame, level: int, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _totals(found: DataFrame, level: int, halves: np.ndarray, common: Common) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts with the given upper halves: occurrences in training and different successors."""
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in _rows(batches):
-            grams = block.grams(level)
-            cut = np.isin(grams.contexts >> np.uint64(32), halves)
-            chosen = np.flatnonzero(cut[grams.owner] & (grams.counts > 0))
-            contexts = grams.contexts[grams.owner[chosen]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(contexts), pa.array(grams.codes[chosen].astype(np.int64)), pa.array(grams.counts[chosen].astype(np.int64))], names=["context", "code", "many"])
+            context = block.contexts(level)
+            chosen = np.flatnonzero(block.trained & np.isin(context >> np.uint64(32), halves))
+            context, code = context[chosen], common.codes(block.words)[block.tokens[chosen]].astype(np.int64)
+            order = np.lexsort((code, context))
+            context, code = context[order], code[order]
+            begins = np.flatnonzero((np.diff(context, prepend=np.uint64(0)) != 0) | (np.diff(code, prepend=-1) != 0))
+            many = np.diff(np.append(begins, len(code)))
+            yield pa.RecordBatch.from_arrays([pa.array(context[begins].view(np.int64)), pa.array(code[begins]), pa.array(many)], names=["context", "code", "many"])
 
     rows = found.select(*_READ).mapInArrow(parts, "context long, code long, many long").groupBy("context", "code").agg(F.sum("many").alias("many"))
     totals = rows.groupBy("context").agg(F.sum("many").alias("many"), F.count(F.lit(1)).alias("kinds")).collect()  # about one row a half
@@ -290,21 +376,18 @@ def _run(grams: Grams, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams.contexts[owner[begins]], np.diff(np.append(begins, len(owner)))
 
 
-def gram_answers(found: DataFrame, level: int, borders: np.ndarray, hot: np.ndarray, discount: float) -> DataFrame:
+def gram_answers(found: DataFrame, level: int, borders: np.ndarray, hot: np.ndarray, discount: float, common: Common) -> DataFrame:
     """For each block and slice: the stored logarithms of its n-grams and of its contexts."""
-    totals = _totals(found, level, hot) if len(hot) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    totals = _totals(found, level, hot, common) if len(hot) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in _rows(batches):
-            grams = block.grams(level)
-            order = grams.by_key()
+            grams = block.grams(level, common)
             sent = []
             for k, part in grams.slices(borders):
-                contexts, sizes = _run(grams, order[part])
-                counts = grams.counts[order[part]]
-                small = np.minimum(counts, 255).astype(np.uint8)
-                data = [np.array([len(contexts), len(counts)], "<i8"), contexts, sizes.astype("<u4"), grams.codes[order[part]], counts[small == 255].astype("<u4"), small]
-                sent.append((k, number, b"".join(a.tobytes() for a in data)))
+                contexts, sizes = _run(grams, part)
+                data = [_packed(_steps(contexts)), _packed(sizes.astype("<u4")), _packed(grams.codes[part]), _packed(grams.counts[part].astype("<u4"))]
+                sent.append((k, number, _joined(data)))
             yield _sent(sent, ["slice", "block", "data"], [pa.int32(), pa.int64(), pa.binary()])
 
     def answered(table: pa.Table) -> pa.Table:
@@ -315,12 +398,8 @@ def gram_answers(found: DataFrame, level: int, borders: np.ndarray, hot: np.ndar
 
 def _opened(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, how many n-grams each has, codes and counts of one block's run."""
-    m, n = np.frombuffer(data, "<i8", 2).tolist()
-    contexts, sizes = np.frombuffer(data, "<u8", m, 16), np.frombuffer(data, "<u4", m, 16 + 8 * m)
-    codes = np.frombuffer(data, "<u4", n, 16 + 12 * m)
-    counts = np.frombuffer(data, np.uint8, n, len(data) - n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(data, "<u4", int((counts == 255).sum()), 16 + 12 * m + 4 * n)
-    return contexts, sizes.astype(np.int64), codes, counts
+    steps, sizes, codes, counts = _parted(data)
+    return np.cumsum(_unpacked(steps, "<u8"), dtype=np.uint64), _unpacked(sizes, "<u4").astype(np.int64), _unpacked(codes, "<u4"), _unpacked(counts, "<u4").astype(np.int64)
 
 
 def _logged(values: np.ndarray) -> np.ndarray:
@@ -364,7 +443,7 @@ def _slice_answers(table: pa.Table, level: int, totals: tuple, discount: float)
     of_context = np.where(numbers >= 0, np.append(part.of_context, 0)[numbers], 0).astype("<u2")
     data, a, b = [], 0, 0
     for c, _, k, _ in runs:
-        data.append(of_context[a : a + len(c)].tobytes() + of_gram[b : b + len(k)].tobytes())
+        data.append(_packed(np.concatenate([of_context[a : a + len(c)], of_gram[b : b + len(k)]])))
         a, b = a + len(c), b + len(k)
     many = len(runs)
     return pa.table({
@@ -376,23 +455,22 @@ def _slice_answers(table: pa.Table, level: int, totals: tuple, discount: float)
 # -- scores
 
 
-def _scores(own: pa.Table, answers: pa.Table, tokens: int, words: int, borders: dict[int, np.ndarray], schema: T.StructType) -> pa.Table:
+def _scores(own: pa.Table, answers: pa.Table, tokens: int, words: int, borders: dict[int, np.ndarray], common: Common, schema: T.StructType) -> pa.Table:
     if not own.num_rows:
         return pa.table({f.name: [] for f in schema.fields})
     block = Block.read({name: own.column(name)[0].as_py() for name in _READ})
     data = {(r["level"], r["slice"]): r["data"] for r in answers.to_pylist()}
-    counts = np.concatenate([np.frombuffer(data[key], "<i8") for key in sorted(data) if key[0] == 1])
+    counts = np.concatenate([_unpacked(data[key], "<i8") for key in sorted(data) if key[0] == 1])
     p1 = (counts + 1) / (tokens + words + 1)
     p = p1[block.tokens]
     for level, cuts in borders.items():
-        grams = block.grams(level)
-        order = grams.by_key()
-        first, second = np.zeros(len(order)), np.ones(len(order))
+        grams = block.grams(level, common)
+        first, second = np.zeros(len(grams.codes)), np.ones(len(grams.codes))
         for k, part in grams.slices(cuts):
-            _, sizes = _run(grams, order[part])
-            codes = np.frombuffer(data[level, k], "<u2")
-            second[order[part]] = np.repeat(_value(codes[: len(sizes)]), sizes)
-            first[order[part]] = _value(codes[len(sizes) :])
+            _, sizes = _run(grams, part)
+            codes = _unpacked(data[level, k], "<u2")
+            second[part] = np.repeat(_value(codes[: len(sizes)]), sizes)
+            first[part] = _value(codes[len(sizes) :])
         p = first[grams.token_gram] + second[grams.token_gram] * p
     begins = np.cumsum(block.sizes) - block.sizes
     known = counts[block.tokens] > 0
@@ -410,21 +488,22 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     ``held_out`` is true for documents that the model may not learn from.
     ``base_score`` is the text's log10 probability by p1, ``score`` that by level ``order``.
     """
-    found = blocks(docs, held_out, doc_id, text, order)
+    found = blocks(docs, held_out, doc_id, text)
     words = found.agg(F.sum("n_words")).head()[0] or 0
     by_word = _stored(word_answers(found, max(1, -(-words // SLICE_ROWS))))
     answers = by_word.filter("block >= 0")
     stats = np.sum([np.frombuffer(r["data"], "<i8") for r in by_word.filter("block < 0").select("data").toLocalIterator()] or [[0, 0]], axis=0)
-    borders = {level: _borders(found, level) for level in range(2, order + 1)}
+    common = common_words(found) if order > 1 else Common(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    borders = {level: _borders(found, level, common) for level in range(2, order + 1)}
     for level, (cuts, hot) in borders.items():
-        answers = answers.unionByName(gram_answers(found, level, cuts, hot, discount))
+        answers = answers.unionByName(gram_answers(found, level, cuts, hot, discount, common))
     cut = {level: cuts for level, (cuts, _) in borders.items()}
     more = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     schema = T.StructType([T.StructField("doc_id", found.schema["doc_ids"].dataType.elementType), *T.StructType.fromDDL(more).fields])
     tokens, kinds = (int(v) for v in stats)
 
     def scored(own: pa.Table, given: pa.Table) -> pa.Table:
-        return _scores(own, given, tokens, kinds, cut, schema)
+        return _scores(own, given, tokens, kinds, cut, common, schema)
 
     own = found.select("doc_ids", *_READ).groupBy("block")
     return own.cogroup(answers.groupBy("block")).applyInArrow(scored, schema)

@@ -226,6 +226,28 @@ def test_scores_without_training_and_without_rows(spark):
     assert language_model.score(table.filter("doc_id > 5"), F.lit(None).cast("boolean")).collect() == []
 
 
+def test_blocks_are_stored_and_moved_in_few_bytes():
+    from framescope.llm import language_model
+
+    rng = np.random.default_rng(3)
+    words = np.unique(rng.integers(0, 2**64 - 1, 3_000, dtype=np.uint64))
+    tokens = np.minimum(rng.zipf(1.3, 60_000), len(words)) - 1
+    block = language_model.Block(words, tokens, np.array([40_000, 20_000]), np.repeat([True, False], [40_000, 20_000]))
+    own, packed = block.stored()
+    assert len(packed) < 2 * len(tokens)  # four bytes a token before
+    row = {"sizes": [40_000, 20_000], "held_out": [False, True], "words": language_model._packed(language_model._steps(own)), "tokens": packed}
+    back = language_model.Block.read(row)
+    assert (back.words == words).all() and (back.tokens == tokens).all() and (back.trained == block.trained).all()
+    order = np.argsort(own[:1000])
+    common = language_model.Common(own[:1000][order], order.astype(np.uint64))
+    codes = common.codes(words)
+    assert len(np.unique(codes)) == len(words) and sorted(codes)[:1000] == list(range(1000)) and sorted(codes)[1000] >= language_model.RANKED
+    grams = block.grams(3, common)
+    assert (np.diff(grams.keys().astype(object)) >= 0).mean() > 0.99 and grams.counts.sum() == 40_000
+    for values in (np.zeros(0, "<u4"), np.array([7], "<i8"), rng.integers(0, 2**16, 999).astype("<u2")):
+        assert (language_model._unpacked(language_model._packed(values), values.dtype.str) == values).all()
+
+
 def test_levels_in_a_mapped_file(tmp_path):
     import mmap
 
