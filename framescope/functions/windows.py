@@ -83,6 +83,24 @@ def with_range_bucket(df: DataFrame, keys: list[str], order: list[str], name: st
     return inside.select(*df.columns, bucket.alias(name))
 
 
+def _behind_buckets(cut: DataFrame, keys: list[str], order: list[str], ahead: dict[str, tuple[int, Column]]) -> DataFrame:
+    """For each bucket of the cut keys, the values of the rows right behind it.
+
+    They are among the first rows of later buckets, as many of each as the longest look ahead.
+    """
+    most = max(k for k, _ in ahead.values())
+    place = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order))
+    fronts = cut.select(*keys, "__b", *[v.alias(f"__v_{n}") for n, (_, v) in ahead.items()], place.alias("__n")).filter(F.col("__n") <= most)
+    along = Window.partitionBy(*keys).orderBy("__b", "__n")
+    found = fronts.select(
+        *[F.col(k).alias(f"__d{n}") for n, k in enumerate(keys)],
+        F.col("__b").alias("__db"),
+        F.lead("__b").over(along).alias("__next"),
+        *[F.collect_list(F.struct(F.col(f"__v_{n}").alias("value"))).over(along.rowsBetween(1, most)).alias(f"__behind_{n}") for n in ahead],
+    )
+    return found.filter(~F.col("__db").eqNullSafe(F.col("__next"))).drop("__next")
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -90,18 +108,20 @@ def running(
     prefix: dict[str, tuple[str, Column | None]] | None = None,
     totals: dict[str, tuple[str, Column | None]] | None = None,
     bounded: bool = False,
+    ahead: dict[str, tuple[int, Column]] | None = None,
 ) -> DataFrame:
     """Add aggregates over the rows *before* each row, and over its whole group.
 
     ``prefix`` maps a new column to ``(kind, value)`` with kind count, sum, max
-    or last; ``totals`` likewise for the whole group.  ``order`` is ascending
-    and must be total inside a group; NULL is a key like any other.
+    or last; ``totals`` likewise for the whole group.  ``ahead`` maps one to
+    ``(k, value)``: the sum over the row and the ``k`` rows after it.  ``order`` is
+    ascending and must be total inside a group; NULL is a key like any other.
 
     ``bounded``: the caller knows that a group fits in a task whatever the input
     (it came out of one row, say); then one plain window does, and the rows are
     neither sampled nor joined.
     """
-    prefix, totals = prefix or {}, totals or {}
+    prefix, totals, ahead = prefix or {}, totals or {}, ahead or {}
     order_names = [o if isinstance(o, str) else f"__o{n}" for n, o in enumerate(order)]
     values = {name: F.lit(1) if value is None else value for name, (_, value) in {**prefix, **totals}.items()}
     work = df.select("*", *[o.alias(n) for o, n in zip(order, order_names) if not isinstance(o, str)])
@@ -115,8 +135,9 @@ def running(
     if bounded:
         whole = Window.partitionBy(*keys)
         found = prefix_over(whole.orderBy(*order_names).rowsBetween(Window.unboundedPreceding, -1))
+        found += [F.sum(value).over(whole.orderBy(*order_names).rowsBetween(0, k)) for k, value in ahead.values()]
         every = [_aggregate(kind, values[n], F.struct(*order_names)).over(whole).alias(n) for n, (kind, _) in totals.items()]
-        return work.select(*output, *[c.alias(n) for n, c in zip(prefix, found)], *every)
+        return work.select(*output, *[c.alias(n) for n, c in zip([*prefix, *ahead], found)], *every)
 
     # a key with a splitter is cut into buckets; what came before is added to each.  Other keys are one bucket.
     order_key = F.struct(*order_names)
@@ -146,13 +167,27 @@ def running(
     local = bucketed.select(
         *output, "__b", *[c.alias(f"__here_{n}") for n, c in zip(prefix, prefix_over(inside))],
         *[_aggregate(kind, values[n], order_key).over(whole).alias(f"__own_{n}") for n, (kind, _) in totals.items()],
+        *[F.sum(value).over(whole.orderBy(*order_names).rowsBetween(0, k)).alias(f"__near_{n}") for n, (k, value) in ahead.items()],
+        *[(F.lit(k) - F.count(F.lit(1)).over(whole.orderBy(*order_names).rowsBetween(1, k))).cast("int").alias(f"__short_{n}") for n, (k, _) in ahead.items()],
     )
     # as few rows as there are buckets of cut keys
     joined = local.join(F.broadcast(carries.repartition(1)), (F.col("__b") == F.col("__cb")) & _same_key(keys, "__k"), "left")
+    if ahead:
+        behind = _behind_buckets(bucketed.filter("__b >= 0"), keys, order_names, ahead)
+        joined = joined.join(F.broadcast(behind.repartition(1)), (F.col("__b") == F.col("__db")) & _same_key(keys, "__d"), "left")
+
+    def reached(n: str) -> Column:
+        more = F.aggregate(
+            F.slice(f"__behind_{n}", 1, F.col(f"__short_{n}")), F.lit(None).cast(joined.schema[f"__near_{n}"].dataType),
+            lambda found, row: F.coalesce(found + row["value"], found, row["value"]),
+        )
+        return F.coalesce(F.col(f"__near_{n}") + more, F.col(f"__near_{n}"), more)
+
     return joined.select(
         *output,
         *[_combine(kind, F.col(f"__carry_{n}"), F.col(f"__here_{n}")).alias(n) for n, (kind, _) in prefix.items()],
         *[F.coalesce(f"__whole_{n}", f"__own_{n}").alias(n) for n in totals],
+        *[reached(n).alias(n) for n in ahead],
     )
 
 

@@ -188,9 +188,9 @@ def compact_sites(sites: DataFrame) -> DataFrame:
 def alloc_sites(attributed: DataFrame, threads: DataFrame, gc_flags: DataFrame) -> DataFrame:
     """Allocation sites of the frames that reconcile, one row per allocation."""
     label = F.concat_ws(" #", "thread_name", "thread_index")
-    named = attributed.join(threads.select(*THREAD, "thread_name"), THREAD)
-    kept = named.join(gc_flags.filter("gc_valid").select(*FRAME), FRAME, "left_semi")
-    return kept.filter(F.col("gc_alloc_bytes").isNotNull()).select(
+    # Threads are held against the frames, not their allocations: those are joined once.
+    kept = threads.select(*THREAD, "thread_name").join(gc_flags.filter("gc_valid").select(*FRAME), FRAME, "left_semi")
+    return attributed.filter(F.col("gc_alloc_bytes").isNotNull()).join(kept, THREAD).select(
         *FRAME,
         label.alias("thread"),
         F.col("site_name").alias("name"),

@@ -6,7 +6,7 @@ recording = line status, frame = part, thread = line number modulo two, samples
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framescope.functions.windows import running
@@ -48,6 +48,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         LINE_ORDER,
         prefix={"i": ("count", None), "start": ("sum", quantity)},
         totals={"n": ("count", None), "thread_total": ("sum", quantity)},
+        # a head and its up to two leaves
+        ahead={"group_total": (2, quantity)},
     )
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("frame_index"), "p_brand", "p_type", "p_size"
@@ -55,9 +57,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, n = F.col("i"), F.col("n")
     head = i % 3 == 1
     children = F.when(i == 0, F.ceil((n - 1) / 3)).when(head, F.least(F.lit(2), n - 1 - i)).otherwise(0).cast("long")
-    # A head and its up to two leaves form one group of at most three rows.
-    head_group = Window.partitionBy(*THREAD, F.floor((i + 2) / 3))
-    joined = lines.withColumn("group_total", F.sum(quantity).over(head_group)).join(parts, "frame_index", "left")
+    joined = lines.join(parts, "frame_index", "left")
     is_alloc = F.when(i == 0, F.lit(False)).when(head, F.col("p_size") % 5 == 0).otherwise(F.col("l_returnflag") == "R")
     thread_name = F.when(F.col("thread_index") == 0, F.lit(MAIN_THREAD)).otherwise(F.lit("Job.Worker 1"))
     name = (
