@@ -226,19 +226,30 @@ def compare_frames(
     now_threads = chosen.select("capture_id", "frame_index", F.col("thread_now").alias("thread_index"))
     then_threads = chosen.select("capture_id", F.col("baseline_index").alias("frame_index"), F.col("thread_before").alias("thread_index"))
     # Only the compared threads are summed, and each once however many pairs use it.
-    totals = path_totals(timed_tree.join(now_threads.unionByName(then_threads).distinct(), THREAD, "left_semi"))
-    now = totals.join(chosen.select(*pair, F.col("thread_now").alias("thread_index")), THREAD).withColumn("now", F.lit(True))
-    before = (
-        totals.withColumnRenamed("frame_index", "baseline_index")
-        .join(chosen.select(*pair, F.col("thread_before").alias("thread_index")), ["capture_id", "baseline_index", "thread_index"])
-        .withColumn("now", F.lit(False))
-    )
-    both = now.unionByName(before)
-    merged = both.groupBy(*pair, "path").agg(*_side("baseline", ~F.col("now")), *_side("current", F.col("now")))
+    compared = now_threads.unionByName(then_threads).distinct()
+    # Samples of thread numbers that no pair compares are left out before the others are moved; numbers are as few as a frame has threads.
+    numbers = F.broadcast(compared.select("thread_index").distinct())
+    totals = path_totals(timed_tree.join(numbers, "thread_index", "left_semi").join(compared, THREAD, "left_semi"))
+    # Flags join the pairs, one row each, and not their paths; as many rows come out as a frame has flags.
     valid = gc_flags.select(*FRAME, "gc_valid")
     base_valid = valid.select("capture_id", F.col("frame_index").alias("baseline_index"), F.col("gc_valid").alias("base_gc_valid"))
-    flagged = merged.join(valid, FRAME, "left").join(base_valid, ["capture_id", "baseline_index"], "left")
-    gc_ok = F.coalesce(F.col("gc_valid") & F.col("base_gc_valid"), F.lit(False))
+    both_valid = F.coalesce(F.col("gc_valid") & F.col("base_gc_valid"), F.lit(False))
+    flags = (
+        chosen.select(*pair).distinct().join(valid, FRAME, "left").join(base_valid, ["capture_id", "baseline_index"], "left")
+        .groupBy(*pair).agg(F.collect_list(both_valid).alias("gc_flags"))
+    )
+    # Both sides of a pair in one table of places, so the totals are joined once.
+    places = F.array(
+        *(F.struct(F.col(at).alias("frame_index"), F.col(thread).alias("thread_index"), F.lit(now).alias("now"))
+          for at, thread, now in (("frame_index", "thread_now", True), ("baseline_index", "thread_before", False)))
+    )
+    of_pair = F.struct(F.col("frame_index").alias("of_frame"), F.col("baseline_index").alias("of_baseline"), "gc_flags")
+    sides = chosen.join(flags, pair).select("capture_id", of_pair.alias("of"), F.explode(places).alias("at")).select("capture_id", "at.*", "of.*")
+    both = totals.join(sides, THREAD).drop("frame_index").withColumnsRenamed({"of_frame": "frame_index", "of_baseline": "baseline_index"})
+    # a pair has one list of flags, so they part no group
+    merged = both.groupBy(*pair, "path", "gc_flags").agg(*_side("baseline", ~F.col("now")), *_side("current", F.col("now")))
+    flagged = merged.withColumn("gc_ok", F.explode("gc_flags"))
+    gc_ok = F.col("gc_ok")
     self_ok = {s: F.col(f"{s}_calls") == F.col(f"{s}_self_valid") for s in ("baseline", "current")}
     rows = flagged.select(
         *pair, "path",

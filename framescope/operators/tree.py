@@ -264,7 +264,9 @@ def self_time(tree: DataFrame) -> DataFrame:
     checked = ordered.groupBy(*parent_key).agg(
         F.count(F.lit(1)).alias("__found"), F.sum("dur").alias("__sum"), F.bool_and(inside).alias("__inside")
     ).withColumnRenamed("parent_index", "sample_index")
-    joined = timed.join(checked, SAMPLE, "left")
+    # ``checked`` holds calls with declared children only; the others, most of the samples, are not moved to meet it
+    declared = F.coalesce(F.col("children_count") > 0, F.lit(False))
+    joined = timed.filter(declared).join(checked, SAMPLE, "left").unionByName(timed.filter(~declared), allowMissingColumns=True)
     total = F.coalesce("__sum", F.lit(0.0))
     tol = F.greatest(F.lit(2e-5), F.abs("__dur") * 1e-5)
     valid = (

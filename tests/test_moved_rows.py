@@ -55,3 +55,27 @@ def timed(spark, many):
     shape = "capture_id STRING, frame_index BIGINT, thread_index BIGINT, path ARRAY<STRING>, time_ms DOUBLE, self_ms DOUBLE, gc_alloc_bytes DECIMAL(20,0)"
     rows = [("A", f, t, p, float(f + 1), 0.5, Decimal(f)) for f in range(many) for t in (0, 1) for p in (["R"], ["R", f"p{f}"])]
     return spark.createDataFrame(rows, shape)
+
+
+def test_flags_join_pairs_and_not_their_paths(spark):
+    pairs = spark.createDataFrame([("A", 1, 0), ("A", 2, 1), ("A", 3, 2)], "capture_id STRING, frame_index BIGINT, baseline_index BIGINT")
+    flags = spark.createDataFrame([("A", 0, True), ("A", 1, True), ("A", 2, None), ("A", 2, True), ("A", 2, True)], "capture_id STRING, frame_index BIGINT, gc_valid BOOLEAN")
+    found = ranking.compare_frames(timed(spark, 4), threads(spark, 4), flags, pairs)
+    assert max(joins_over(found, "self_ms")) <= 4
+    rows = sorted((r.frame_index, "/".join(r.path), r.inclusive_delta_ms, r.baseline_calls, r.current_calls, r.gc_delta_bytes is not None) for r in found.collect())
+    # one row for each flag of a frame, as in a join with the flags
+    assert rows == sorted(
+        (f, *path, ok)
+        for f, oks in ((1, [True]), (2, [False, True, True]), (3, [False, False, False]))
+        for path in (("R", 1.0, 1, 1), (f"R/p{f}", f + 1.0, 0, 1), (f"R/p{f - 1}", -float(f), 1, 0))
+        for ok in oks
+    )
+
+
+def test_calls_without_children_meet_no_join_for_self_time(spark):
+    shape = """capture_id STRING, frame_index BIGINT, thread_index BIGINT, sample_index BIGINT, parent_index BIGINT, children_count BIGINT, time_ms DOUBLE,
+      start_time_ms DOUBLE, raw_start_ns DECIMAL(20,0), raw_duration_ns FLOAT, is_counter BOOLEAN"""
+    rows = [("A", 0, 0, n, p, c, t, s, None, None, False) for n, p, c, t, s in [(0, None, 2, 9.0, 0.0), (1, 0, 0, 4.0, 0.0), (2, 0, None, 3.0, 4.0), (3, None, 1, 2.0, 9.0)]]
+    found = tree.self_time(spark.createDataFrame(rows, shape))
+    assert min(joins_over(found, "is_counter")) == 0
+    assert {r.sample_index: (r.self_ms, r.self_reason is None) for r in found.collect()} == {0: (2.0, True), 1: (4.0, True), 2: (None, False), 3: (None, False)}
