@@ -132,13 +132,15 @@ def path_profile(tree: DataFrame, threads: DataFrame, frames: DataFrame) -> Data
     of their path; the path itself comes back from the table of paths.
     """
     totals = frames.groupBy("capture_id").agg(F.count(F.lit(1)).alias("total_frames"))
-    roles = threads.select(*THREAD, "thread_group_name", thread_role(F.col("thread_name")).alias("role"))
+    # Threads are held against the selected frames, not their samples: those are joined once.
+    roles = threads.select(*THREAD, "thread_group_name", thread_role(F.col("thread_name")).alias("role")).join(
+        frames.select(*FRAME), FRAME, "left_semi"
+    )
     keys = ["capture_id", "thread_group_name", "role", "path_name"]
     samples = tree.select(*THREAD, path_name(F.col("path")).alias("path_name"), "time_ms", "gc_alloc_bytes")
     # Per frame first: the frame count then needs no distinct over all samples.
     per_frame = (
-        samples.join(frames.select(*FRAME), FRAME, "left_semi")
-        .join(roles, THREAD)
+        samples.join(roles, THREAD)
         .groupBy(*keys, "frame_index")
         .agg(
             F.sum("time_ms").alias("ms"), F.count(F.lit(1)).alias("calls"),

@@ -72,6 +72,17 @@ def test_flags_join_pairs_and_not_their_paths(spark):
     )
 
 
+def test_samples_join_once_for_call_paths_and_sites(spark):
+    rows, names = timed(spark, 3), threads(spark, 3)
+    profile = compare.path_profile(rows, names, spark.createDataFrame([("A", 1), ("A", 2)], "capture_id STRING, frame_index BIGINT"))
+    assert max(joins_over(profile, "self_ms")) <= 3
+    assert {r.total_frames for r in profile.collect()} == {2} and profile.count() == 6
+    valid = spark.createDataFrame([("A", 0, True), ("A", 1, False), ("A", 2, None)], "capture_id STRING, frame_index BIGINT, gc_valid BOOLEAN")
+    sites = frames.alloc_sites(rows.withColumn("site_name", F.element_at("path", 1)), names, valid)
+    assert max(joins_over(sites, "self_ms")) == 1
+    assert sorted((r.frame_index, r.thread, r.name) for r in sites.collect()) == [(0, "Job.Worker 1 #1", "R")] * 2 + [(0, "Main Thread #0", "R")] * 2
+
+
 def test_calls_without_children_meet_no_join_for_self_time(spark):
     shape = """capture_id STRING, frame_index BIGINT, thread_index BIGINT, sample_index BIGINT, parent_index BIGINT, children_count BIGINT, time_ms DOUBLE,
       start_time_ms DOUBLE, raw_start_ns DECIMAL(20,0), raw_duration_ns FLOAT, is_counter BOOLEAN"""
