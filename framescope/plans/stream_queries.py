@@ -12,6 +12,10 @@ from framescope.sources import tables
 from framescope.streaming import activity, frames
 
 
+#: Dumps of one file that arrives; a packed file is read by one task.
+FILE_DUMPS = 10_000
+
+
 def _folder(spark):
     return f"{tables.shared_folder(spark)}/framescope-{uuid.uuid4().hex}"
 
@@ -22,7 +26,7 @@ def _folder(spark):
 )
 def stream_frames(spark, sf):
     base = _folder(spark)
-    dump_texts(spark, sf).select("json").write.text(f"{base}/in")
+    dump_texts(spark, sf).select("json").write.options(**tables.PACKED_TEXT, maxRecordsPerFile=FILE_DUMPS).text(f"{base}/in")
     query = frames.stream_frames(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", multi_line=False)
     query.awaitTermination()
     rows = spark.read.schema("capture_id STRING, position BIGINT, frame_index BIGINT, frame_time_ms DOUBLE, gc_alloc_bytes_total DECIMAL(20,0)").parquet(f"{base}/out")

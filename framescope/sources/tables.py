@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: For text that is written to be read again: a twentieth of the disk in about the time of plain text, and no native library.
+PACKED_TEXT = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 _derived: dict[tuple[str, str, str], tuple] = {}
 
 

@@ -2,6 +2,8 @@ import json
 from decimal import Decimal
 
 from framescope.operators.frames import frame_intervals
+from framescope.plans import stream_queries
+from framescope.plans.source_queries import dump_texts
 from framescope.streaming import activity, frames
 from tests.test_dump import small_dump
 
@@ -57,6 +59,23 @@ def test_each_dump_file_counts_once(spark, tmp_path):
     assert sorted((r.capture_id, r.frame_index) for r in rows) == [("one", 10), ("one", 12), ("two", 10), ("two", 12)]
 
 
+def test_streamed_dumps_are_written_packed_in_files_of_some(spark, tmp_path, monkeypatch):
+    """Plain text of all dumps was nearly all the disk that the query used."""
+    orders = [(k, k % 31, "O", "1-URGENT") for k in range(600)]
+    spark.createDataFrame(orders, "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderpriority STRING").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    base = tmp_path / "base"
+    monkeypatch.setattr(stream_queries, "_folder", lambda spark: str(base))
+    monkeypatch.setattr(stream_queries, "FILE_DUMPS", 250)
+    rows = stream_queries.stream_frames(spark, str(tmp_path)).collect()
+    assert sorted((r.capture_id, r.position, r.frame_index, r.frame_time_ms, r.bytes) for r in rows if r.frame_time_ms) == sorted(
+        (f"order{k}", n, 10 + 3 * n, c / 8, (k + n) * 2) for k, c, *_ in orders for n in range(k % 3 + 1) if k % 5 and c
+    )
+    assert len(rows) == sum(k % 3 + 1 for k, *_ in orders)
+    parts = [p for p in (base / "in").iterdir() if p.name.startswith("part-")]
+    plain = sum(len(r.json) + 1 for r in dump_texts(spark, str(tmp_path)).collect())
+    assert len(parts) == 3 and sum(p.stat().st_size for p in parts) * 5 < plain
+
+
 def test_log_stream_pages(spark, tmp_path):
     folder = tmp_path / "log"
     folder.mkdir()
