@@ -74,7 +74,22 @@ def dump_files(spark, sf):
     gives frame numbers twice and one has samples without time.
     """
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    rows = orders(spark, sf).withColumn("r", F.floor(cust / FILE_CUSTOMERS).cast("bigint"))
+    rows = orders(spark, sf).withColumn("r", F.floor(cust / FILE_CUSTOMERS).cast("bigint")).select("r", "o_orderkey", "o_custkey")
+    first = rows.groupBy("r").agg(F.min("o_orderkey").alias("first"), F.count(F.lit(1)).alias("n"))
+    body = rows.join(first, "r").select("r", key.alias("pos"), F.lit("frame").alias("part"), key, cust, "first")
+    head = first.select("r", F.lit(-1).cast("bigint").alias("pos"), F.lit("head").alias("part"), "n")
+    tail = first.filter("r % 10 != 3").select("r", F.lit(1 << 60).alias("pos"), F.lit("tail").alias("part"))
+    placed = head.unionByName(body, True).unionByName(tail, True).withColumn("capture_id", F.concat(F.lit("rec"), "r"))
+    # only keys are moved; a line is made where it is written
+    ordered = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "capture_id").sortWithinPartitions("capture_id", "pos")
+    folder = f"{tables.shared_folder(spark)}/framescope-{uuid.uuid4().hex}"
+    ordered.select("capture_id", dump_line().alias("value")).write.options(**tables.PACKED_TEXT).partitionBy("capture_id").text(folder)
+    return folder
+
+
+def dump_line():
+    """The line of a recording's head, of one of its frames or of its end."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
     threads = F.array(dump_thread(0, "Main Thread", F.lit(0), key, cust), dump_thread(1, "Worker", F.lit(0), key, cust))
     frame = F.to_json(F.struct(key.alias("frame_index"), (cust + 0.5).alias("frame_time_ms"), F.lit(4).alias("sample_count_total"), (key * 2).alias("gc_alloc_bytes_total"), threads.alias("threads")))
     kind = F.col("r") % 10
@@ -84,14 +99,9 @@ def dump_files(spark, sf):
         .when((kind == 9) & (key % 8 == 3), F.regexp_replace(frame, '"time_ms":0.125,', ""))
         .otherwise(frame)
     )
-    first = rows.groupBy("r").agg(F.min("o_orderkey").alias("first"), F.count(F.lit(1)).alias("n"))
-    body = rows.join(first, "r").select("r", key.alias("pos"), F.concat(F.when(key == F.col("first"), F.lit("")).otherwise(F.lit(",")), broken).alias("value"))
-    head = first.select("r", F.lit(-1).cast("bigint").alias("pos"), F.concat(F.lit('{"unity_version": "6000.3.9f1", "notes": {"a]": [1, "}"]},\n "frame_count": '), F.col("n"), F.lit(', "frames": [')).alias("value"))
-    tail = first.filter("r % 10 != 3").select("r", F.lit(1 << 60).alias("pos"), F.lit(']\n, "end": [null]}').alias("value"))
-    lines = head.union(body).union(tail).withColumn("capture_id", F.concat(F.lit("rec"), "r"))
-    folder = f"{tables.shared_folder(spark)}/framescope-{uuid.uuid4().hex}"
-    lines.repartition("capture_id").sortWithinPartitions("capture_id", "pos").select("capture_id", "value").write.partitionBy("capture_id").text(folder)
-    return folder
+    head = F.concat(F.lit('{"unity_version": "6000.3.9f1", "notes": {"a]": [1, "}"]},\n "frame_count": '), F.col("n"), F.lit(', "frames": ['))
+    body = F.concat(F.when(key == F.col("first"), F.lit("")).otherwise(F.lit(",")), broken)
+    return F.when(F.col("part") == "head", head).when(F.col("part") == "tail", F.lit(']\n, "end": [null]}')).otherwise(body)
 
 
 def read_dump_files(spark, sf):

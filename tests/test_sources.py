@@ -1,8 +1,13 @@
+import gzip
+import json
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from framescope.functions import scalars as fn
 from framescope.operators import metrics, project, validate
+from framescope.plans import source_queries
 from framescope.sources import convention, project_files, routing
 
 
@@ -145,3 +150,20 @@ def test_tables_of_frame_lists_are_not_sent_through_the_driver(spark, tmp_path,
     spark.createDataFrame(orders, "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderpriority STRING").write.parquet(f"{tmp_path}/orders.parquet")
     plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == joins and "Broadcast" not in plan
+
+
+def test_dump_files_are_written_packed(spark, tmp_path):
+    """Plain text of all dumps was most of the disk of S1's queries."""
+    orders = [(k, k % 120, "O", "1-URGENT") for k in range(960)] + [(5, None, "O", "1-URGENT"), (None, 7, "O", "1-URGENT")]
+    spark.createDataFrame(orders, "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderpriority STRING").write.parquet(str(tmp_path / "orders.parquet"))
+    folder = Path(source_queries.dump_files(spark, str(tmp_path)).removeprefix("file:"))
+    parts = list(folder.rglob("part-*"))
+    texts = {p.parent.name.removeprefix("capture_id="): gzip.decompress(p.read_bytes()).decode() for p in parts}
+    assert len(texts) == len(parts) and sum(p.stat().st_size for p in parts) * 5 < sum(map(len, texts.values()))
+    assert set(texts) == {"rec0", "rec1", "rec2", "rec3", "__HIVE_DEFAULT_PARTITION__"}
+    for r in (1, 2):
+        doc = json.loads(texts[f"rec{r}"])
+        mine = [(k, c) for k, c, *_ in orders if c is not None and c // 30 == r]
+        assert doc["frame_count"] == len(mine) and doc["end"] == [None]
+        assert [(f["frame_index"], f["frame_time_ms"]) for f in doc["frames"]] == [(k, c + 0.5) for k, c in sorted(mine)]
+    assert texts["rec3"].startswith('{"unity_version"') and texts["rec3"].endswith("}\n") and '"end"' not in texts["rec3"]
