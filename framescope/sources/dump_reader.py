@@ -1,10 +1,10 @@
 """Editor dumps read piece by piece: a row per frame while the text goes by.
 
 A file is never held whole.  Spark's text reader cuts it at every closing bracket (so a
-piece ends where a thread's sample list ends) and any number of tasks read pieces; pieces
-of one file are then sorted by their place, which spills to disk, and one task scans
-them with a buffer that holds one frame.  What breaks a recording becomes violation
-rows; other recordings are not touched.
+piece ends where a thread's sample list ends) and any number of tasks read pieces and pack
+those that follow each other; packs of one file are then sorted by their place, which
+spills to disk, and one task scans them with a buffer that holds one frame.  What breaks a
+recording becomes violation rows; other recordings are not touched.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -27,6 +29,9 @@ VIOLATION = "frame_index BIGINT, thread_index BIGINT, sample_index BIGINT, rule
 PARSED = f"capture_id STRING, unity_version STRING, frame_count BIGINT, frame_pos BIGINT, f STRUCT<{DUMP_FRAME}>, violations ARRAY<STRUCT<{VIOLATION}>>"
 #: Samples of the frames sent on together.
 SENT_SAMPLES = 20_000
+#: Bytes of text that are packed together, and one piece more at most.
+PACKED = 1 << 18
+PACKS = "capture_id STRING, __file STRING, __block BIGINT, __order BIGINT, size BIGINT, packed BINARY"
 #: A syntax error this far from the end of the buffer is no matter of missing text.
 SLACK = 1 << 16
 
@@ -177,8 +182,8 @@ def _schema() -> pa.Schema:
     return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(PARSED).fields])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Pieces (recording, text, whether the cut follows) in order to frames, and one more row per recording with its root."""
+def _scan(pieces: Iterator[tuple[str | None, str]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Pieces (recording, text) in order to frames, and one more row per recording with its root."""
     rows: list[dict] = []
     samples, current, scanner = 0, None, None
 
@@ -203,12 +208,11 @@ def _scan(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
         root = {f.name: scanner.root.get(f.name) for f in DUMP_ROOT if f.fits(scanner.root.get(f.name))}
         rows.append({"capture_id": current, **root, "violations": [dict(zip(names, v, strict=True)) for v in scanner.findings.rows]})
 
-    for batch in batches:
-        for capture, text, cut in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if scanner is None or capture != current:
-                yield from end()
-                current, scanner = capture, FrameScanner()
-            yield from add(scanner.feed((text or "") + (CUT if cut else "")))
+    for capture, text in pieces:
+        if scanner is None or capture != current:
+            yield from end()
+            current, scanner = capture, FrameScanner()
+        yield from add(scanner.feed(text))
     yield from end()
     if rows:
         yield sent()
@@ -222,29 +226,53 @@ def read_pieces(spark: SparkSession, paths: str | list[str], capture_id) -> Data
         F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__order"), F.col("value").alias("text"),
     )
     # rows of a file come in order inside its blocks; all but a file's last piece were cut at a bracket
-    ordered = pieces.repartition("__file").sortWithinPartitions("__file", "__block", "__order")
+    packs = pieces.mapInArrow(_packed, PACKS)
+    # the number is given, as packs tell little of the work that their texts are
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = packs.repartition(many, "__file").sortWithinPartitions("__file", "__block", "__order")
     schema = _schema()
-    return ordered.select("capture_id", "text").mapInArrow(lambda batches: _scan(_last_uncut(batches), schema), PARSED)
+    return ordered.select("capture_id", "size", "packed").mapInArrow(lambda batches: _scan(_unpacked(batches), schema), PARSED)
 
 
-def _last_uncut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same pieces, each recording's last one without a cut: a dump ends with a brace, so no bracket followed it."""
-    held = None
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch that follow each other in a block of a file, joined by the cuts between them and packed."""
+    names = [c.split(" ")[0] for c in PACKS.split(", ")]
+    codec = pa.Codec("zstd")
     for batch in batches:
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        if batch.num_rows < 2:
-            held = batch if batch.num_rows else held
+        if not batch.num_rows:
             continue
-        names = batch.column(0).to_pylist()
-        cut = pa.array([a == b for a, b in zip(names, names[1:], strict=False)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0)[:-1], batch.column(1)[:-1], cut], names=["capture_id", "text", "cut"])
-        held = batch.slice(batch.num_rows - 1)
+        capture, file, block, order, text = batch.columns
+        nth = np.cumsum(pc.binary_length(text).to_numpy().astype(np.int64) + len(CUT)) // PACKED
+        other = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.append(True, other | (nth[1:] != nth[:-1])))
+        pieces = pa.ListArray.from_arrays(pa.array(np.append(first, batch.num_rows), pa.int32()), text)
+        plain = [t.as_buffer() for t in pc.binary_join(pieces, pa.scalar(CUT, text.type))]
+        sizes, packed = pa.array([len(t) for t in plain], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in plain], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(first)) for c in (capture, file, block, order)), sizes, packed], names=names)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, str]]:
+    """Recording and text of one pack after the other, unpacked as they are asked for.
+
+    A cut follows all but a recording's last one: a dump ends with a brace, so no bracket followed it.
+    """
+    codec, held = pa.Codec("zstd"), None
+    for batch in batches:
+        for capture, size, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held is not None:
+                yield held[0], held[1] + (CUT if capture == held[0] else "")
+            held = capture, codec.decompress(packed, decompressed_size=size, asbytes=True).decode()
     if held is not None:
-        yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), pa.array([False], pa.bool_())], names=["capture_id", "text", "cut"])
+        yield held
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, str]]:
+    for batch in batches:
+        for capture, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield capture, text or ""
 
 
 def read_texts(texts: DataFrame, column: str = "json") -> DataFrame:
     """Dump texts, one recording a row, as ``PARSED`` rows."""
     schema = _schema()
-    return texts.select("capture_id", F.col(column).alias("text"), F.lit(False).alias("cut")).mapInArrow(lambda batches: _scan(batches, schema), PARSED)
+    return texts.select("capture_id", F.col(column).alias("text")).mapInArrow(lambda batches: _scan(_texts(batches), schema), PARSED)

@@ -2,10 +2,11 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 
 from framescope.operators import validate
-from framescope.sources import convention, dumps
+from framescope.sources import convention, dump_reader, dumps
 from framescope.sources.dump_reader import FrameScanner
 from framescope.sources.json_rules import check_convention
 from framescope.streaming import frames as frame_streams
@@ -168,3 +169,54 @@ def test_sound_frames_are_not_looked_at_field_by_field(monkeypatch):
     asked = []
     monkeypatch.setattr(rules.Findings, "check", lambda *a: asked.append(a) or True)
     assert rules.check_dump_frame(whole, 0, rules.Findings()) and not asked
+
+
+@pytest.mark.parametrize("most", [1, 300, 1 << 18])
+def test_packs_give_the_texts_back(monkeypatch, most):
+    monkeypatch.setattr(dump_reader, "PACKED", most)
+    doc = odd_dump()
+    doc["frames"] *= 40
+    texts = {"x": json.dumps(doc), "y": '{"é": []}', "z": "[]]]"}
+    pieces = [(c, f"file:/{c}", 0 if k < 50 else 1000, k, t) for c, text in texts.items() for k, t in enumerate(text.removesuffix("]").split("]"))]
+    names = ["capture_id", "__file", "__block", "__order", "text"]
+
+    def batch(rows):
+        return pa.RecordBatch.from_pylist([dict(zip(names, p, strict=True)) for p in rows], schema=pa.schema([*[(n, pa.string()) for n in names[:2]], *[(n, pa.int64()) for n in names[2:4]], (names[4], pa.string())]))
+
+    # the second block is read by another task
+    packs = [r for rows in (pieces[50:], pieces[:50], []) for b in dump_reader._packed([batch(rows)]) for r in b.to_pylist()]
+    assert all(p["size"] < most + max(len(p[-1].encode()) for p in pieces) for p in packs) and (most > 1 or len(packs) == len(pieces))
+    packs.sort(key=lambda p: (p["__file"], p["__block"], p["__order"]))
+    sent = pa.RecordBatch.from_pylist(packs).select(["capture_id", "size", "packed"])
+    found = {}
+    for capture, text in dump_reader._unpacked([sent.slice(0, 1), sent.slice(1, 0), sent.slice(1)]):
+        found[capture] = found.get(capture, "") + text
+    assert found == {c: t.removesuffix("]") for c, t in texts.items()}
+    assert most < 1 << 18 or sum(len(p["packed"]) for p in packs) * 5 < sum(map(len, texts.values()))
+
+
+def test_texts_are_moved_packed_and_files_may_be_cut(spark, tmp_path):
+    """The shuffle of plain pieces, each with its path, was most of what S1 moved and spilled."""
+    doc = odd_dump()
+    doc["frames"] = [f | {"frame_index": n} for n, f in enumerate(doc["frames"] * 30)]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc, indent=1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        parsed = dump_reader.read_pieces(spark, str(tmp_path), dumps.file_capture_id)
+        rows = parsed.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plan, moved = parsed._jdf.queryExecution().optimizedPlan(), []
+
+    def walk(node):
+        if node.nodeName() == "RepartitionByExpression":
+            moved.append(node.output().toString())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(plan)
+    assert len(moved) == 1 and "packed#" in moved[0] and "text#" not in moved[0]
+    assert sorted((r.capture_id, r.frame_pos, r.f.frame_index) for r in rows if r.f) == [(c, n, n) for c in "ab" for n in range(len(doc["frames"]))]
+    assert [r.violations for r in rows if not r.f] == [[], []]
